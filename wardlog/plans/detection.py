@@ -17,7 +17,7 @@ from wardlog.operators.windowed import EVENT_KEEP, count_hits, distinct_hits
 from wardlog.sources.rules import Rule, rules_frame
 
 HIT_COLUMNS = ("rule_id", "rule_name", "category", "severity", *EVENT_KEEP, "matched_text",
-               "count", "prior_fails", "window_s")
+               "count", "prior_fails", "window_s", "group_value")
 
 
 def _text_kind(match_field: str | None) -> str:
@@ -62,12 +62,26 @@ def _usable(rule: Rule) -> bool:
     return rule.rule_type == "regex" and bool(rule.pattern)
 
 
-def detect(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def not_consumed(events: DataFrame, rule: Rule, consumed: DataFrame) -> DataFrame:
+    """Events after the last hit of a sequence rule in their group (a hit resets the sequence).
+
+    consumed: rule_id, group_value, epoch, seq.
+    """
+    last = (consumed.where(F.col("rule_id") == rule.id).groupBy("group_value")
+            .agg(F.max(F.struct("epoch", "seq")).alias("_last")))
+    group = F.col(rule.group).cast("string")
+    return (events.join(last, group == F.col("group_value"), "left")
+            .where(F.col("_last").isNull() | (F.struct("epoch", "seq") > F.col("_last")))
+            .drop("_last", "group_value"))
+
+
+def detect(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame | None = None
+           ) -> DataFrame:
     """Hits of all enabled rules.
 
     Count rules that share a group field are evaluated together. `events` is read once for the
     signatures and twice for each windowed family; where it is expensive to produce (parsed from
-    text), write it first or persist it.
+    text), write it first or persist it. `consumed` are earlier hits of sequence rules.
     """
     active = [r for r in rules if r.enabled and _usable(r)]
     parts: list[DataFrame] = []
@@ -81,7 +95,10 @@ def detect(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     parts += [count_hits(events, family) for family in counts.values()]
     parts += [distinct_hits(events, r) for r in active
               if r.rule_type == "aggregate" and r.count_mode == "distinct"]
-    parts += [sequence_hits(events, r) for r in active if r.rule_type == "composite"]
+    for rule in active:
+        if rule.rule_type == "composite":
+            fresh = events if consumed is None else not_consumed(events, rule, consumed)
+            parts.append(sequence_hits(fresh, rule))
     if not parts:
         raise ValueError("no usable rule")
     hits = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -101,6 +118,7 @@ def detect(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                      F.format_string(SEQUENCE_MESSAGE, "_gf", "_g", "prior_fails")))
     return (hits.join(F.broadcast(meta), "rule_id")
             .withColumn("matched_text", F.coalesce("matched_text", message))
+            .withColumnRenamed("_g", "group_value")
             .select(*HIT_COLUMNS))
 
 

@@ -33,16 +33,16 @@ def import_lines(lines: DataFrame, rules: list[Rule], out: str, *, year: int | C
         seen, F.count_if(F.col("log_type").isNotNull()).alias("parsed"),
         F.count_if(F.col("log_type").isNull() & (F.col("raw") != "")).alias("rejected"))
     folder = f"{out}/events"
-    before = F.lit(source_id)
-    # one pass over the text: rejected lines land in the partition without a date
+    # one pass over the text: rejected lines land in a partition of their own
     staged = parsed.where(F.col("raw") != "").withColumn(
-        "accepted", F.col("log_type").isNotNull()).withColumn("source_id", before)
+        "accepted", F.col("log_type").isNotNull().cast("int")).withColumn(
+        "source_id", F.lit(source_id))
     (staged.withColumn(tables.EVENT_DATE, F.to_date("ts"))
      .write.mode("append").partitionBy("source_id", "accepted", tables.EVENT_DATE)
      .parquet(folder))
     counts = seen.get
     events = spark.read.parquet(folder).where(
-        (F.col("source_id") == source_id) & F.col("accepted"))
+        (F.col("source_id") == source_id) & (F.col("accepted") == 1))
     hits_seen = Observation("hits")
     hits = detect(events, rules)
     alerts = with_rule_id(consolidate(hits), rules_frame(spark, rules)).withColumn(
@@ -60,5 +60,5 @@ def import_lines(lines: DataFrame, rules: list[Rule], out: str, *, year: int | C
 
 
 def rejected_lines(spark, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/events").where("not accepted").select(
+    return spark.read.parquet(f"{out}/events").where("accepted = 0").select(
         "source_id", "seq", "raw")

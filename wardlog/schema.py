@@ -13,7 +13,7 @@ RULE = (
 HIT = (
     "rule_id INT, rule_name STRING, category STRING, severity STRING, seq BIGINT, epoch BIGINT, "
     "src_ip STRING, dst_ip STRING, url STRING, raw STRING, matched_text STRING, count BIGINT, "
-    "prior_fails BIGINT, window_s INT"
+    "prior_fails BIGINT, window_s INT, group_value STRING"
 )
 STATUS_CHANGE = "rule_name STRING, src_ip STRING, epoch BIGINT, status STRING"
 FINDING = (
