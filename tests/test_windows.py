@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 import brute
 from wardlog.operators import alerts as alert_ops
-from wardlog.operators.sequence import select_apart, sequence_hits
-from wardlog.operators.windowed import count_hits, distinct_hits
+from wardlog.operators.sequence import select_apart
+from wardlog.operators.windowed import windowed_hits
 from wardlog.plans.detection import detect
 from wardlog.sources.rules import Rule, builtin_rules
 
@@ -47,7 +47,7 @@ def test_count_matches_model(spark, seed, span, window):
     rows = random_events(seed, span=span)
     rules = [Rule(1, "a", "aggregate", "ssh_failed", threshold=3, time_window=window),
              Rule(2, "b", "aggregate", "web_error", threshold=2, time_window=window // 2)]
-    got = count_hits(brute.make_events(spark, rows), rules).collect()
+    got = windowed_hits(brute.make_events(spark, rows), rules).collect()
     assert {(r.seq, r["count"]) for r in got if r.rule_id == 1} == brute.trailing_count(
         rows, failed, window, 3)
     assert {(r.seq, r["count"]) for r in got if r.rule_id == 2} == brute.trailing_count(
@@ -59,7 +59,7 @@ def test_distinct_matches_model(spark, seed, span, window):
     rows = random_events(seed, n=600, span=span)
     rule = Rule(1, "d", "aggregate", "scan_event", threshold=3, time_window=window,
                 count_mode="distinct", distinct_field="dst_port")
-    got = distinct_hits(brute.make_events(spark, rows), rule).collect()
+    got = windowed_hits(brute.make_events(spark, rows), [rule]).collect()
     assert {(r.seq, r["count"]) for r in got} == brute.trailing_count(
         rows, lambda r: r["log_type"] == "scan", window, 3, lambda r: r.get("dst_port"))
 
@@ -69,7 +69,7 @@ def test_distinct_matches_model(spark, seed, span, window):
 def test_sequence_matches_model(spark, seed, span, window, block):
     rows = random_events(seed, n=500, span=span)
     rule = Rule(1, "s", "composite", "ssh_success", "ssh_failed", threshold=3, time_window=window)
-    got = sequence_hits(brute.make_events(spark, rows), rule, block).collect()
+    got = windowed_hits(brute.make_events(spark, rows), [rule], block=block).collect()
     assert {(r.seq, r.prior_fails) for r in got} == brute.sequences(
         rows, success, failed, window, 3)
 

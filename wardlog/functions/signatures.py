@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,32 +12,67 @@ from wardlog.constants import SIGNATURE_LABELS, SIGNATURES
 from wardlog.functions.text import decode_once, label_of
 
 
-def _search(text: Column, decoded: Column | None, java_pattern: str) -> Column:
-    """Match the text or its decoded form; text without escapes is searched only once."""
-    decoded = decode_once(text) if decoded is None else decoded
-    escaped = text.contains("%") | text.contains("+")
-    return F.coalesce(text.rlike(java_pattern) | (escaped & decoded.rlike(java_pattern)),
-                      F.lit(False))
+# Lower-case substrings one of which occurs in every match of the class. Searching for them is
+# several times cheaper than the pattern, which then runs on the few texts that hold one.
+_LITERALS = {
+    "sqli": ("union", "sleep", "benchmark", "dbms_pipe", "waitfor", "information_schema",
+             "concat", "updatexml", "extractvalue", "--", "#", "'"),
+    "xss": ("script", "<img", "<svg", "onerror", "onload", "onclick", "onmouseover", "onfocus",
+            "alert", "prompt", "confirm", "document.", "eval", "fromcharcode"),
+    "traversal": ("..", "%2e", "/etc/passwd", "/etc/shadow", "win.ini", "boot.ini"),
+    "cmdi": (";", "|", "&&", "$(", "`", "%0a", "%3b", "/bin/"),
+    "sensitive_path": (".git/", ".svn/", ".hg/", "/.env", "/.ht", "/.ssh/", "web.config",
+                       "/phpmyadmin", "/adminer", "/pma/", ".bak", ".old", ".orig", ".swp",
+                       ".sql", ".zip", ".tar", ".gz", ".rar", "config.php"),
+    "scanner_ua": tuple(SIGNATURES["scanner_ua"].split("|")),
+    "double_encode": ("%25",),
+}
+
+
+def _may_match(name: str, low: Column) -> Column:
+    test = reduce(lambda x, y: x | y, [low.contains(t) for t in _LITERALS[name]])
+    if name == "sqli":   # `or 1=1`, `and 1=1`
+        test = test | (low.contains("=") & (low.contains("or") | low.contains("and")))
+    return test
+
+
+def class_test(name: str, low: Column, decoded_low: Column) -> Column:
+    """Match on lower-cased text, or on its lower-cased decoded form where there is one."""
+    pattern = SIGNATURES[name].lower()
+
+    def found(text):
+        if name == "scanner_ua":   # nothing but literals
+            return _may_match(name, text)
+        return _may_match(name, text) & text.rlike(pattern)
 
+    return F.coalesce(found(low), F.lit(False)) | F.coalesce(
+        decoded_low.isNotNull() & found(decoded_low), F.lit(False))
 
-def has_class(text: Column, name: str, decoded: Column | None = None) -> Column:
-    return _search(text, decoded, "(?i)" + SIGNATURES[name])
 
+def lowered(text: Column) -> Column:
+    return F.lower(text)
 
-def first_class(text: Column, names: Iterable[str] | None = None,
-                decoded: Column | None = None) -> Column:
+
+def decoded_lowered(text: Column) -> Column:
+    """Lower-cased decoded text; NULL where there is nothing to decode."""
+    return F.when(text.contains("%") | text.contains("+"), F.lower(decode_once(text)))
+
+
+def has_class(text: Column, name: str) -> Column:
+    return class_test(name, lowered(text), decoded_lowered(text))
+
+
+def first_class(text: Column, names: Iterable[str] | None = None) -> Column:
     """The first class, in the order given, that matches; '' when none does."""
     chosen = [n for n in (list(names or ()) or list(SIGNATURES)) if n in SIGNATURES]
-    cases = [F.when(has_class(text, n, decoded), F.lit(n)) for n in chosen]
+    cases = [F.when(has_class(text, n), F.lit(n)) for n in chosen]
     return F.coalesce(*cases, F.lit(""))
 
 
-def all_classes(text: Column, names: Iterable[str] | None = None,
-                decoded: Column | None = None) -> Column:
+def all_classes(text: Column, names: Iterable[str] | None = None) -> Column:
     """Every class that matches, as an array in declaration order."""
     chosen = [n for n in (list(names or ()) or list(SIGNATURES)) if n in SIGNATURES]
-    return F.array_compact(F.array(*[F.when(has_class(text, n, decoded), F.lit(n))
-                                     for n in chosen]))
+    return F.array_compact(F.array(*[F.when(has_class(text, n), F.lit(n)) for n in chosen]))
 
 
 def valid_pattern(pattern: str) -> bool:
@@ -47,11 +83,13 @@ def valid_pattern(pattern: str) -> bool:
     return True
 
 
-def custom_match(text: Column, pattern: str, decoded: Column | None = None) -> Column:
+def custom_match(text: Column, pattern: str) -> Column:
     """User pattern, case-insensitive and Unicode aware; an invalid pattern never matches."""
     if not valid_pattern(pattern):
         return F.lit(False)
-    return _search(text, decoded, "(?iu)" + pattern.replace("(?P<", "(?<"))
+    java = "(?iu)" + pattern.replace("(?P<", "(?<")
+    escaped = text.contains("%") | text.contains("+")
+    return F.coalesce(text.rlike(java) | (escaped & decode_once(text).rlike(java)), F.lit(False))
 
 
 def class_label(name: Column) -> Column:

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated a single time per row.
+
+    A filter on a projected column is normally pushed below the projection, and the expression is
+    then evaluated for the filter and again for the result. Behind a generator it is not pushed.
+    """
+    for name, expression in columns.items():
+        df = df.select("*", F.explode_outer(F.array(expression)).alias(name))
+    return df
 
 
 def decode_once(text: Column) -> Column:

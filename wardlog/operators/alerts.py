@@ -8,7 +8,8 @@ from wardlog.constants import (ALERT_STATUS, MAX_SAMPLES, MERGE_GAP_SECONDS, ML_
                                OPEN_STATUS, SAMPLE_CHARS)
 from wardlog.functions.text import clip
 from wardlog.functions import timewin
-from wardlog.operators.timeline import chunked, running_totals
+from wardlog.operators.timeline import chunked
+from wardlog.session import materialise
 
 KEY = ("rule_name", "_ip")
 
@@ -31,13 +32,13 @@ def _slots(hits: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min(first).alias("first"), F.max(last).alias("last"))
 
 
-def number_sessions(slots: DataFrame, gap: int, status_changes: DataFrame | None = None
-                    ) -> DataFrame:
-    """Add `session`, the running number of the alert a slot belongs to within its key.
+def local_sessions(slots: DataFrame, gap: int, status_changes: DataFrame | None = None
+                   ) -> DataFrame:
+    """Add the time chunk and `_local`, the number of the alert within its key and chunk.
 
     A slot opens an alert when no slot of its key lies in the `gap` seconds before it, or when the
     last status change between the two closed the earlier one. A change takes effect after the
-    hits of its own second.
+    hits of its own second. Number 0 continues the last alert of the chunk before.
     """
     rows = slots.withColumn("_kind", F.lit(0)).withColumn("_status", F.lit("new"))
     if status_changes is not None:
@@ -45,24 +46,38 @@ def number_sessions(slots: DataFrame, gap: int, status_changes: DataFrame | None
             *KEY, "epoch", F.lit(1).alias("_kind"), F.col("status").alias("_status"))
         rows = rows.unionByName(changes, allowMissingColumns=True)
     in_order = Window.partitionBy(*KEY, "_chunk").orderBy("epoch", "_kind")
+    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = in_order.rowsBetween(Window.unboundedPreceding, -1)
     previous = F.max(F.when(F.col("_kind") == 0, F.col("epoch"))).over(near)
     opens = (previous.isNull() | (F.col("epoch") - previous > gap)
              | ~is_open(F.lag("_status").over(in_order)))
-    marked = (chunked(rows, gap).withColumn("_opens", F.coalesce(opens, F.lit(True)).cast("int"))
-              .where(F.col("_own") & (F.col("_kind") == 0))
-              .drop("_own", "_chunk", "_kind", "_status"))
-    return running_totals(marked, KEY, {"session": F.col("_opens")}).drop("_opens")
+    counted = F.col("_own") & (F.col("_kind") == 0)
+    return (chunked(rows, gap).withColumn("_opens", F.coalesce(opens, F.lit(True)))
+            .withColumn("_local", F.count_if(counted & F.col("_opens")).over(upto))
+            .where(counted).drop("_own", "_kind", "_status", "_opens"))
 
 
-def _samples(hits: DataFrame, sessions: DataFrame, keep: int) -> DataFrame:
+def number_sessions(parts: DataFrame) -> DataFrame:
+    """Stitch the chunks: `session` is the running number of the alert within its key.
+
+    `parts` has a few rows per key and chunk (alerts are at least a gap apart).
+    """
+    in_order = Window.partitionBy(*KEY).orderBy("_chunk", "_local").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return parts.withColumn("session", F.count_if(F.col("_local") > 0).over(in_order))
+
+
+def _samples(hits: DataFrame, local: DataFrame, numbered: DataFrame, keep: int) -> DataFrame:
     """Distinct clipped lines of an alert by first arrival, the newest `keep` of them."""
     lines = (hits.withColumn("sample", clip(F.col("raw"), SAMPLE_CHARS))
              .where(F.col("sample") != "")
              .groupBy(*KEY, "epoch", "sample").agg(F.min("seq").alias("seq"))
-             .join(sessions.select(*KEY, "epoch", "session"), [*KEY, "epoch"])
-             .groupBy(*KEY, "session", "sample")
-             .agg(F.min(F.struct("epoch", "seq")).alias("at")))
+             .join(local.select(*KEY, "epoch", "_chunk", "_local"), [*KEY, "epoch"])
+             .groupBy(*KEY, "_chunk", "_local", "sample")
+             .agg(F.min(F.struct("epoch", "seq")).alias("at"))
+             .join(numbered.select(*KEY, "_chunk", "_local", "session"),
+                   [*KEY, "_chunk", "_local"])
+             .groupBy(*KEY, "session", "sample").agg(F.min("at").alias("at")))
     newest = Window.partitionBy(*KEY, "session").orderBy(F.desc("at"), F.desc("sample"))
     return (lines.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= keep)
             .groupBy(*KEY, "session")
@@ -72,13 +87,22 @@ def _samples(hits: DataFrame, sessions: DataFrame, keep: int) -> DataFrame:
 
 def consolidate(hits: DataFrame, gap: int = MERGE_GAP_SECONDS, max_samples: int = MAX_SAMPLES,
                 status_changes: DataFrame | None = None, samples: bool = True) -> DataFrame:
-    """Hits to alerts: counts, first and last seen, first target, last evidence, samples."""
+    """Hits to alerts: counts, first and last seen, first target, last evidence, samples.
+
+    Without samples this is one pass over the hits. Samples need the hits again, so they are
+    checkpointed first; hand in a stored table with `samples=False` where only counts matter.
+    """
     hits = _null_safe(hits.where(F.col("epoch").isNotNull()))
-    sessions = number_sessions(_slots(hits), gap, status_changes)
-    alerts = sessions.groupBy(*KEY, "session").agg(
+    if samples:
+        hits = materialise(hits)
+    local = local_sessions(_slots(hits), gap, status_changes)
+    numbered = number_sessions(local.groupBy(*KEY, "_chunk", "_local").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")))
+    alerts = numbered.groupBy(*KEY, "session").agg(
         F.sum("n").alias("count"), F.min("first").alias("f"), F.max("last").alias("l"))
     if samples:
-        alerts = alerts.join(_samples(hits, sessions, max_samples), [*KEY, "session"], "left")
+        alerts = alerts.join(_samples(hits, local, numbered, max_samples),
+                             [*KEY, "session"], "left")
     columns = [
         F.xxhash64("rule_name", "_ip", "session").alias("alert_id"),
         F.col("rule_name").alias("title"), F.col("f.rule_id").alias("rule_id"),

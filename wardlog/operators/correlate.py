@@ -44,8 +44,8 @@ def targets(findings: DataFrame) -> DataFrame:
 def _match(findings: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
     """rows x distinct (path, class), matched on class and path; `rows` has `url`."""
     wanted = targets(findings).select("_prefix", "class").distinct()
-    classed = (rows.withColumn("class", F.explode(all_classes(F.coalesce("url", F.lit("")),
-                                                              CLASSES))))
+    classed = rows.withColumn("class", F.explode_outer(
+        all_classes(F.coalesce("url", F.lit("")), CLASSES))).where(F.col("class").isNotNull())
     if mode == "exact":
         keyed = classed.withColumn("_prefix", F.lower(url_path(F.col("url"))))
         return keyed.join(wanted, ["_prefix", "class"])

@@ -66,8 +66,8 @@ def header_audit(responses: DataFrame) -> DataFrame:
                 F.lit(name).alias("header"), F.lit("weak").alias("kind"),
                 F.lit("mid").alias("severity"), value.alias("value"), reason.alias("reason"))))
     return (with_headers(responses)
-            .select("page_id", F.explode(F.array_compact(F.array(*checks))).alias("c"))
-            .select("page_id", "c.*"))
+            .select("page_id", F.explode_outer(F.array_compact(F.array(*checks))).alias("c"))
+            .where(F.col("c").isNotNull()).select("page_id", "c.*"))
 
 
 def header_rollup(audit: DataFrame) -> DataFrame:
@@ -83,8 +83,8 @@ def fingerprint_headers(responses: DataFrame) -> DataFrame:
     entries = [F.when(header(n).isNotNull(), F.struct(
         F.lit(n).alias("header"), header(n).alias("value"))) for n in FINGERPRINT_HEADERS]
     return (with_headers(responses)
-            .select("page_id", F.explode(F.array_compact(F.array(*entries))).alias("h"))
-            .select("page_id", "h.*"))
+            .select("page_id", F.explode_outer(F.array_compact(F.array(*entries))).alias("h"))
+            .where(F.col("h").isNotNull()).select("page_id", "h.*"))
 
 
 def _header_text(headers: Column) -> Column:
@@ -113,8 +113,8 @@ def technologies(responses: DataFrame) -> DataFrame:
             F.lit(index).alias("rank"), F.lit(name).alias("name"),
             F.lit(category).alias("category"), number.alias("version"),
             F.when(in_body, "content").otherwise("header").alias("place"))))
-    return (ready.select("page_id", F.explode(F.array_compact(F.array(*found))).alias("t"))
-            .select("page_id", "t.*"))
+    return (ready.select("page_id", F.explode_outer(F.array_compact(F.array(*found))).alias("t"))
+            .where(F.col("t").isNotNull()).select("page_id", "t.*"))
 
 
 def parse_version(text: Column) -> Column:

@@ -11,35 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardlog.functions.filters import event_filter
-from wardlog.operators.timeline import running_totals, trailing
-from wardlog.operators.windowed import EVENT_KEEP, grouped_events, in_second
-from wardlog.sources.rules import Rule
-
 BLOCK = 16384
 
 
-def able_triggers(events: DataFrame, rule: Rule) -> DataFrame:
-    """First trigger for each (group, a) with enough live preconditions."""
-    trigger = event_filter(rule.pattern)
-    flags = {"_t": trigger, "_pre": event_filter(rule.match_field) & ~trigger}
-    own = grouped_events(events, rule.group, flags)
-    slots = own.groupBy("_g", "epoch").agg(F.count_if("_t").alias("_nt"),
-                                           F.count_if("_pre").alias("_np"))
-    slots = trailing(slots, ["_g"], {"_p": (F.sum("_np"), rule.window)}).na.fill(0, ["_p"])
-    slots = running_totals(slots, ["_g"], {"_a": F.col("_np")})
-    reach = (slots.where((F.col("_nt") > 0) & (F.col("_p") + F.col("_np") >= rule.limit))
-             .select("_g", "epoch", "_p", (F.col("_a") - F.col("_np")).alias("_before")))
-    inside = F.sum(F.col("_pre").cast("long")).over(in_second())
-    near = (own.join(reach, ["_g", "epoch"]).withColumn("_kind", F.lit(1))
-            .withColumn("_in", inside)
-            .where(F.col("_t") & (F.col("_p") + F.col("_in") >= rule.limit)))
-    event = F.struct(*EVENT_KEEP[1:2], *EVENT_KEEP[:1], *EVENT_KEEP[2:],
-                     (F.col("_p") + F.col("_in")).alias("live"))
-    return (near.groupBy("_g", (F.col("_before") + F.col("_in")).alias("a"))
-            .agg(F.min(event).alias("event")))
-
-
 def select_apart(points: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     """Greedy selection per `_g` of distinct integers `a` that are `distance` apart.
 
@@ -82,15 +56,3 @@ def select_apart(points: DataFrame, distance: int, block: int = BLOCK) -> DataFr
     return (blocks.join(entered, ["_g", "b"])
             .select("_g", F.explode(picked["chosen"]).alias("c"))
             .select("_g", "c.a", F.when(F.col("c.last") > free, F.col("c.last")).alias("last")))
-
-
-def sequence_hits(events: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
-    able = able_triggers(events, rule)
-    chosen = select_apart(able.select("_g", "a"), rule.limit, block)
-    prior = F.least(F.col("event.live"), F.coalesce(F.col("a") - F.col("last"),
-                                                    F.col("event.live")))
-    return able.join(chosen, ["_g", "a"]).select(
-        *[f"event.{c}" for c in EVENT_KEEP], "_g", F.lit(rule.id).alias("rule_id"),
-        prior.alias("prior_fails"))
-
-

@@ -1,8 +1,15 @@
-"""Trailing-window rules: the count, or the distinct count, of the last W seconds at each event.
+"""Windowed rules: trailing counts, trailing distinct counts and sequences, in shared passes.
 
-An event counts those before it in `(epoch, seq)` order whose time is at least `t - W`. Slots give
-the part before the event's own second; only seconds that can reach the threshold are joined back
-to events, where a running count inside the second settles ties.
+All rules that group by the same field are evaluated together:
+
+1. events are collapsed to slots, one per group and second, with one count per rule (one scan);
+2. look-back windows over the slots give, per rule, what precedes each second, and so the seconds
+   in which a threshold can be reached at all;
+3. only the events of those seconds are fetched (one more scan), and a running count inside the
+   second settles ties: an event counts those before it in `(epoch, seq)` order whose time is at
+   least `t - W`.
+
+Slots are small next to the events and are used several times, so they are checkpointed.
 """
 
 from __future__ import annotations
@@ -13,91 +20,179 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardlog.functions.filters import event_filter
+from wardlog.operators.sequence import select_apart
 from wardlog.operators.timeline import running_totals, trailing
+from wardlog.session import materialise
 from wardlog.sources.rules import Rule, check_group_field
 
 EVENT_KEEP = ("seq", "epoch", "src_ip", "dst_ip", "url", "raw")
-
-
-def in_second():
-    """From the start of the event's second up to the event, in arrival order."""
-    return (Window.partitionBy("_g", "epoch").orderBy("seq", "_kind")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+SECOND = ("_g", "epoch")
 
 
 def any_of(tests: Sequence[Column]) -> Column:
     return reduce(lambda left, right: left | right, tests)
 
 
-def grouped_events(events: DataFrame, group_field: str, flags: dict[str, Column],
-                   *more: str) -> DataFrame:
-    """Events with a group and a time that pass at least one flag."""
-    group = F.col(check_group_field(group_field)).cast("string")
-    wanted = [c for c in dict.fromkeys((*EVENT_KEEP, *more))]
-    return (events.select(*wanted, group.alias("_g"),
-                          *[test.alias(name) for name, test in flags.items()])
-            .where((F.col("_g") != "") & F.col("epoch").isNotNull()
-                   & any_of([F.col(name) for name in flags])))
-
-
-def count_hits(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Hits of count rules that share a group field; all rules in one pass over the slots."""
-    group_field = rules[0].group
-    flags = {f"_f{r.id}": event_filter(r.pattern) for r in rules}
-    own = grouped_events(events, group_field, flags)
-    slots = own.groupBy("_g", "epoch").agg(*[F.count_if(f"_f{r.id}").alias(f"_n{r.id}")
-                                             for r in rules])
-    slots = trailing(slots, ["_g"], {f"_p{r.id}": (F.sum(f"_n{r.id}"), r.window) for r in rules})
-    slots = slots.na.fill(0, [f"_p{r.id}" for r in rules])
-    reach = any_of([(F.col(f"_n{r.id}") > 0)
-                    & (F.col(f"_p{r.id}") + F.col(f"_n{r.id}") >= r.limit) for r in rules])
-    near = own.join(slots.where(reach).drop(*[f"_n{r.id}" for r in rules]), ["_g", "epoch"])
-    counted = near.withColumn("_kind", F.lit(1)).withColumns({
-        f"_c{r.id}": F.col(f"_p{r.id}") + F.sum(F.col(f"_f{r.id}").cast("long")).over(in_second())
-        for r in rules})
-    hits = F.array_compact(F.array(*[
-        F.when(F.col(f"_f{r.id}") & (F.col(f"_c{r.id}") >= r.limit),
-               F.struct(F.lit(r.id).alias("rule_id"), F.col(f"_c{r.id}").alias("count")))
-        for r in rules]))
-    return (counted.withColumn("_h", F.explode(hits))
-            .select(*EVENT_KEEP, "_g", "_h.rule_id", "_h.count"))
-
-
-def distinct_hits(events: DataFrame, rule: Rule) -> DataFrame:
-    """Hits of one distinct-count rule.
-
-    A value seen at second t is active over `[t, t + W]`. Overlapping stretches of one value are
-    merged by what each occurrence adds to the one before; the number of active values is then a
-    running total of +1/-1 steps per group, with no list of values anywhere.
+def is_distinct(rule: Rule) -> bool:
+    return rule.rule_type == "aggregate" and rule.count_mode == "distinct"
+
+
+def is_sequence(rule: Rule) -> bool:
+    return rule.rule_type == "composite"
+
+
+def _value(rule: Rule) -> str:
+    return check_group_field(rule.distinct_field or "dst_port")
+
+
+def _flagged(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame | None) -> DataFrame:
+    """Events with a group and a time that matter to a rule: `_f` what it counts or is triggered
+    by, `_b` what a sequence needs before. `consumed` are earlier hits of sequences, which reset
+    what came before them."""
+    flags: dict[str, Column] = {}
+    for rule in rules:
+        flags[f"_f{rule.id}"] = event_filter(rule.pattern)
+        if is_sequence(rule):
+            flags[f"_b{rule.id}"] = event_filter(rule.match_field) & ~event_filter(rule.pattern)
+    kept = [*EVENT_KEEP, *[_value(r) for r in rules if is_distinct(r)]]
+    group = F.col(check_group_field(rules[0].group)).cast("string")
+    own = (events.select(*dict.fromkeys(kept), group.alias("_g"),
+                         *[test.alias(name) for name, test in flags.items()])
+           .where((F.col("_g") != "") & F.col("epoch").isNotNull()
+                  & any_of([F.col(name) for name in flags])))
+    sequences = [r for r in rules if is_sequence(r)]
+    if consumed is None or not sequences:
+        return own
+    last = consumed.groupBy(F.col("group_value").alias("_g")).agg(*[
+        F.max(F.when(F.col("rule_id") == r.id, F.struct("epoch", "seq"))).alias(f"_last{r.id}")
+        for r in sequences])
+    after = {}
+    for r in sequences:
+        fresh = F.col(f"_last{r.id}").isNull() | (F.struct("epoch", "seq") > F.col(f"_last{r.id}"))
+        after |= {f"_{side}{r.id}": F.col(f"_{side}{r.id}") & fresh for side in "fb"}
+    return own.join(last, "_g", "left").withColumns(after).drop(
+        *[f"_last{r.id}" for r in sequences])
+
+
+def _value_starts(own: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(starts, steps) of a distinct rule.
+
+    A value seen at second t is active over `[t, t + W]`. `starts` are the arrivals at which a
+    value becomes active; `steps` are the +1/-1 changes of the number of active values. What an
+    occurrence adds to the one before it is its stretch past that one's end, so overlapping
+    stretches count once, and no list of values is ever built.
     """
-    field = check_group_field(rule.distinct_field or "dst_port")
-    own = grouped_events(events, rule.group, {"_f": event_filter(rule.pattern)}, field)
-    own = own.withColumn("_v", F.col(field).cast("string"))
-    seen = (own.where(F.col("_v").isNotNull()).groupBy("_g", "_v", "epoch")
-            .agg(F.min("seq").alias("seq")))
+    seen = materialise(
+        own.where(F.col(f"_f{rule.id}") & F.col(_value(rule)).isNotNull())
+        .groupBy("_g", F.col(_value(rule)).cast("string").alias("_v"), "epoch")
+        .agg(F.min("seq").alias("seq")))
     seen = trailing(seen, ["_g", "_v"], {"_prev": (F.max("epoch"), rule.window)})
-    starts = seen.where(F.col("_prev").isNull()).select("_g", "epoch", "seq")
+    ends = F.col("epoch") + rule.window + 1
+    begins = F.coalesce(F.col("_prev") + rule.window + 1, F.col("epoch"))
     steps = seen.select("_g", F.explode(F.array(
-        F.struct((F.col("epoch") + rule.window + 1).alias("epoch"), F.lit(-1).alias("step")),
-        F.struct(F.coalesce(F.col("_prev") + rule.window + 1, F.col("epoch")).alias("epoch"),
-                 F.lit(1).alias("step")))).alias("s")).select("_g", "s.*", F.lit(0).alias("n"))
-    rows = own.groupBy("_g", "epoch").agg(F.lit(0).alias("step"), F.count("*").alias("n"))
-    opened = starts.groupBy("_g", "epoch").agg(F.count("*").alias("opened"))
-    second = (steps.withColumn("opened", F.lit(0))
-              .unionByName(rows.withColumn("opened", F.lit(0)))
-              .unionByName(opened.select("_g", "epoch", F.lit(0).alias("step"),
-                                         F.lit(0).alias("n"), "opened"))
-              .groupBy("_g", "epoch")
-              .agg(F.sum("step").alias("step"), F.sum("n").alias("n"),
-                   F.sum("opened").alias("opened")))
-    active = running_totals(second, ["_g"], {"_active": F.col("step")})
-    reach = (active.where((F.col("n") > 0) & (F.col("_active") >= rule.limit))
-             .select("_g", "epoch", (F.col("_active") - F.col("opened")).alias("_p")))
-    near = own.join(reach, ["_g", "epoch"]).select(
-        *EVENT_KEEP, "_g", "_p", F.lit(1).alias("_kind"), F.lit(0).alias("_new"))
-    marks = starts.join(reach, ["_g", "epoch"]).select(
-        "seq", "epoch", "_g", "_p", F.lit(0).alias("_kind"), F.lit(1).alias("_new"))
-    counted = near.unionByName(marks, allowMissingColumns=True).withColumn(
-        "count", F.col("_p") + F.sum("_new").over(in_second()))
-    return (counted.where((F.col("_kind") == 1) & (F.col("count") >= rule.limit))
-            .select(*EVENT_KEEP, "_g", F.lit(rule.id).alias("rule_id"), "count"))
+        F.struct(ends.alias("epoch"), F.lit(-1).alias("step"), F.lit(0).alias("opened")),
+        F.struct(begins.alias("epoch"), F.lit(1).alias("step"),
+                 F.col("_prev").isNull().cast("int").alias("opened")))).alias("s")
+    ).select("_g", "s.*")
+    return seen.where(F.col("_prev").isNull()).select("_g", "epoch", "seq"), steps
+
+
+def _distinct_reach(slots: DataFrame, steps: DataFrame, rule: Rule) -> DataFrame:
+    """Seconds in which the rule can fire, with the number of values active before them."""
+    changes = (steps.withColumn("n", F.lit(0).cast("bigint"))
+               .unionByName(slots.where(F.col(f"_nf{rule.id}") > 0).select(
+                   *SECOND, F.lit(0).alias("step"), F.lit(0).alias("opened"),
+                   F.col(f"_nf{rule.id}").alias("n")))
+               .groupBy(*SECOND).agg(*[F.sum(c).alias(c) for c in ("step", "opened", "n")]))
+    active = running_totals(changes, ["_g"], {"_active": F.col("step")})
+    return (active.where((F.col("n") > 0) & (F.col("_active") >= rule.limit))
+            .select(*SECOND, (F.col("_active") - F.col("opened")).alias(f"_p{rule.id}")))
+
+
+def _slot_reach(slots: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The same for counts and sequences: `_p` what is in the window before the second, `_a` all
+    preconditions before it."""
+    counted = {r.id: f"_nb{r.id}" if is_sequence(r) else f"_nf{r.id}" for r in rules}
+    before = trailing(slots, ["_g"], {f"_p{r.id}": (F.sum(counted[r.id]), r.window)
+                                      for r in rules}).na.fill(0, [f"_p{r.id}" for r in rules])
+    sequences = [r for r in rules if is_sequence(r)]
+    if sequences:
+        before = running_totals(before, ["_g"], {f"_a{r.id}": F.col(f"_nb{r.id}")
+                                                 for r in sequences})
+        before = before.withColumns({f"_a{r.id}": F.col(f"_a{r.id}") - F.col(f"_nb{r.id}")
+                                     for r in sequences})
+    can = any_of([(F.col(f"_nf{r.id}") > 0)
+                  & (F.col(f"_p{r.id}") + F.col(counted[r.id]) >= r.limit) for r in rules])
+    return before.where(can).select(*SECOND, *[f"_p{r.id}" for r in rules],
+                                    *[f"_a{r.id}" for r in sequences])
+
+
+def _candidates(own: DataFrame, reach: DataFrame, starts: dict[int, DataFrame],
+                rules: Sequence[Rule]) -> DataFrame:
+    """One row per event and rule that reaches its threshold (for sequences: that is able to)."""
+    rows = own.join(reach, list(SECOND)).withColumn("_kind", F.lit(1))
+    for number, marks in starts.items():
+        inside = marks.join(reach.select(*SECOND), list(SECOND), "left_semi")
+        rows = rows.unionByName(inside.select(*SECOND, "seq", F.lit(0).alias("_kind"),
+                                              F.lit(1).alias(f"_new{number}")),
+                                allowMissingColumns=True)
+    so_far = (Window.partitionBy(*SECOND).orderBy("seq", "_kind")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside, found = {}, []
+    for rule in rules:
+        source = (F.col(f"_new{rule.id}") if is_distinct(rule)
+                  else F.col(f"_b{rule.id}" if is_sequence(rule) else f"_f{rule.id}").cast("long"))
+        inside[f"_in{rule.id}"] = F.coalesce(F.sum(source).over(so_far), F.lit(0))
+        total = F.col(f"_p{rule.id}") + F.col(f"_in{rule.id}")
+        position = (F.col(f"_a{rule.id}") + F.col(f"_in{rule.id}") if is_sequence(rule)
+                    else F.lit(None))
+        found.append(F.when(F.col(f"_f{rule.id}") & (total >= rule.limit), F.struct(
+            F.lit(rule.id).alias("rule_id"), total.cast("long").alias("n"),
+            position.cast("long").alias("a"))))
+    return (rows.withColumns(inside).where(F.col("_kind") == 1)
+            .withColumn("_h", F.explode_outer(F.array_compact(F.array(*found))))
+            .where(F.col("_h").isNotNull()).select(*EVENT_KEEP, "_g", "_h.*"))
+
+
+def _sequence_hits(able: DataFrame, rule: Rule, block: int | None) -> DataFrame:
+    """Of the triggers able to fire, those that do; `prior_fails` is what they consumed."""
+    first = able.groupBy("_g", "a").agg(F.min(F.struct(
+        "epoch", "seq", "src_ip", "dst_ip", "url", "raw", "n")).alias("e"))
+    chosen = select_apart(first.select("_g", "a"), rule.limit, **({"block": block} if block else {}))
+    prior = F.least(F.col("e.n"), F.coalesce(F.col("a") - F.col("last"), F.col("e.n")))
+    return first.join(chosen, ["_g", "a"]).select(
+        *[f"e.{c}" for c in EVENT_KEEP], "_g", F.lit(rule.id).alias("rule_id"),
+        F.lit(None).cast("long").alias("count"), prior.alias("prior_fails"))
+
+
+def windowed_hits(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame | None = None,
+                  block: int | None = None) -> DataFrame:
+    """Hits of windowed rules that share a group field: EVENT_KEEP, _g, rule_id, count,
+    prior_fails."""
+    own = _flagged(events, rules, consumed)
+    slots = materialise(own.groupBy(*SECOND).agg(
+        *[F.count_if(f"_f{r.id}").alias(f"_nf{r.id}") for r in rules],
+        *[F.count_if(f"_b{r.id}").alias(f"_nb{r.id}") for r in rules if is_sequence(r)]))
+    plain = [r for r in rules if not is_distinct(r)]
+    reaches = [_slot_reach(slots, plain)] if plain else []
+    starts = {}
+    for rule in rules:
+        if is_distinct(rule):
+            starts[rule.id], steps = _value_starts(own, rule)
+            reaches.append(_distinct_reach(slots, steps, rule))
+    reach = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reaches)
+    if len(reaches) > 1:
+        reach = reach.groupBy(*SECOND).agg(*[F.max(c).alias(c) for c in reach.columns
+                                             if c not in SECOND])
+    found = _candidates(own, reach, starts, rules)
+    sequences = [r for r in rules if is_sequence(r)]
+    if sequences:
+        found = materialise(found)
+    none = F.lit(None).cast("long")
+    hits = (found.where(F.col("a").isNull())
+            .select(*EVENT_KEEP, "_g", "rule_id", F.col("n").alias("count"),
+                    none.alias("prior_fails")))
+    for rule in sequences:
+        hits = hits.unionByName(_sequence_hits(
+            found.where(F.col("rule_id") == rule.id), rule, block))
+    return hits

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from wardlog.constants import (COUNT_MESSAGE, EVIDENCE_CHARS, SEQUENCE_MESSAGE, SIGNATURES)
 from wardlog.functions import filters
 from wardlog.functions.filters import event_filter
-from wardlog.functions.signatures import custom_match, has_class
-from wardlog.functions.text import clip, decode_once, field_text
-from wardlog.operators.sequence import sequence_hits
-from wardlog.operators.windowed import EVENT_KEEP, count_hits, distinct_hits
+from wardlog.functions.signatures import (class_test, custom_match, decoded_lowered,
+                                          lowered)
+from wardlog.functions.text import clip, field_text
+from wardlog.operators.windowed import EVENT_KEEP, windowed_hits
 from wardlog.sources.rules import Rule, rules_frame
 
 HIT_COLUMNS = ("rule_id", "rule_name", "category", "severity", *EVENT_KEEP, "matched_text",
@@ -24,33 +24,37 @@ def _text_kind(match_field: str | None) -> str:
     return match_field if match_field in ("url", "user_agent", "username") else "any"
 
 
-def rule_test(rule: Rule, text: Column, decoded: Column) -> Column:
+def rule_test(rule: Rule) -> Column:
     """Boolean of a regex rule: a signature class, else an event filter, else a pattern."""
-    pattern = rule.pattern or ""
+    pattern, kind = rule.pattern or "", _text_kind(rule.match_field)
     if pattern in SIGNATURES:
-        return has_class(text, pattern, decoded) & (F.length(text) > 0)
+        return class_test(pattern, F.col(f"_low_{kind}"), F.col(f"_declow_{kind}"))
     if pattern in filters.names():
         return event_filter(pattern)
-    return custom_match(text, pattern, decoded)
+    return custom_match(F.col(f"_text_{kind}"), pattern)
 
 
 def with_texts(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """The texts the rules look at and their decoded forms, each computed once per event."""
+    """The texts the rules look at, in the forms they are searched in, each made once."""
     kinds = sorted({_text_kind(r.match_field) for r in rules})
-    return (events.withColumns({f"_text_{k}": field_text(k) for k in kinds})
-            .withColumns({f"_decoded_{k}": decode_once(F.col(f"_text_{k}")) for k in kinds}))
+    searched = sorted({_text_kind(r.match_field) for r in rules if r.pattern in SIGNATURES})
+    out = events.withColumns({f"_text_{k}": field_text(k) for k in kinds})
+    for k in searched:
+        out = out.withColumns({f"_low_{k}": lowered(F.col(f"_text_{k}")),
+                               f"_declow_{k}": decoded_lowered(F.col(f"_text_{k}"))})
+    return out
 
 
 def regex_hits(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One projection for all regex rules, then one row per hit. No shuffle."""
     found = []
     for rule in rules:
-        kind = _text_kind(rule.match_field)
-        text = F.col(f"_text_{kind}")
-        found.append(F.when(rule_test(rule, text, F.col(f"_decoded_{kind}")), F.struct(
+        text = F.col(f"_text_{_text_kind(rule.match_field)}")
+        found.append(F.when(rule_test(rule), F.struct(
             F.lit(rule.id).alias("rule_id"), clip(text, EVIDENCE_CHARS).alias("matched_text"))))
     return (with_texts(events, rules)
-            .select(*EVENT_KEEP, F.explode(F.array_compact(F.array(*found))).alias("_h"))
+            .select(*EVENT_KEEP, F.explode_outer(F.array_compact(F.array(*found))).alias("_h"))
+            .where(F.col("_h").isNotNull())
             .select(*EVENT_KEEP, "_h.rule_id", "_h.matched_text"))
 
 
@@ -62,43 +66,24 @@ def _usable(rule: Rule) -> bool:
     return rule.rule_type == "regex" and bool(rule.pattern)
 
 
-def not_consumed(events: DataFrame, rule: Rule, consumed: DataFrame) -> DataFrame:
-    """Events after the last hit of a sequence rule in their group (a hit resets the sequence).
-
-    consumed: rule_id, group_value, epoch, seq.
-    """
-    last = (consumed.where(F.col("rule_id") == rule.id).groupBy("group_value")
-            .agg(F.max(F.struct("epoch", "seq")).alias("_last")))
-    group = F.col(rule.group).cast("string")
-    return (events.join(last, group == F.col("group_value"), "left")
-            .where(F.col("_last").isNull() | (F.struct("epoch", "seq") > F.col("_last")))
-            .drop("_last", "group_value"))
-
-
 def detect(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame | None = None
            ) -> DataFrame:
     """Hits of all enabled rules.
 
-    Count rules that share a group field are evaluated together. `events` is read once for the
-    signatures and twice for each windowed family; where it is expensive to produce (parsed from
-    text), write it first or persist it. `consumed` are earlier hits of sequence rules.
+    Signature rules are one pass over the events; windowed rules that share a group field are two
+    more, whatever their number. `consumed` are earlier hits of sequence rules (rule_id,
+    group_value, epoch, seq). Slots are checkpointed while the plan is built.
     """
     active = [r for r in rules if r.enabled and _usable(r)]
     parts: list[DataFrame] = []
     regex = [r for r in active if r.rule_type == "regex"]
     if regex:
         parts.append(regex_hits(events, regex))
-    counts: dict[str, list[Rule]] = {}
-    for rule in active:
-        if rule.rule_type == "aggregate" and rule.count_mode != "distinct":
-            counts.setdefault(rule.group, []).append(rule)
-    parts += [count_hits(events, family) for family in counts.values()]
-    parts += [distinct_hits(events, r) for r in active
-              if r.rule_type == "aggregate" and r.count_mode == "distinct"]
+    families: dict[str, list[Rule]] = {}
     for rule in active:
-        if rule.rule_type == "composite":
-            fresh = events if consumed is None else not_consumed(events, rule, consumed)
-            parts.append(sequence_hits(fresh, rule))
+        if rule.rule_type != "regex":
+            families.setdefault(rule.group, []).append(rule)
+    parts += [windowed_hits(events, family, consumed) for family in families.values()]
     if not parts:
         raise ValueError("no usable rule")
     hits = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -131,9 +116,8 @@ def dry_run(parsed: DataFrame, rule: Rule) -> DataFrame:
     """For sample lines: was it parsed, did the rule match, does it count toward the window."""
     ready = with_texts(parsed, [rule])
     is_event = F.col("log_type").isNotNull()
-    kind = _text_kind(rule.match_field if rule.rule_type == "regex" else None)
     if rule.rule_type == "regex":
-        matched = is_event & rule_test(rule, F.col(f"_text_{kind}"), F.col(f"_decoded_{kind}"))
+        matched = is_event & rule_test(rule)
         counted = F.lit(False)
         reason = F.when(matched, "matched").otherwise("no match")
     else:

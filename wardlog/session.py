@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # recording the Python call site of every expression takes half the time of building a plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -32,6 +34,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give an input of fewer splits than cores (one small file) the session's parallelism.
+
+    Inputs with enough splits are returned as they are.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor costs no recomputation.
 

@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardlog.functions import timewin
-from wardlog.functions.text import url_host
+from wardlog.functions.text import once, url_host
+from wardlog.session import spread
 
 YEAR = 2024
+# tables whose rows are costly to evaluate, and the key that spreads them evenly
+SPREAD_BY = {"events": "event_id", "pages": "page_id"}
 PREFIXES = ("10.0.0.", "203.0.113.", "45.155.205.", "113.108.20.", "171.208.33.", "8.8.8.")
 USERS = ("root", "admin", "alice", "bob")
 AGENTS = ("Mozilla/5.0 (X11; Linux x86_64)", "curl/8.4.0", "-", "", "sqlmap/1.7")
@@ -27,7 +30,8 @@ FINDING_TYPES = ("sqli", "xss", "path_traversal", "sensitive_file", "security_he
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, SPREAD_BY[name]) if name in SPREAD_BY else df
 
 
 def _pick(values, index):
@@ -44,7 +48,7 @@ def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised events without going through text (`raw` is rendered lazily)."""
+    """Normalised events without going through text."""
     kind = F.col("event_type")
     is_ssh, is_scan = kind.isin("error", "signup"), kind == "purchase"
     is_web = ~is_ssh & ~is_scan
@@ -92,8 +96,8 @@ def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.lit(" +0800] \""), "method", F.lit(" "), "url", F.lit(" HTTP/1.1\" "),
                    F.col("status_code").cast("string"), F.lit(" "), (100 + k).cast("string"),
                    F.lit(" \"-\" \""), "user_agent", F.lit("\""))
-    return base.withColumn("raw", F.when(F.col("log_type") == "ssh", ssh)
-                           .when(F.col("log_type") == "scan", scan).otherwise(web)).drop("_flags")
+    raw = F.when(F.col("log_type") == "ssh", ssh).when(F.col("log_type") == "scan", scan)
+    return once(base, raw=raw.otherwise(web)).drop("_flags")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

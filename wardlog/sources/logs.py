@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wardlog.constants import (PORT_PROBE, SOURCE_TYPE_ALIASES, SSH_INVALID_USER, SSH_LOGIN,
                                WEB_ACCESS)
 from wardlog.functions import timewin
+from wardlog.functions.text import once
 
 # U+FDD0 is a code point reserved for internal use by programs; in input it is treated like an
 # undecodable character.
@@ -88,9 +89,7 @@ def parse(lines: DataFrame, source_type: str | Column = "auto", *, year: int | C
     """
     year = F.lit(year) if isinstance(year, int) else year
     trimmed = F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"^\s+|\s+$", "")
-    matched = (lines.withColumn("_raw", trimmed)
-               .select(*keep, F.col("_raw").alias("raw"),
-                       _matched(source_type, F.col("_raw")).alias("_g")))
+    matched = once(lines.withColumn("raw", trimmed), _g=_matched(source_type, F.col("raw")))
 
     def pick(**positions: int) -> Column:
         """The group at a position that depends on the kind of line."""
