@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardlog.constants import (BASELINE_SIMILARITY, EXISTS_CODES, FIELD_PATTERN, FORM_PATTERN,
                                LINK_PATTERN, SKIP_INPUT_TYPES, SKIP_PARAMS)
-from wardlog.functions.text import decode_once, same_origin, url_scheme
+from wardlog.functions.text import decode_once, once, same_origin, url_scheme
 
 DEFAULT_VALUE = "test"
 
@@ -187,13 +187,22 @@ def listing_order() -> list[Column]:
     return [F.col("host"), (F.col("status") != 200).asc(), F.col("path")]
 
 
-def shingles(text: Column, size: int = 3) -> Column:
-    """Distinct word shingles of the whole text; a shorter text is one shingle."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"),
-                     lambda w: w != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"),
+                    lambda w: w != "")
+
+
+def with_shingles(df: DataFrame, name: str, size: int = 3) -> DataFrame:
+    """Distinct word shingles of the whole `body`; a shorter text is one shingle.
+
+    The words are a column of their own: an expression inside a lambda would be evaluated again
+    for every shingle.
+    """
+    words = F.col("_words")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))),
                         lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " ")))
-    return F.array_distinct(grams)
+    ready = once(df, _words=words_of(F.col("body")))
+    return once(ready, **{name: F.array_distinct(grams)}).drop("_words")
 
 
 def near_baseline(responses: DataFrame, baselines: DataFrame,
@@ -202,11 +211,11 @@ def near_baseline(responses: DataFrame, baselines: DataFrame,
 
     Jaccard similarity of word shingles over whole bodies; each response meets one baseline only.
     """
-    base = baselines.groupBy("host").agg(F.max("body").alias("_b")).withColumn(
-        "_base", shingles(F.col("_b"))).drop("_b")
+    base = with_shingles(baselines.groupBy("host").agg(F.max("body").alias("body")),
+                         "_base").drop("body")
     common = F.size(F.array_intersect("_own", "_base"))
     every = F.size("_own") + F.size("_base") - common
-    return (responses.withColumn("_own", shingles(F.col("body"))).join(base, "host", "left")
+    return (with_shingles(responses, "_own").join(base, "host", "left")
             .withColumn("similarity", F.coalesce(F.try_divide(common, every), F.lit(0.0)))
             .withColumn("is_copy", (F.col("similarity") >= limit)
                         & (F.col("status") == 200) & F.col("_base").isNotNull())

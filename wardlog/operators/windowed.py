@@ -184,6 +184,8 @@ def windowed_hits(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame
     if len(reaches) > 1:
         reach = reach.groupBy(*SECOND).agg(*[F.max(c).alias(c) for c in reach.columns
                                              if c not in SECOND])
+    if starts:
+        reach = materialise(reach)   # used for the events and for the starts of values
     found = _candidates(own, reach, starts, rules)
     sequences = [r for r in rules if is_sequence(r)]
     if sequences:
