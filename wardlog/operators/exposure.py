@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wardlog.constants import (ADVISORIES, ARCHIVE_MAGIC, DATABASE_ERRORS, FINGERPRINT_HEADERS,
                                LEAKED_FILES, MIN_HSTS_SECONDS, PATH_VARIANTS, SECURITY_HEADERS,
                                SENSITIVE_FILES, TECHNOLOGIES)
+from wardlog.functions.text import once
 
 SEVERITY_STEPS = ("info", "low", "mid", "high", "critical")
 
@@ -158,20 +159,19 @@ def bump(severity: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, severity), severity)
 
 
-def _evidence(body: Column, pattern: str) -> Column:
+def _evidence(body: Column, pattern: Column) -> Column:
     """30 characters before to 60 after the first match, on one line, 200 at most."""
-    at = F.regexp_instr(body, F.lit(pattern))
-    match = F.regexp_extract(body, f"({pattern})", 1) if not pattern.startswith("(?") else \
-        F.regexp_substr(body, F.lit(pattern))
+    at = F.regexp_instr(body, pattern)
     start = F.greatest(at - 30, F.lit(1))
-    cut = F.substring(body, start, at + F.length(match) + 60 - start)
-    return F.when(at > 0, F.substring(F.trim(F.replace(cut, F.lit("\n"), F.lit(" "))), 1, 200))
+    cut = F.substring(body, start, at + F.length(F.regexp_substr(body, pattern)) + 60 - start)
+    return F.substring(F.trim(F.replace(cut, F.lit("\n"), F.lit(" "))), 1, 200)
 
 
 def sensitive_files(responses: DataFrame) -> DataFrame:
     """Responses (host, path, status, headers, body) whose path and content show a sensitive file.
 
-    A path spelt as a known variant counts as the listed one, one severity step higher.
+    A path spelt as a known variant counts as the listed one, one severity step higher. Only the
+    patterns of the response's own path are tried.
     """
     variants = F.create_map(*[F.lit(x) for kv in PATH_VARIANTS for x in kv])
     asked = F.regexp_replace("path", "^/", "")
@@ -182,20 +182,23 @@ def sensitive_files(responses: DataFrame) -> DataFrame:
     kind = header("content-type")
     cases = []
     for path, name, severity, archive, patterns in SENSITIVE_FILES:
+        pattern, proof = F.lit(None).cast("string"), F.lit(None).cast("string")
         if archive:
             proof = F.when(F.col("body").startswith(ARCHIVE_MAGIC), "ZIP magic").when(
                 F.lower(kind).contains("zip"), F.concat(F.lit("Content-Type: "), kind))
         else:
-            proof = F.coalesce(*[_evidence(F.col("body"), p) for p in patterns])
-        cases.append(F.when((F.col("_listed") == path) & proof.isNotNull(), F.struct(
+            pattern = F.coalesce(*[F.when(F.col("body").rlike(p), F.lit(p)) for p in patterns])
+        cases.append(F.when(F.col("_listed") == path, F.struct(
             F.lit(name).alias("name"), F.lit(severity).alias("severity"),
-            proof.alias("evidence"))))
-    found = ready.withColumn("_f", F.coalesce(*cases)).where(F.col("_f").isNotNull())
+            pattern.alias("pattern"), proof.alias("proof"))))
+    found = once(ready, _f=F.coalesce(*cases)).where(
+        F.col("_f.pattern").isNotNull() | F.col("_f.proof").isNotNull())
     is_variant = F.col("_asked") != F.col("_listed")
     return found.select(
         "host", "path", F.col("_listed").alias("listed_path"), "_f.name",
         F.when(is_variant, bump(F.col("_f.severity"))).otherwise(F.col("_f.severity"))
-        .alias("severity"), is_variant.alias("is_variant"), "_f.evidence")
+        .alias("severity"), is_variant.alias("is_variant"),
+        F.coalesce("_f.proof", _evidence(F.col("body"), F.col("_f.pattern"))).alias("evidence"))
 
 
 def leaked_file(body: Column, exclude: Column | None = None) -> Column:
