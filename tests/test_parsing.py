@@ -89,11 +89,12 @@ def test_labelled_requests_match_their_class(spark):
     frame = spark.createDataFrame(list(expected.items()), "url string, cls string")
     assert signatures.audit_requests(frame).count() == 0
     benign = spark.createDataFrame([(u,) for u in fixtures.URLS[:5]], "url string")
-    assert [r[0] for r in benign.select(signatures.first_class(F.col("url"))).collect()] == [""] * 5
+    first = signatures.with_first_class(benign, F.col("url"), "c")
+    assert [r.c for r in first.collect()] == [""] * 5
     edge = spark.createDataFrame([("/article/../article/1",)], "url string")
-    assert edge.select(signatures.first_class(F.col("url"))).first()[0] == "traversal"
-    double = fixtures.URLS[11]
-    assert values(spark, signatures.all_classes(F.lit(double)))[0] == ["double_encode"]
+    assert signatures.with_first_class(edge, F.col("url"), "c").first().c == "traversal"
+    double = spark.createDataFrame([(fixtures.URLS[11],)], "url string")
+    assert signatures.with_classes(double, F.col("url"), "c").first().c == ["double_encode"]
 
 
 def test_prefilter_never_hides_a_match(spark):

@@ -63,8 +63,7 @@ for _name in SIGNATURES:
 SELECT log_type, src_ip, count(*) AS events FROM ev WHERE {sql_class(sql_text('any'), _name)}
 GROUP BY log_type, src_ip"""))
     def _signature(spark, sf, name=_name):
-        text = field_text("any")
-        return (events(spark, sf).where(signatures.has_class(text, name))
+        return (signatures.of_class(events(spark, sf), field_text("any"), name)
                 .groupBy("log_type", "src_ip").agg(F.count("*").alias("events")))
 
 
@@ -86,10 +85,11 @@ _ORDERED = "CASE " + " ".join(
 SELECT {_FIRST} AS first_class, {_ORDERED} AS ordered_class, count(*) AS events
 FROM ev WHERE url IS NOT NULL GROUP BY ALL"""))
 def first_class(spark, sf):
-    return (events(spark, sf).where("url is not null")
-            .groupBy(signatures.first_class(F.col("url")).alias("first_class"),
-                     signatures.first_class(F.col("raw"), ("traversal", "xss", "sqli"))
-                     .alias("ordered_class")).agg(F.count("*").alias("events")))
+    own = signatures.with_first_class(events(spark, sf).where("url is not null"), F.col("url"),
+                                      "first_class")
+    return (signatures.with_first_class(own, F.col("raw"), "ordered_class",
+                                        ("traversal", "xss", "sqli"))
+            .groupBy("first_class", "ordered_class").agg(F.count("*").alias("events")))
 
 
 @query("all_matching_classes", with_ev("""
@@ -98,8 +98,7 @@ hit AS (""" + " UNION ALL ".join(
     for n in SIGNATURES) + ")", """
 SELECT src_ip, class, count(*) AS events FROM hit GROUP BY src_ip, class"""))
 def every_class(spark, sf):
-    return (events(spark, sf)
-            .select("src_ip", F.explode(signatures.all_classes(field_text("any"))).alias("class"))
+    return (signatures.explode_classes(events(spark, sf), field_text("any"), "class")
             .groupBy("src_ip", "class").agg(F.count("*").alias("events")))
 
 
@@ -119,8 +118,8 @@ SELECT {_FIRST} AS class, CASE {_FIRST} """ + " ".join(
     f"WHEN '{k}' THEN {quoted(v)}" for k, v in SIGNATURE_LABELS.items()) + """ ELSE '—' END AS label,
        count(*) AS events FROM ev WHERE url IS NOT NULL GROUP BY ALL"""))
 def labels(spark, sf):
-    return (events(spark, sf).where("url is not null")
-            .groupBy(signatures.first_class(F.col("url")).alias("class"))
+    own = events(spark, sf).where("url is not null")
+    return (signatures.with_first_class(own, F.col("url"), "class").groupBy("class")
             .agg(F.count("*").alias("events"))
             .withColumn("label", signatures.class_label(F.col("class"))))
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardlog.constants import SIGNATURE_LABELS, SIGNATURES
-from wardlog.functions.text import decode_once, label_of
+from wardlog.functions.text import decode_once, label_of, once
 
 
 # Lower-case substrings one of which occurs in every match of the class. Searching for them is
@@ -62,17 +62,50 @@ def has_class(text: Column, name: str) -> Column:
     return class_test(name, lowered(text), decoded_lowered(text))
 
 
-def first_class(text: Column, names: Iterable[str] | None = None) -> Column:
-    """The first class, in the order given, that matches; '' when none does."""
-    chosen = [n for n in (list(names or ()) or list(SIGNATURES)) if n in SIGNATURES]
-    cases = [F.when(has_class(text, n), F.lit(n)) for n in chosen]
-    return F.coalesce(*cases, F.lit(""))
+def _chosen(names: Iterable[str] | None) -> list[str]:
+    return [n for n in (list(names or ()) or list(SIGNATURES)) if n in SIGNATURES]
 
 
-def all_classes(text: Column, names: Iterable[str] | None = None) -> Column:
-    """Every class that matches, as an array in declaration order."""
-    chosen = [n for n in (list(names or ()) or list(SIGNATURES)) if n in SIGNATURES]
-    return F.array_compact(F.array(*[F.when(has_class(text, n), F.lit(n)) for n in chosen]))
+def searchable(df: DataFrame, text: Column) -> DataFrame:
+    """Add `_low` and `_declow`, the two forms of a text that signatures are searched in."""
+    ready = once(df, _text=F.coalesce(text, F.lit("")))
+    forms = F.struct(lowered(F.col("_text")).alias("low"),
+                     decoded_lowered(F.col("_text")).alias("dec"))
+    return (once(ready, _forms=forms)
+            .withColumns({"_low": F.col("_forms.low"), "_declow": F.col("_forms.dec")})
+            .drop("_text", "_forms"))
+
+
+def _tests(names: list[str]) -> list[Column]:
+    return [F.when(class_test(n, F.col("_low"), F.col("_declow")), F.lit(n)) for n in names]
+
+
+def of_class(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Rows whose text matches one class."""
+    return searchable(df, text).where(
+        class_test(name, F.col("_low"), F.col("_declow"))).drop("_low", "_declow")
+
+
+def with_first_class(df: DataFrame, text: Column, into: str,
+                     names: Iterable[str] | None = None) -> DataFrame:
+    """Add the first class, in the order given, that matches; '' when none does."""
+    return once(searchable(df, text), **{into: F.coalesce(*_tests(_chosen(names)), F.lit(""))}
+                ).drop("_low", "_declow")
+
+
+def with_classes(df: DataFrame, text: Column, into: str,
+                 names: Iterable[str] | None = None) -> DataFrame:
+    """Add every class that matches, as an array in declaration order."""
+    return once(searchable(df, text), **{into: F.array_compact(F.array(*_tests(_chosen(names))))}
+                ).drop("_low", "_declow")
+
+
+def explode_classes(df: DataFrame, text: Column, into: str,
+                    names: Iterable[str] | None = None) -> DataFrame:
+    """One row per class that matches."""
+    found = F.explode_outer(F.array_compact(F.array(*_tests(_chosen(names)))))
+    return (searchable(df, text).withColumn(into, found).where(F.col(into).isNotNull())
+            .drop("_low", "_declow"))
 
 
 def valid_pattern(pattern: str) -> bool:
@@ -99,8 +132,8 @@ def class_label(name: Column) -> Column:
 def audit_requests(requests: DataFrame, cls: str = "cls", url: str = "url") -> DataFrame:
     """Labelled requests whose class has no signature, or is not matched by it."""
     known = F.col(cls).isin(*SIGNATURES)
-    matched = F.array_contains(all_classes(F.col(url)), F.col(cls))
-    return (requests
+    matched = F.array_contains("_classes", F.col(cls))
+    return (with_classes(requests, F.col(url), "_classes")
             .withColumn("reason", F.when(~known, "no signature for this class")
                         .when(~matched, "not matched by its signature"))
-            .where(F.col("reason").isNotNull()))
+            .where(F.col("reason").isNotNull()).drop("_classes"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardlog.constants import FINDING_CLASS, SIGNATURE_LABELS
 from wardlog.functions import timewin
-from wardlog.functions.signatures import all_classes
+from wardlog.functions.signatures import explode_classes
 from wardlog.functions.text import label_of, url_host, url_path
 
 CLASSES = tuple(dict.fromkeys(c for c in FINDING_CLASS.values() if c))
@@ -44,8 +44,7 @@ def targets(findings: DataFrame) -> DataFrame:
 def _match(findings: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
     """rows x distinct (path, class), matched on class and path; `rows` has `url`."""
     wanted = targets(findings).select("_prefix", "class").distinct()
-    classed = rows.withColumn("class", F.explode_outer(
-        all_classes(F.coalesce("url", F.lit("")), CLASSES))).where(F.col("class").isNotNull())
+    classed = explode_classes(rows, F.col("url"), "class", CLASSES)
     if mode == "exact":
         keyed = classed.withColumn("_prefix", F.lower(url_path(F.col("url"))))
         return keyed.join(wanted, ["_prefix", "class"])

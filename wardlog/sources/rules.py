@@ -11,6 +11,7 @@ from wardlog import schema
 from wardlog.constants import BUILTIN_RULES, RULE_SEVERITIES, RULE_TYPES, SIGNATURES
 from wardlog.functions import filters
 from wardlog.functions.signatures import valid_pattern
+from wardlog.operators.statistics import attach
 
 MAX_RULES = 10_000
 
@@ -83,7 +84,7 @@ def reset_builtin(spark: SparkSession, current: DataFrame) -> DataFrame:
     seed = rules_frame(spark, builtin_rules())
     restored = ("severity", "threshold", "time_window", "group_field", "match_field",
                 "description")
-    next_id = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     c, s = current.alias("c"), seed.alias("s")
     joined = c.join(s, (F.col("c.name") == F.col("s.name")) & F.col("c.is_builtin"), "full_outer")
     known, seeded = F.col("c.name").isNotNull(), F.col("s.name").isNotNull()
@@ -98,7 +99,7 @@ def reset_builtin(spark: SparkSession, current: DataFrame) -> DataFrame:
         else:
             value = F.when(known, F.col(f"c.{name}")).otherwise(F.col(f"s.{name}"))
         columns.append(value.cast(current.schema[name].dataType).alias(name))
-    return joined.crossJoin(next_id).select(*columns)
+    return attach(joined, top).select(*columns)
 
 
 def rule_problems(table: DataFrame) -> DataFrame:
