@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardlog.constants import (ALERT_STATUS, MAX_SAMPLES, MERGE_GAP_SECONDS, ML_RULE_NAME,
-                               OPEN_STATUS, SAMPLE_CHARS)
+from wardlog.constants import (ALERT_STATUS, MAX_SAMPLES, MERGE_GAP_SECONDS, ML_EVIDENCE,
+                               ML_MESSAGE, ML_NO_FEATURES, ML_RULE_NAME, OPEN_STATUS,
+                               SAMPLE_CHARS)
 from wardlog.functions.text import clip
 from wardlog.functions import timewin
 from wardlog.operators.timeline import chunked
@@ -173,7 +174,7 @@ def ml_hits(detections: DataFrame, threshold: float = 0.6, limit: int = 50) -> D
     parts = F.transform(F.slice("top_features", 1, 3), lambda c: F.concat(
         c["feature"], F.when(c["deviation"] > 0, "↑").otherwise("↓"),
         F.round(c["abs_deviation"], 2).cast("string"), F.lit("σ")))
-    text = F.when(F.size("top_features") > 0, F.array_join(parts, "、")).otherwise("（无）")
+    text = F.when(F.size("top_features") > 0, F.array_join(parts, "、")).otherwise(ML_NO_FEATURES)
     source = F.coalesce("src_ip", F.lit("unknown"))
     score = F.col("anomaly_score")
     return (detections.where(score >= threshold)
@@ -184,11 +185,9 @@ def ml_hits(detections: DataFrame, threshold: float = 0.6, limit: int = 50) -> D
                 F.col("epoch").alias("seq"), "epoch", source.alias("src_ip"),
                 F.lit(None).cast("string").alias("dst_ip"),
                 F.lit(None).cast("string").alias("url"),
-                F.concat(F.lit("[ML异常] IP="), source, F.lit(" 异常分="), score.cast("string"),
-                         F.lit(" 时间窗="), timewin.iso(F.col("epoch")), F.lit(" 主要偏离特征："), text)
-                .alias("raw"),
-                F.concat(F.lit("异常分 "), score.cast("string"), F.lit("（行为特征偏离正常基线）"))
-                .alias("matched_text"),
+                F.format_string(ML_EVIDENCE, source, score.cast("string"),
+                                timewin.iso(F.col("epoch")), text).alias("raw"),
+                F.format_string(ML_MESSAGE, score.cast("string")).alias("matched_text"),
                 F.lit(None).cast("bigint").alias("count"),
                 F.lit(None).cast("bigint").alias("prior_fails"),
                 F.lit(None).cast("int").alias("window_s")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardlog.constants import (ADVISORIES, ARCHIVE_MAGIC, DATABASE_ERRORS, FINGERPRINT_HEADERS,
                                LEAKED_FILES, MIN_HSTS_SECONDS, PATH_VARIANTS, SECURITY_HEADERS,
-                               SENSITIVE_FILES, TECHNOLOGIES)
+                               SENSITIVE_FILES, TECHNOLOGIES, WEAK_VALUES)
 from wardlog.functions.text import once
 
 SEVERITY_STEPS = ("info", "low", "mid", "high", "critical")
@@ -32,26 +32,27 @@ def with_headers(responses: DataFrame) -> DataFrame:
     return responses.withColumn("_headers", lower_keys(F.col("headers")))
 
 
-def weak_reason(name: str, value: Column) -> Column:
-    """Why a security header's value gives no protection; NULL when it does."""
-    text = F.trim(F.coalesce(value, F.lit("")))
-    low = F.lower(text)
+def _is_weak(name: str, low: Column) -> Column:
     if name == "X-Frame-Options":
-        bad = low.isin("allowall", "allow-all", "*") | low.startswith("allow-from")
-        return F.when(bad, F.concat(F.lit("值「"), text, F.lit("」无效")))
+        return low.isin("allowall", "allow-all", "*") | low.startswith("allow-from")
     if name == "Content-Security-Policy":
-        bad = (low.rlike(r"default-src\s+\*|script-src\s+\*") | low.contains("unsafe-inline")
-               | low.contains("unsafe-eval"))
-        return F.when(bad, F.concat(F.lit("策略含「*」或 unsafe-inline/unsafe-eval（值："),
-                                    F.substring(text, 1, 60), F.lit("）")))
+        return (low.rlike(r"default-src\s+\*|script-src\s+\*") | low.contains("unsafe-inline")
+                | low.contains("unsafe-eval"))
     if name == "X-Content-Type-Options":
-        return F.when(low != "nosniff", F.concat(F.lit("值「"), text, F.lit("」应为 nosniff")))
+        return low != "nosniff"
     if name == "Strict-Transport-Security":
-        age = F.regexp_extract(low, r"max-age\s*=\s*(\d+)", 1).try_cast("decimal(38,0)")
-        return F.when(F.coalesce(age < MIN_HSTS_SECONDS, low.rlike(r"max-age\s*=\s*\d+") == F.lit(
-            False), F.lit(False)), F.concat(F.lit("max-age 过短或缺失（值："), text, F.lit("）")))
-    bad = low.isin("unsafe-url", "no-referrer-when-downgrade", "")
-    return F.when(bad, F.concat(F.lit("值「"), text, F.lit("」会泄露来源信息")))
+        # an age of more digits than a number holds is long enough; no age at all is not
+        age = F.nullif(F.regexp_extract(low, r"max-age\s*=\s*(\d+)", 1), F.lit(""))
+        return age.isNull() | F.coalesce(age.try_cast("decimal(38,0)") < MIN_HSTS_SECONDS,
+                                         F.lit(False))
+    return low.isin("unsafe-url", "no-referrer-when-downgrade", "")
+
+
+def weak_reason(name: str, value: Column) -> Column:
+    """Why a security header's value gives no protection; NULL when it does."""
+    text = F.trim(F.coalesce(value, F.lit("")))
+    shown = F.substring(text, 1, 60) if name == "Content-Security-Policy" else text
+    return F.when(_is_weak(name, F.lower(text)), F.format_string(WEAK_VALUES[name], shown))
 
 
 def header_audit(responses: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardlog.constants import SEVERITY_LABELS, SEVERITY_RANK
+from wardlog.constants import (BRIEF_COUNT, BRIEF_HEAD, BRIEF_SOURCE, BRIEF_TARGET,
+                               REPORT_TARGET, SEVERITY_LABELS, SEVERITY_RANK, SUMMARY_LINE,
+                               SUMMARY_NONE)
 from wardlog.functions import timewin
 from wardlog.functions.text import contains_ci, label_of
 
@@ -122,14 +124,14 @@ def daily_samples(alerts: DataFrame, as_of: Column, hours: int = 24, limit: int
     """The latest alerts, one line each."""
     latest = _recent(alerts, as_of, hours).orderBy(
         F.desc("last_seen"), "title", "src_ip", "first_seen").limit(limit)
+    def part(test: Column, form: str, value: Column) -> Column:
+        return F.when(test, F.format_string(form, value)).otherwise("")
+
     line = F.concat(
-        F.lit("["), F.col("severity"), F.lit("] "), F.col("title"),
-        F.when(F.coalesce("src_ip", F.lit("")) != "", F.concat(F.lit(" 来源 "), F.col("src_ip")))
-        .otherwise(""),
-        F.when(F.coalesce("url", F.lit("")) != "",
-               F.concat(F.lit(" 目标 "), F.substring("url", 1, 80))).otherwise(""),
-        F.when(F.col("count") > 1, F.concat(F.lit("（合并计数 "), F.col("count").cast("string"),
-                                            F.lit(" 次）"))).otherwise(""))
+        F.format_string(BRIEF_HEAD, "severity", "title"),
+        part(F.coalesce("src_ip", F.lit("")) != "", BRIEF_SOURCE, F.col("src_ip")),
+        part(F.coalesce("url", F.lit("")) != "", BRIEF_TARGET, F.substring("url", 1, 80)),
+        part(F.col("count") > 1, BRIEF_COUNT, F.col("count")))
     return latest.select("last_seen", line.alias("line"))
 
 
@@ -173,12 +175,11 @@ def summary_line(findings: DataFrame, *keys: str) -> DataFrame:
         F.sum("n").alias("total"), F.array_sort(F.collect_list(part)).alias("parts"))
     worst = F.get("parts", F.lit(0))
     risk = F.when(worst["rank"] < LOWEST, worst["severity"]).otherwise("info")
-    sentence = F.concat(
-        F.lit("共发现 "), F.col("total").cast("string"), F.lit(" 个问题（"),
-        F.array_join(F.col("parts.text"), "、"), F.lit("），整体风险："),
-        label_of(SEVERITY_LABELS, risk, "信息"))
+    sentence = F.when(F.col("total").isNotNull(), F.format_string(
+        SUMMARY_LINE, "total", F.array_join(F.col("parts.text"), "、"),
+        label_of(SEVERITY_LABELS, risk, SEVERITY_LABELS["info"])))
     return per_key.select(*keys, F.coalesce("total", F.lit(0)).alias("total"),
-                          F.coalesce(sentence, F.lit("未发现已知安全问题")).alias("line"))
+                          F.coalesce(sentence, F.lit(SUMMARY_NONE)).alias("line"))
 
 
 def scan_report_context(tasks: DataFrame, targets: DataFrame, findings: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def scan_report_context(tasks: DataFrame, targets: DataFrame, findings: DataFram
     name = F.coalesce("name", F.lit(""))
     url = F.coalesce("url", F.lit(""))
     return (tasks.join(targets, "target_id", "left").join(totals, "task_id", "left")
-            .select("task_id", F.concat(name, F.lit("（"), url, F.lit("）")).alias("target"),
+            .select("task_id", F.format_string(REPORT_TARGET, name, url).alias("target"),
                     F.coalesce("total", F.lit(0)).alias("findings"),
                     *[F.coalesce(F.try_element_at("by_severity", F.lit(s)), F.lit(0)).alias(s)
                       for s in ("critical", "high", "mid", "low")], "by_type"))
