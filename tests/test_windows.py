@@ -74,6 +74,25 @@ def test_sequence_matches_model(spark, seed, span, window, block):
         rows, success, failed, window, 3)
 
 
+def test_crowded_seconds_are_split(spark):
+    """Time stamps cut to the day: hundreds of events share a second, which is split by arrival."""
+    rows = [r | {"epoch": r["epoch"] - r["epoch"] % 86400} for r in random_events(12, n=500,
+                                                                             span=400000)]
+    window = 100000
+    rules = [Rule(1, "a", "aggregate", "ssh_failed", threshold=3, time_window=window),
+             Rule(2, "d", "aggregate", "scan_event", threshold=3, time_window=window,
+                  count_mode="distinct", distinct_field="dst_port"),
+             Rule(3, "s", "composite", "ssh_success", "ssh_failed", threshold=3,
+                  time_window=window)]
+    want = ({(1, *x) for x in brute.trailing_count(rows, failed, window, 3)}
+            | {(2, *x) for x in brute.trailing_count(
+                rows, lambda r: r["log_type"] == "scan", window, 3, lambda r: r.get("dst_port"))}
+            | {(3, *x) for x in brute.sequences(rows, success, failed, window, 3)})
+    for heavy in (10, 10 ** 6):
+        got = windowed_hits(brute.make_events(spark, rows), rules, heavy=heavy).collect()
+        assert {(r.rule_id, r.seq, r["count"] or r.prior_fails) for r in got} == want
+
+
 @pytest.mark.parametrize("distance,block", [(1, 2), (3, 3), (3, 7), (5, 64)])
 def test_greedy_selection_across_blocks(spark, distance, block):
     rng = random.Random(distance * block)

@@ -25,6 +25,8 @@ from wardlog.operators.timeline import running_totals, trailing
 from wardlog.session import materialise
 from wardlog.sources.rules import Rule, check_group_field
 
+# events of one group in one second beyond which that second is split by arrival number
+HEAVY_SECOND = 1_000_000
 EVENT_KEEP = ("seq", "epoch", "src_ip", "dst_ip", "url", "raw")
 SECOND = ("_g", "epoch")
 
@@ -127,8 +129,19 @@ def _slot_reach(slots: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                                     *[f"_a{r.id}" for r in sequences])
 
 
+def _in_second(rows: DataFrame, sums: dict[str, Column], split: int | None) -> DataFrame:
+    """Running sums inside each second, in arrival order; two-level where a second is to be split
+    (coarse time stamps can put a day of a source into one)."""
+    if split is None:
+        so_far = (Window.partitionBy(*SECOND).orderBy("seq", "_kind")
+                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return rows.withColumns({name: F.sum(value).over(so_far) for name, value in sums.items()})
+    placed = rows.withColumn("_at", F.col("seq") * 2 + F.col("_kind"))
+    return running_totals(placed, SECOND, sums, "_at", F.floor(F.col("seq") / split)).drop("_at")
+
+
 def _candidates(own: DataFrame, reach: DataFrame, starts: dict[int, DataFrame],
-                rules: Sequence[Rule]) -> DataFrame:
+                rules: Sequence[Rule], split: int | None) -> DataFrame:
     """One row per event and rule that reaches its threshold (for sequences: that is able to)."""
     rows = own.join(reach, list(SECOND)).withColumn("_kind", F.lit(1))
     for number, marks in starts.items():
@@ -136,20 +149,18 @@ def _candidates(own: DataFrame, reach: DataFrame, starts: dict[int, DataFrame],
         rows = rows.unionByName(inside.select(*SECOND, "seq", F.lit(0).alias("_kind"),
                                               F.lit(1).alias(f"_new{number}")),
                                 allowMissingColumns=True)
-    so_far = (Window.partitionBy(*SECOND).orderBy("seq", "_kind")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inside, found = {}, []
     for rule in rules:
         source = (F.col(f"_new{rule.id}") if is_distinct(rule)
                   else F.col(f"_b{rule.id}" if is_sequence(rule) else f"_f{rule.id}").cast("long"))
-        inside[f"_in{rule.id}"] = F.coalesce(F.sum(source).over(so_far), F.lit(0))
+        inside[f"_in{rule.id}"] = F.coalesce(source.cast("long"), F.lit(0))
         total = F.col(f"_p{rule.id}") + F.col(f"_in{rule.id}")
         position = (F.col(f"_a{rule.id}") + F.col(f"_in{rule.id}") if is_sequence(rule)
                     else F.lit(None))
         found.append(F.when(F.col(f"_f{rule.id}") & (total >= rule.limit), F.struct(
             F.lit(rule.id).alias("rule_id"), total.cast("long").alias("n"),
             position.cast("long").alias("a"))))
-    return (rows.withColumns(inside).where(F.col("_kind") == 1)
+    return (_in_second(rows, inside, split).where(F.col("_kind") == 1)
             .withColumn("_h", F.explode_outer(F.array_compact(F.array(*found))))
             .where(F.col("_h").isNotNull()).select(*EVENT_KEEP, "_g", "_h.*"))
 
@@ -166,7 +177,7 @@ def _sequence_hits(able: DataFrame, rule: Rule, block: int | None) -> DataFrame:
 
 
 def windowed_hits(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame | None = None,
-                  block: int | None = None) -> DataFrame:
+                  block: int | None = None, heavy: int = HEAVY_SECOND) -> DataFrame:
     """Hits of windowed rules that share a group field: EVENT_KEEP, _g, rule_id, count,
     prior_fails."""
     own = _flagged(events, rules, consumed)
@@ -186,7 +197,9 @@ def windowed_hits(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame
                                              if c not in SECOND])
     if starts:
         reach = materialise(reach)   # used for the events and for the starts of values
-    found = _candidates(own, reach, starts, rules)
+    fullest = slots.agg(F.max(sum((F.col(c) for c in slots.columns if c not in SECOND),
+                                  F.lit(0)))).first()[0] or 0
+    found = _candidates(own, reach, starts, rules, heavy if fullest > heavy else None)
     sequences = [r for r in rules if is_sequence(r)]
     if sequences:
         found = materialise(found)

@@ -105,8 +105,11 @@ def reset_builtin(spark: SparkSession, current: DataFrame) -> DataFrame:
 def rule_problems(table: DataFrame) -> DataFrame:
     """Every rule with the reasons it is not valid (empty array: valid)."""
     pattern = F.trim(F.coalesce("pattern", F.lit("")))
-    bad = [r.pattern for r in table.where("rule_type = 'regex' and pattern is not null")
-           .select("pattern").distinct().limit(MAX_RULES).collect()
+    patterns = (table.where("rule_type = 'regex' and pattern is not null").select("pattern")
+                .distinct().limit(MAX_RULES + 1).collect())
+    if len(patterns) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} patterns")
+    bad = [r.pattern for r in patterns
            if r.pattern not in SIGNATURES and r.pattern not in filters.names()
            and not valid_pattern(r.pattern)]
     windowed = F.col("rule_type").isin("aggregate", "composite")
