@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from wardlog.llm import neardup  # noqa: F401
+from wardlog.llm import neardup, packing, quality_classifier, quality_rules, url_filter  # noqa: F401
 from wardlog.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
