@@ -17,14 +17,15 @@ from wardlog.llm.common import SPACE, query, table
 SYMBOLS = "#*$%&|<>"
 #: Frequent words of the four languages, lower case.
 STOP_WORDS = {
-    "de": ("au", "be", "das", "den", "der", "des", "die", "ein", "eine", "en", "er", "ge", "ich", "ie",
-           "in", "ist", "keit", "lich", "mit", "nicht", "sch", "sich", "te", "und", "ung", "ver", "von", "zu"),
+    "de": ("als", "an", "auch", "auf", "aus", "bei", "das", "dem", "den", "der", "des", "die", "ein", "eine",
+           "einer", "es", "für", "ich", "im", "in", "ist", "mit", "nicht", "oder", "sich", "sie", "und", "von",
+           "werden", "wie", "zu"),
     "en": ("a", "and", "are", "as", "at", "be", "by", "for", "from", "he", "in", "is", "it", "of", "on",
-           "or", "re", "st", "that", "the", "this", "to", "was", "with"),
-    "es": ("a", "con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "no", "para", "por", "que",
-           "se", "su", "un", "una", "y"),
-    "fr": ("au", "avec", "dans", "de", "des", "du", "elle", "en", "est", "et", "la", "le", "les", "par",
-           "pas", "pour", "que", "qui", "sur", "un", "une"),
+           "or", "that", "the", "this", "to", "was", "with"),
+    "es": ("a", "al", "como", "con", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "no", "para",
+           "por", "que", "se", "su", "un", "una", "y"),
+    "fr": ("au", "avec", "ce", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "la", "le", "les",
+           "par", "pas", "pour", "que", "qui", "sur", "un", "une"),
 }
 ALL_STOP_WORDS = sorted({w for words in STOP_WORDS.values() for w in words})
 
@@ -44,10 +45,9 @@ BASE = (
 )
 RULES = (
     Rule("word_length", "word_chars", "n_words", 200, 1500),
-    Rule("symbols", "n_symbols", "n_words", None, 25),
-    Rule("stop_words", "n_stop_words", "n_words", 4, None),
+    Rule("symbols", "n_symbols", "n_words", None, 15),
+    Rule("stop_words", "n_stop_words", "n_words", 1, None),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 60),
-    Rule("ended_lines", "n_ended_lines", "n_lines", 10, None),
 )
 
 
@@ -96,8 +96,7 @@ def counts(docs: DataFrame) -> DataFrame:
         many(F.size("_l")).alias("n_lines"),
         many(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
         total(added).alias("n_repeat_words"),
-        many(F.size(F.filter("_w", lambda w: w.isin(ALL_STOP_WORDS)))).alias("n_stop_words"),
-        many(F.size(F.filter("_l", lambda x: x.rlike(f"[.!?,:;\"')][{SPACE}]*$")))).alias("n_ended_lines"))
+        many(F.size(F.filter("_w", lambda w: w.isin(ALL_STOP_WORDS)))).alias("n_stop_words"))
 
 
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -112,7 +111,7 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     failed = F.filter(F.array(*(F.when(~passes(r), F.lit(r.name)) for r in (*BASE, *rules))), lambda n: n.isNotNull())
     return counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
-        "n_stop_words", "n_ended_lines", (~all_pass(BASE)).alias("base_failed"), failed.alias("failed"),
+        "n_stop_words", (~all_pass(BASE)).alias("base_failed"), failed.alias("failed"),
         all_pass((*BASE, *rules)).alias("kept"))
 
 
@@ -146,20 +145,19 @@ word_counts AS (
   SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (WHERE inside) AS n_repeat_words,
     count(*) FILTER (WHERE w IN ({stop})) AS n_stop_words FROM covered GROUP BY r),
 line_counts AS (
-  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines,
-    count(*) FILTER (WHERE regexp_matches(l, '[.!?,:;"'')][{SPACE}]*$')) AS n_ended_lines
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
   FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM numbered)
   WHERE regexp_matches(l, '[^{SPACE}]') GROUP BY r),
 joined AS (
   SELECT doc_id, 1 AS one, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
     length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-    coalesce(n_stop_words, 0) AS n_stop_words, coalesce(n_ended_lines, 0) AS n_ended_lines
+    coalesce(n_stop_words, 0) AS n_stop_words
   FROM numbered LEFT JOIN word_counts USING (r) LEFT JOIN line_counts USING (r))
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_lines AS BIGINT) AS n_lines,
-  CAST(n_stop_words AS BIGINT) AS n_stop_words, CAST(n_ended_lines AS BIGINT) AS n_ended_lines,
+  CAST(n_stop_words AS BIGINT) AS n_stop_words,
   NOT ({' AND '.join(map(side, BASE))}) AS base_failed,
   list_filter([{failed}], lambda x: x IS NOT NULL) AS failed,
   {' AND '.join(map(side, (*BASE, *RULES)))} AS kept

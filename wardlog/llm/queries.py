@@ -1,6 +1,7 @@
 """All registered queries of this subpackage."""
 
-from wardlog.llm import neardup, packing, quality_classifier, quality_rules, url_filter  # noqa: F401
+from wardlog.llm import (  # noqa: F401
+    decontamination, neardup, packing, quality_classifier, quality_rules, url_filter)
 from wardlog.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
