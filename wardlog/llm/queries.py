@@ -1,7 +1,7 @@
 """All registered queries of this subpackage."""
 
 from wardlog.llm import (  # noqa: F401
-    decontamination, neardup, packing, quality_classifier, quality_rules, url_filter)
+    decontamination, html_text, license_scan, neardup, packing, preference, quality_classifier, quality_rules, url_filter, warc)
 from wardlog.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
