@@ -37,7 +37,9 @@ PERCENT = 75
 PARITY_BITS = 1024
 BROADCAST_IDS = 1_000_000   # ids of texts in pairs that may be sent to every task (8 MB)
 
-SKETCH = "doc_id bigint, n bigint, f1 bigint, f2 bigint, a array<bigint>, b array<bigint>, p array<bigint>"
+BROADCAST_REMOVED = 1_000_000   # removed documents that may be sent to every task
+
+SKETCH = "doc_id bigint, text_hash bigint, n bigint, f1 bigint, f2 bigint, a array<bigint>, b array<bigint>, p array<bigint>"
 
 
 def _sketch(hashes: np.ndarray, seeds: np.ndarray):
@@ -58,20 +60,20 @@ def _sketch(hashes: np.ndarray, seeds: np.ndarray):
 
 
 def sketches(docs: DataFrame, tables: int = TABLES, words: int = WORDS) -> DataFrame:
-    """A sketch per row of (doc_id, text)."""
+    """A sketch per row of (doc_id bigint, text string)."""
     def run(batches):
         seeds = minhash_seeds(2 * tables * HASHES)
         for batch in batches:
-            ids, columns = batch.column(0), [[] for _ in range(6)]
-            for text in batch.column(1):
+            columns = [[] for _ in range(6)]
+            for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py(), words)
                 for column, value in zip(columns, (len(hashes), *_sketch(hashes, seeds))):
                     column.append(value)
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=["doc_id", "n", "f1", "f2", "a", "b", "p"])
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
+                [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                names=["doc_id", "text_hash", "n", "f1", "f2", "a", "b", "p"])
+    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, SKETCH)
 
 
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -113,7 +115,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> D
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
                     tables: int = TABLES) -> DataFrame:
-    """Rows of `docs` (doc_id, text) to (doc_id, n_shingles, component_id, kept), one per row.
+    """Rows of `docs` (doc_id, text) to (doc_id, n_shingles, component_id, text_hash, kept), one per row.
 
     Two documents are linked if 100 |X & Y| >= percent |X or Y| for their sets of distinct shingles
     of `words` words; a component is named by its smallest id.
@@ -126,7 +128,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = stored(sketches(docs, tables, words), "sketches")
-    rows = all_rows.select("doc_id", "n", "f1", "f2")
+    rows = all_rows.select("doc_id", "text_hash", "n", "f1", "f2")
     filled = rows.where("n > 0")
     classes = checkpointed(filled.groupBy("f1", "f2", "n").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rep is not null"))
@@ -179,12 +181,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
                        .unionAll(_confirmed(rest, docs, percent, words)))
 
     named = (rows.join(classes.where("rows > 1").select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
-             .select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+             .select("doc_id", "text_hash", "n", F.coalesce("rep", "doc_id").alias("rep")))
     return (named.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), "text_hash")
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
 
 
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """The rows of `docs` without those that another document of their component stands for.
+
+    Of each component the rows of its smallest id stay; rows that repeat an id and a text stay once. Rows
+    without an id stay unless an equal text has an id. Their own columns are returned.
+    """
+    judged = checkpointed(near_duplicates(docs, percent, words).select("doc_id", "text_hash", "kept"))
+    removed = judged.where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    removed = F.broadcast(removed) if removed.count() <= BROADCAST_REMOVED else removed
+    repeated = checkpointed(judged.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").drop("count"))
+
+    def meets(other: DataFrame, how: str) -> DataFrame:
+        left, right = docs.alias("d"), other.alias("o")
+        return left.join(right, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("o.doc_id")) & (
+            F.xxhash64(F.col("d.text").cast("string")) == F.col("o.text_hash")), how).select("d.*")
+
+    if not repeated.head(1):
+        return meets(removed, "left_anti")
+    return meets(removed.unionAll(repeated), "left_anti").unionByName(
+        meets(repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 @query("op6_minhash_near_duplicates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

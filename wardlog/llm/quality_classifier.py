@@ -13,7 +13,6 @@ once from class moments, which Spark sums over the labelled rows, and are sent a
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +22,9 @@ from wardlog.llm.common import query, table
 
 SAMPLE_ROWS = 20_000      # bound of the labelled rows that are fitted on
 THRESHOLD = 0.7
-SHRINK_POOLED = 0.5       # share of the pooled covariance in each class covariance
+SHRINK_POOLED = 0.7       # share of the pooled covariance in each class covariance
 SHRINK_DIAGONAL = 0.2     # share of its own diagonal in it
-SMOOTH = 0.5              # added to both counts of a share before its log-odds
+SMOOTH = 1.0              # added to both counts of a share before its log-odds
 
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -145,10 +144,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(x), pa.float64())],
                                              names=[*batch.schema.names, "score"])
-    return docs.mapInArrow(run, f"{reduce_schema(schema)}, score double")
+    return docs.mapInArrow(run, f"{_columns_of(schema)}, score double")
 
 
-def reduce_schema(schema) -> str:
+def _columns_of(schema) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
 
@@ -167,6 +166,13 @@ def classify(docs: DataFrame, labels: DataFrame, training: DataFrame | None = No
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def keep_predicted(docs: DataFrame, labels: DataFrame, training: DataFrame) -> DataFrame:
+    """The rows of `docs` whose score reaches the threshold, with their own columns."""
+    columns = docs.columns
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*columns).alias("row"))
+    return score(rows, fit(training, labels)).where(F.col("score") >= THRESHOLD).select("row.*")
+
+
 @query("op7_discriminant_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

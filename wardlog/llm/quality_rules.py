@@ -117,9 +117,11 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of `docs` that pass every rule, with their own columns."""
-    columns = docs.columns
-    inner = docs.select(F.struct(*columns).alias("row"), F.col("text"))
-    return counts(inner).where(all_pass((*BASE, *rules))).select("row.*")
+    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    judged = counts(inner).select("row", all_pass((*BASE, *rules)).alias("kept"))
+    # an array of one row or none: Catalyst would move a plain filter below the projections it depends on,
+    # and so put whole array expressions into the functions that run once per element
+    return judged.select(F.explode(F.filter(F.array("row"), lambda _: F.col("kept"))).alias("row")).select("row.*")
 
 
 def _sql() -> str:
