@@ -88,8 +88,8 @@ def test_crowded_seconds_are_split(spark):
             | {(2, *x) for x in brute.trailing_count(
                 rows, lambda r: r["log_type"] == "scan", window, 3, lambda r: r.get("dst_port"))}
             | {(3, *x) for x in brute.sequences(rows, success, failed, window, 3)})
-    for heavy in (10, 10 ** 6):
-        got = windowed_hits(brute.make_events(spark, rows), rules, heavy=heavy).collect()
+    for stretch in (10, 10 ** 6):
+        got = windowed_hits(brute.make_events(spark, rows), rules, stretch=stretch).collect()
         assert {(r.rule_id, r.seq, r["count"] or r.prior_fails) for r in got} == want
 
 

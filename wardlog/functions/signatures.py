@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardlog.constants import SIGNATURE_LABELS, SIGNATURES
 from wardlog.functions.text import decode_once, label_of, once
 
 
+# Blanks, word characters and word ends of patterns are Unicode ones.
+UNICODE = "(?U)"
+
 # Lower-case substrings one of which occurs in every match of the class. Searching for them is
 # several times cheaper than the pattern, which then runs on the few texts that hold one.
 _LITERALS = {
@@ -19,7 +23,7 @@ _LITERALS = {
              "concat", "updatexml", "extractvalue", "--", "#", "'"),
     "xss": ("script", "<img", "<svg", "onerror", "onload", "onclick", "onmouseover", "onfocus",
             "alert", "prompt", "confirm", "document.", "eval", "fromcharcode"),
-    "traversal": ("..", "%2e", "/etc/passwd", "/etc/shadow", "win.ini", "boot.ini"),
+    "traversal": ("..", "%2e", "%252e", "/etc/passwd", "/etc/shadow", "win.ini", "boot.ini"),
     "cmdi": (";", "|", "&&", "$(", "`", "%0a", "%3b", "/bin/"),
     "sensitive_path": (".git/", ".svn/", ".hg/", "/.env", "/.ht", "/.ssh/", "web.config",
                        "/phpmyadmin", "/adminer", "/pma/", ".bak", ".old", ".orig", ".swp",
@@ -38,7 +42,7 @@ def _may_match(name: str, low: Column) -> Column:
 
 def class_test(name: str, low: Column, decoded_low: Column) -> Column:
     """Match on lower-cased text, or on its lower-cased decoded form where there is one."""
-    pattern = SIGNATURES[name].lower()
+    pattern = UNICODE + SIGNATURES[name].lower()
 
     def found(text):
         if name == "scanner_ua":   # nothing but literals
@@ -108,10 +112,16 @@ def explode_classes(df: DataFrame, text: Column, into: str,
             .drop("_low", "_declow"))
 
 
+def _java(pattern: str) -> str:
+    return "(?iuU)" + pattern.replace("(?P<", "(?<")
+
+
 def valid_pattern(pattern: str) -> bool:
+    """Whether the engine that runs a pattern accepts it: it is tried once, on an empty text."""
+    spark = SparkSession.active()
     try:
-        re.compile(pattern)
-    except re.error:
+        spark.range(1).select(F.lit("").rlike(_java(pattern))).collect()
+    except (PySparkException, Py4JJavaError):
         return False
     return True
 
@@ -120,9 +130,9 @@ def custom_match(text: Column, pattern: str) -> Column:
     """User pattern, case-insensitive and Unicode aware; an invalid pattern never matches."""
     if not valid_pattern(pattern):
         return F.lit(False)
-    java = "(?iu)" + pattern.replace("(?P<", "(?<")
     escaped = text.contains("%") | text.contains("+")
-    return F.coalesce(text.rlike(java) | (escaped & decode_once(text).rlike(java)), F.lit(False))
+    return F.coalesce(text.rlike(_java(pattern)) | (escaped & decode_once(text).rlike(_java(pattern))),
+                      F.lit(False))
 
 
 def class_label(name: Column) -> Column:

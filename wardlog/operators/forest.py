@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 NODE = ("tree INT, node INT, feature INT, split DOUBLE, left INT, right INT, size INT")
-POOL_ROWS = 20_000
+DRAWS = 8
 MIN_ROWS = 10
 
 
@@ -87,11 +87,14 @@ def train(df: DataFrame, key: Sequence[str], vector: str = "features", trees: in
         raise ValueError(f"{total} rows; at least {MIN_ROWS} are needed")
     sample_size = min(sample_size, total)
     limit = int(np.ceil(np.log2(max(sample_size, 2))))
-    share = min(1.0, max(POOL_ROWS, 20 * sample_size) / total)
-    ticket = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / float(1 << 30)
-    pool = df.where(ticket < share).select(*key, vector)
-    draws = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-             .withColumn("_draw", F.xxhash64(F.lit(seed), "tree", *key)))
+    # every row draws a ticket for every tree; about DRAWS times as many as are needed get through, and
+    # the smallest tickets of a tree are its sample, exactly as if all had been ranked
+    bound = -(1 << 63) + int(min(1.0, DRAWS * sample_size / total) * (1 << 64))
+    ticket = lambda tree: F.xxhash64(F.lit(seed), tree, *key)
+    through = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                       lambda tree: ticket(tree) <= F.lit(min(bound, (1 << 63) - 1)))
+    draws = (df.select(*key, vector, F.explode(through).alias("tree"))
+             .withColumn("_draw", ticket(F.col("tree"))))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_draw", *key))
     samples = (draws.withColumn("_rank", rank).where(F.col("_rank") <= sample_size)
                .select("tree", "_rank", vector))

@@ -8,7 +8,6 @@ from wardlog import schema
 from wardlog.constants import (ADDRESS_RANGES, CATEGORY_LABELS, INVALID_LABEL, UNKNOWN_LABEL)
 from wardlog.functions.text import label_of
 
-BROADCAST_RANGES = 100_000
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ADDRESS = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
@@ -44,21 +43,21 @@ def with_bounds(ranges: DataFrame) -> DataFrame:
 def locate(df: DataFrame, ranges: DataFrame, ip: str = "src_ip") -> DataFrame:
     """Add `label`, `province` and `category` of the longest range that holds the address.
 
-    There are at most 33 prefix lengths. Each is a hash join on the masked address, longest first;
-    the ranges are broadcast only when they are few, and otherwise shuffled.
+    There are at most 33 prefix lengths. Each is an equi join on the masked address, longest first;
+    Spark knows the size of the ranges and picks the kind of join. Of two equal ranges the smaller
+    label counts.
     """
-    sized = ranges.groupBy("prefix_len").count().collect()
-    small = sum(r["count"] for r in sized) <= BROADCAST_RANGES
+    sized = ranges.select("prefix_len").distinct().collect()   # 33 at most
     out = df.withColumn("_n", address_number(F.col(ip)))
     found = []
     for length in sorted((r.prefix_len for r in sized), reverse=True):
         size = 1 << (32 - length)
         side = (ranges.where(F.col("prefix_len") == length)
                 .groupBy((F.col("lo") / size).cast("bigint").alias(f"_k{length}"))
-                .agg(F.first(F.struct("label", "province", "category")).alias(f"_r{length}")))
+                .agg(F.min(F.struct("label", "province", "category")).alias(f"_r{length}")))
         key = F.floor(F.col("_n") / size).cast("bigint")
         out = out.withColumn(f"_k{length}", key).join(
-            F.broadcast(side) if small else side, f"_k{length}", "left").drop(f"_k{length}")
+            side, f"_k{length}", "left").drop(f"_k{length}")
         found.append(F.col(f"_r{length}"))
     best = F.coalesce(*found) if found else F.lit(None).cast(
         "struct<label:string,province:string,category:string>")

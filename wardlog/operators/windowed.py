@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wardlog.functions.filters import event_filter
 from wardlog.operators.sequence import select_apart
@@ -25,8 +25,8 @@ from wardlog.operators.timeline import running_totals, trailing
 from wardlog.session import materialise
 from wardlog.sources.rules import Rule, check_group_field
 
-# events of one group in one second beyond which that second is split by arrival number
-HEAVY_SECOND = 1_000_000
+# events of one second are taken in stretches of so many arrival numbers
+STRETCH = 65_536
 EVENT_KEEP = ("seq", "epoch", "src_ip", "dst_ip", "url", "raw")
 SECOND = ("_g", "epoch")
 
@@ -129,19 +129,15 @@ def _slot_reach(slots: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                                     *[f"_a{r.id}" for r in sequences])
 
 
-def _in_second(rows: DataFrame, sums: dict[str, Column], split: int | None) -> DataFrame:
-    """Running sums inside each second, in arrival order; two-level where a second is to be split
-    (coarse time stamps can put a day of a source into one)."""
-    if split is None:
-        so_far = (Window.partitionBy(*SECOND).orderBy("seq", "_kind")
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return rows.withColumns({name: F.sum(value).over(so_far) for name, value in sums.items()})
+def _in_second(rows: DataFrame, sums: dict[str, Column], split: int) -> DataFrame:
+    """Running sums inside each second, in arrival order, as a two-level prefix sum over stretches of
+    arrival numbers (coarse time stamps can put a day of a source into one second)."""
     placed = rows.withColumn("_at", F.col("seq") * 2 + F.col("_kind"))
     return running_totals(placed, SECOND, sums, "_at", F.floor(F.col("seq") / split)).drop("_at")
 
 
 def _candidates(own: DataFrame, reach: DataFrame, starts: dict[int, DataFrame],
-                rules: Sequence[Rule], split: int | None) -> DataFrame:
+                rules: Sequence[Rule], split: int) -> DataFrame:
     """One row per event and rule that reaches its threshold (for sequences: that is able to)."""
     rows = own.join(reach, list(SECOND)).withColumn("_kind", F.lit(1))
     for number, marks in starts.items():
@@ -177,7 +173,7 @@ def _sequence_hits(able: DataFrame, rule: Rule, block: int | None) -> DataFrame:
 
 
 def windowed_hits(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame | None = None,
-                  block: int | None = None, heavy: int = HEAVY_SECOND) -> DataFrame:
+                  block: int | None = None, stretch: int = STRETCH) -> DataFrame:
     """Hits of windowed rules that share a group field: EVENT_KEEP, _g, rule_id, count,
     prior_fails."""
     own = _flagged(events, rules, consumed)
@@ -197,9 +193,7 @@ def windowed_hits(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame
                                              if c not in SECOND])
     if starts:
         reach = materialise(reach)   # used for the events and for the starts of values
-    fullest = slots.agg(F.max(sum((F.col(c) for c in slots.columns if c not in SECOND),
-                                  F.lit(0)))).first()[0] or 0
-    found = _candidates(own, reach, starts, rules, heavy if fullest > heavy else None)
+    found = _candidates(own, reach, starts, rules, stretch)
     sequences = [r for r in rules if is_sequence(r)]
     if sequences:
         found = materialise(found)

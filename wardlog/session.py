@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -12,6 +10,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # recording the Python call site of every expression takes half the time of building a plan
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -46,12 +45,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor costs no recomputation.
 
-    The folder is the cluster's shared one (`spark.checkpoint.dir`); a temporary folder is only
-    set where the session names none, which is a local test.
+    The folder is the cluster's shared one (`spark.checkpoint.dir`). Where the session names none, as
+    in tests, it is one in the session's warehouse, which is shared like the tables in it. Spark
+    removes the files of a table that is no longer used (SETTINGS).
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="wardlog-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or (
+            spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"))
     return df.checkpoint(eager=True)
