@@ -86,7 +86,7 @@ def vector(spark, sf):
         "src_ip", "bucket", F.round(weighted, 2).alias("weighted"))
 
 
-_USED = ("events", "fail_ratio", "url_avg_len", "interval_mean")
+_USED = tuple(FEATURES)
 
 
 @query("feature_medians", with_ev(FEATURES_SQL, " UNION ALL ".join(
@@ -257,14 +257,14 @@ def forest_scores(spark, sf):
 @query("forest_nodes")
 def forest_nodes(spark, sf):
     """The forest itself, as a table."""
-    return forest.train(_vectors(spark, sf), ("vec_id",), trees=20).frame(spark)
+    return forest.train(_vectors(spark, sf), ("vec_id",)).frame(spark)
 
 
 @query("forest_on_behaviour")
 def behaviour_forest(spark, sf):
     """Features of sources and days, scored, with the three features that stand out most."""
     found = materialise(feature_vector(_features(spark, sf)))
-    model = forest.train(found, ("src_ip", "bucket"), trees=50)
+    model = forest.train(found, ("src_ip", "bucket"))
     scored = materialise(forest.with_raw_scores(model, found))
     told = stats.explain(forest.normalise(forest.fit_bounds(model, scored), scored),
                          stats.medians(found, FEATURES), FEATURES)

@@ -355,12 +355,11 @@ def consolidated(spark, sf):
 
 
 @query("alert_samples", with_alerts("""
-firsts AS (SELECT rule_name, src_ip, session, CASE WHEN length(raw) > 300
-             THEN left(raw, 300) || '…' ELSE raw END AS sample,
-             min(epoch * 1000000000 + seq) AS first_at FROM sessions GROUP BY ALL)""", """
+firsts AS (SELECT rule_name, src_ip, session, raw, min(epoch * 1000000000 + seq) AS first_at FROM sessions GROUP BY ALL)""", """
 ranked AS (SELECT *, row_number() OVER (PARTITION BY rule_name, src_ip, session
              ORDER BY first_at DESC) AS n FROM firsts)""", """
-SELECT a.title, a.src_ip, a.first_seen, string_agg(sample, chr(10) ORDER BY first_at) AS samples
+SELECT a.title, a.src_ip, a.first_seen, string_agg(CASE WHEN length(raw) > 300
+  THEN left(raw, 300) || '…' ELSE raw END, chr(10) ORDER BY first_at) AS samples
 FROM alerts a JOIN ranked r ON r.rule_name = a.title AND r.src_ip = a.src_ip
   AND r.session = a.session WHERE n <= 3 GROUP BY ALL"""))
 def samples(spark, sf):
@@ -369,6 +368,16 @@ def samples(spark, sf):
                        F.array_join("samples", "\n").alias("samples"))
 
 
+@query("untimed_alerts", with_ev(HITS, """
+SELECT rule_name AS title, src_ip, count(*) AS count FROM hits WHERE seq % 5 = 0
+GROUP BY rule_name, src_ip"""))
+def untimed(spark, sf):
+    """Every fifth hit loses its time; those still end in alerts."""
+    found = hits(spark, sf).withColumn("epoch", F.when(F.col("seq") % 5 != 0, F.col("epoch")))
+    return alert_ops.consolidate(found, gap=GAP).where(F.col("first_seen").isNull()).select(
+        "title", "src_ip", "count")
+
+
 @query("alerts_status_aware", with_alerts(f"""
 changes AS (SELECT rule_name, src_ip, min(epoch) + 60 AS at FROM hits GROUP BY rule_name, src_ip),
 broken AS (SELECT g.*, CASE WHEN prev IS NULL OR g.epoch - prev > {GAP}
@@ -433,10 +442,8 @@ def rule_ids(spark, sf):
 
 
 @query("alert_context", with_alerts("""
-recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY seq DESC) AS n
-           FROM ev WHERE src_ip IN (SELECT src_ip FROM alerts)) WHERE n <= 10),
 counts AS (SELECT src_ip, count(*) AS events, count(*) FILTER (WHERE outcome = 'failed') AS failed,
-             count(DISTINCT username) AS users FROM recent GROUP BY src_ip)""", """
+             count(DISTINCT username) AS users FROM ev GROUP BY src_ip)""", """
 SELECT a.title, a.src_ip, a.first_seen, a.count, c.events, c.failed, c.users
 FROM alerts a JOIN counts c USING (src_ip)"""))
 def context(spark, sf):

@@ -73,9 +73,8 @@ SELECT m.finding_id, count(*) AS events FROM matched m JOIN findings f USING (fi
 WHERE CASE WHEN rtrim(regexp_extract(m.url, '^([^?]*)', 1), '/') = '' THEN '/'
   ELSE rtrim(regexp_extract(m.url, '^([^?]*)', 1), '/') END = f.path GROUP BY m.finding_id"""))
 def related_exact(spark, sf):
-    return correlate.related_events(_findings(spark, sf), events(spark, sf), as_of(), HOURS,
-                                    limit=10 ** 9, mode="exact").groupBy("finding_id").agg(
-        F.count("*").alias("events"))
+    return correlate.event_counts(_findings(spark, sf), events(spark, sf), as_of(), HOURS,
+                                  mode="exact").select("finding_id", "events")
 
 
 ALERT_MATCH_SQL = f"""
@@ -108,12 +107,13 @@ def findings_for(spark, sf):
 CLOSURE_SQL = f"""
 closure AS (SELECT f.finding_id, f.task_id, f.vuln_type, ({_CLASS_OF}) IS NOT NULL AS correlatable,
    {_LABEL_OF} AS label, coalesce(e.n, 0) AS events, coalesce(a.n, 0) AS alerts,
-   coalesce(e.sources, '') AS sources, e.n IS NOT NULL OR a.n IS NOT NULL AS closed
+   coalesce(e.sources, '') AS sources, coalesce(e.sample, '') AS sample, e.n IS NOT NULL OR a.n IS NOT NULL AS closed
  FROM findings f
  LEFT JOIN (SELECT finding_id, count(*) AS n, array_to_string(list_sort(list_distinct(
-     list(src_ip)))[1:5], ',') AS sources FROM matched WHERE rank <= 8 GROUP BY finding_id) e
+     list(src_ip)))[1:5], ',') AS sources, string_agg(url, ' ' ORDER BY rank)
+     FILTER (WHERE rank <= 5) AS sample FROM matched GROUP BY finding_id) e
    USING (finding_id)
- LEFT JOIN (SELECT finding_id, count(*) AS n FROM near WHERE rank <= 8 GROUP BY finding_id) a
+ LEFT JOIN (SELECT finding_id, count(*) AS n FROM near GROUP BY finding_id) a
    USING (finding_id))"""
 
 
@@ -125,8 +125,8 @@ def _closure(spark, sf):
 @query("closure_per_finding", with_alerts(FINDINGS_SQL, RELATED_SQL, ALERT_MATCH_SQL, CLOSURE_SQL,
                                           "SELECT * FROM closure"))
 def closure(spark, sf):
-    return _closure(spark, sf).drop("pattern", "sample").withColumn(
-        "sources", F.array_join("sources", ","))
+    return _closure(spark, sf).drop("pattern").withColumns({
+        "sources": F.array_join("sources", ","), "sample": F.array_join("sample", " ")})
 
 
 @query("closure_per_task", with_alerts(FINDINGS_SQL, RELATED_SQL, ALERT_MATCH_SQL, CLOSURE_SQL, """
@@ -210,8 +210,9 @@ def bundle(spark, sf):
 
 
 @query("unreported_tasks", "WITH " + TASKS_SQL + """
-SELECT task_id FROM (SELECT task_id FROM tasks WHERE status = 'done' ORDER BY task_id DESC LIMIT 10)
-WHERE task_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+SELECT task_id FROM tasks WHERE status = 'done'
+  AND task_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+ORDER BY task_id DESC LIMIT 10""")
 def unreported(spark, sf):
     reports_table = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(
         F.col("c_custkey").alias("task_id"))
@@ -645,7 +646,7 @@ def _replies(spark, sf):
     """Conversation turns wrapped the way replies arrive: fenced, bare, incomplete, or not JSON."""
     payload = F.to_json(F.struct(
         F.col("rule_severity").alias("severity_assessment"),
-        F.substring("output", 1, 40).alias("analysis"),
+        F.col("output").alias("analysis"),
         F.when(F.col("turn") % 3 == 1, " ").otherwise("fix").alias("recommendation")))
     form = F.col("conv_id") % 4
     return _outputs(spark, sf).withColumn("reply_text", F.when(
@@ -665,7 +666,7 @@ def structured(spark, sf):
 
 @query("parsed_replies", "WITH " + OUTPUT_SQL + """
 SELECT conv_id, turn, conv_id % 4 = 3 AS parse_error,
-  CASE WHEN conv_id % 4 = 3 THEN '' ELSE rule_severity || chr(10) || left(output, 40) || chr(10)
+  CASE WHEN conv_id % 4 = 3 THEN '' ELSE rule_severity || chr(10) || output || chr(10)
     || CASE WHEN turn % 3 = 1 THEN ' ' ELSE 'fix' END END AS flat FROM o""")
 def replies(spark, sf):
     parsed = quality.parse_reply(_replies(spark, sf).drop("raw"), "reply_text")

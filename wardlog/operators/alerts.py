@@ -13,6 +13,7 @@ from wardlog.operators.timeline import chunked
 from wardlog.session import materialise
 
 KEY = ("rule_name", "_ip")
+UNTIMED = 0      # number of the alert of hits without a time; others count from 1
 
 
 def is_open(status: Column) -> Column:
@@ -26,8 +27,7 @@ def _null_safe(df: DataFrame) -> DataFrame:
 def _slots(hits: DataFrame) -> DataFrame:
     """One row per (rule, source, second) holding all an alert needs, combined map-side."""
     first = F.struct("epoch", "seq", "rule_id", "severity", "src_ip", "dst_ip",
-                     F.nullif(F.substring(F.coalesce("url", F.lit("")), 1, 1000), F.lit(""))
-                     .alias("url"), "category")
+                     F.nullif(F.coalesce("url", F.lit("")), F.lit("")).alias("url"), "category")
     last = F.struct("epoch", "seq", "matched_text", "count")
     return hits.groupBy(*KEY, "epoch").agg(
         F.count("*").alias("n"), F.min(first).alias("first"), F.max(last).alias("last"))
@@ -69,38 +69,48 @@ def number_sessions(parts: DataFrame) -> DataFrame:
 
 
 def _samples(hits: DataFrame, local: DataFrame, numbered: DataFrame, keep: int) -> DataFrame:
-    """Distinct clipped lines of an alert by first arrival, the newest `keep` of them."""
-    lines = (hits.withColumn("sample", clip(F.col("raw"), SAMPLE_CHARS))
-             .where(F.col("sample") != "")
-             .groupBy(*KEY, "epoch", "sample").agg(F.min("seq").alias("seq"))
+    """Distinct lines of an alert by first arrival, the newest `keep` of them, clipped for display."""
+    said = (hits.withColumn("sample", F.trim("raw")).where(F.col("sample") != "")
+            .groupBy(*KEY, "epoch", "sample").agg(F.min("seq").alias("seq")))
+    untimed = said.where(F.col("epoch").isNull()).select(
+        *KEY, F.lit(UNTIMED).alias("session"), "sample", F.struct("epoch", "seq").alias("at"))
+    lines = (said.where(F.col("epoch").isNotNull())
              .join(local.select(*KEY, "epoch", "_chunk", "_local"), [*KEY, "epoch"])
              .groupBy(*KEY, "_chunk", "_local", "sample")
              .agg(F.min(F.struct("epoch", "seq")).alias("at"))
              .join(numbered.select(*KEY, "_chunk", "_local", "session"),
                    [*KEY, "_chunk", "_local"])
-             .groupBy(*KEY, "session", "sample").agg(F.min("at").alias("at")))
+             .groupBy(*KEY, "session", "sample").agg(F.min("at").alias("at"))).unionByName(untimed)
     newest = Window.partitionBy(*KEY, "session").orderBy(F.desc("at"), F.desc("sample"))
     return (lines.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= keep)
             .groupBy(*KEY, "session")
             .agg(F.array_sort(F.collect_list(F.struct("at", "sample"))).alias("s"))
-            .select(*KEY, "session", F.col("s.sample").alias("samples")))
+            .select(*KEY, "session", F.transform("s", lambda s: clip(s["sample"], SAMPLE_CHARS))
+                    .alias("samples")))
 
 
 def consolidate(hits: DataFrame, gap: int = MERGE_GAP_SECONDS, max_samples: int = MAX_SAMPLES,
                 status_changes: DataFrame | None = None, samples: bool = True) -> DataFrame:
     """Hits to alerts: counts, first and last seen, first target, last evidence, samples.
 
+    Hits whose time could not be read form one alert per rule and source, without first and last seen.
+
     Without samples this is one pass over the hits. Samples need the hits again, so they are
     checkpointed first; hand in a stored table with `samples=False` where only counts matter.
     """
-    hits = _null_safe(hits.where(F.col("epoch").isNotNull()))
+    hits = _null_safe(hits)
     if samples:
         hits = materialise(hits)
-    local = local_sessions(_slots(hits), gap, status_changes)
+    slots = _slots(hits)
+    local = local_sessions(slots.where(F.col("epoch").isNotNull()), gap, status_changes)
+    untimed = slots.where(F.col("epoch").isNull()).select(
+        *KEY, F.lit(UNTIMED).alias("session"), F.col("n").alias("count"), F.col("first").alias("f"),
+        F.col("last").alias("l"))
     numbered = number_sessions(local.groupBy(*KEY, "_chunk", "_local").agg(
         F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")))
     alerts = numbered.groupBy(*KEY, "session").agg(
         F.sum("n").alias("count"), F.min("first").alias("f"), F.max("last").alias("l"))
+    alerts = alerts.unionByName(untimed)
     if samples:
         alerts = alerts.join(_samples(hits, local, numbered, max_samples),
                              [*KEY, "session"], "left")
@@ -194,23 +204,23 @@ def ml_hits(detections: DataFrame, threshold: float = 0.6, limit: int = 50) -> D
 
 
 def alert_context(alerts: DataFrame, events: DataFrame, limit: int = 10) -> DataFrame:
-    """Per alert: its samples plus the newest lines of its source, and counts over those lines."""
+    """Per alert: its samples plus the newest lines of its source, and counts over all its lines."""
     sources = alerts.where(F.col("src_ip").isNotNull()).select("src_ip").distinct()
     newest = Window.partitionBy("src_ip").orderBy(F.desc("seq"))
     recent = (events.join(sources, "src_ip", "left_semi")
-              .select("src_ip", "seq", "raw", "username",
-                      F.try_element_at("detail", F.lit("event")).alias("outcome"))
+              .select("src_ip", "seq", "raw")
               .withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= limit)
               .groupBy("src_ip")
               .agg(F.array_sort(F.collect_list(F.struct("_rank", F.trim("raw").alias("raw"))))
-                   .alias("lines"),
-                   F.count("*").alias("events"),
-                   F.count_if(F.col("outcome") == "failed").alias("failed"),
-                   F.count_distinct(F.nullif("username", F.lit(""))).alias("users")))
+                   .alias("lines")))
+    outcome = F.try_element_at("detail", F.lit("event"))
+    counted = events.join(sources, "src_ip", "left_semi").groupBy("src_ip").agg(
+        F.count("*").alias("events"), F.count_if(outcome == "failed").alias("failed"),
+        F.count_distinct(F.nullif("username", F.lit(""))).alias("users"))
     own = F.filter(F.slice("samples", 1, limit), lambda s: s != "")
     extra = F.filter(F.coalesce(F.col("lines.raw"), F.array().cast("array<string>")),
                      lambda s: s != "")
-    return (alerts.join(recent, "src_ip", "left")
+    return (alerts.join(recent, "src_ip", "left").join(counted, "src_ip", "left")
             .withColumn("context", F.slice(F.array_union(own, extra), 1, limit))
             .select("alert_id", "title", "severity", "src_ip", "url", "count", "first_seen",
                     "last_seen", "context", F.coalesce("events", F.lit(0)).alias("events"),

@@ -13,9 +13,9 @@ from wardlog.constants import FINDING_CLASS, SIGNATURE_LABELS
 from wardlog.functions import timewin
 from wardlog.functions.signatures import explode_classes
 from wardlog.functions.text import label_of, url_host, url_path
+from wardlog.operators.statistics import attach
 
 CLASSES = tuple(dict.fromkeys(c for c in FINDING_CLASS.values() if c))
-MAX_PATH_LENGTHS = 4096
 
 
 def class_of(vuln_type: Column) -> Column:
@@ -48,16 +48,11 @@ def _match(findings: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
     if mode == "exact":
         keyed = classed.withColumn("_prefix", F.lower(url_path(F.col("url"))))
         return keyed.join(wanted, ["_prefix", "class"])
-    lengths = [r.n for r in wanted.select(F.length("_prefix").alias("n")).distinct()
-               .limit(MAX_PATH_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_PATH_LENGTHS:
-        raise ValueError("paths of more lengths than a URL can have")
-    sizes = F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast(
-        "array<int>")
-    keyed = (classed.withColumn("_size", F.explode(F.filter(
-        sizes, lambda n: n <= F.length("url"))))
+    lengths = wanted.agg(F.collect_set(F.length("_prefix")).alias("_sizes"))   # one row
+    keyed = (attach(classed, lengths).withColumn("_size", F.explode(F.filter(
+        "_sizes", lambda n: n <= F.length("url"))))
         .withColumn("_prefix", F.lower(F.substring(F.col("url"), F.lit(1), F.col("_size"))))
-        .drop("_size"))
+        .drop("_size", "_sizes"))
     return keyed.join(wanted, ["_prefix", "class"])
 
 
@@ -66,12 +61,51 @@ def _newest(matched: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return matched.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def _recent_events(events: DataFrame, as_of: Column, hours: int) -> DataFrame:
+    return (events.where((F.col("log_type") == "web")
+                         & (F.col("epoch") >= timewin.epoch_of(as_of) - hours * 3600))
+            .select("seq", "epoch", "src_ip", "method", "url", "status_code"))
+
+
+def _recent_alerts(alerts: DataFrame, as_of: Column, hours: int) -> DataFrame:
+    return (alerts.where(F.col("url").isNotNull()
+                         & (F.col("last_seen") >= timewin.epoch_of(as_of) - hours * 3600))
+            .select("alert_id", "title", "severity", "src_ip", "count", "first_seen",
+                    "last_seen", "status", "url"))
+
+
+def _per_finding(findings: DataFrame, by_target: DataFrame) -> DataFrame:
+    return targets(findings).select("finding_id", "_prefix", "class").join(
+        by_target, ["_prefix", "class"]).drop("_prefix", "class")
+
+
+def event_counts(findings: DataFrame, events: DataFrame, as_of: Column, hours: int = 24,
+                 mode: str = "prefix", sources: int = 5) -> DataFrame:
+    """Per finding the number of its attack events and its first `sources` sources.
+
+    Events are counted per path, class and source before anything is joined to findings.
+    """
+    counted = _match(findings, _recent_events(events, as_of, hours), mode).groupBy(
+        "_prefix", "class", "src_ip").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("_prefix", "class").orderBy("src_ip"))
+    first = (counted.where(F.col("src_ip") != "").withColumn("rank", rank)
+             .where(F.col("rank") <= sources).groupBy("_prefix", "class")
+             .agg(F.array_sort(F.collect_list("src_ip")).alias("sources")))
+    totals = counted.groupBy("_prefix", "class").agg(F.sum("n").alias("events"))
+    return _per_finding(findings, totals.join(first, ["_prefix", "class"], "left"))
+
+
+def alert_counts(findings: DataFrame, alerts: DataFrame, as_of: Column, hours: int = 24,
+                 mode: str = "prefix") -> DataFrame:
+    """Per finding the number of its alerts."""
+    return _per_finding(findings, _match(findings, _recent_alerts(alerts, as_of, hours), mode)
+                        .groupBy("_prefix", "class").agg(F.count("*").alias("alerts")))
+
+
 def related_events(findings: DataFrame, events: DataFrame, as_of: Column, hours: int = 24,
                    limit: int = 8, mode: str = "prefix") -> DataFrame:
     """Newest attack events per finding (all of them are examined, `limit` are reported)."""
-    recent = (events.where((F.col("log_type") == "web")
-                           & (F.col("epoch") >= timewin.epoch_of(as_of) - hours * 3600))
-              .select("seq", "epoch", "src_ip", "method", "url", "status_code"))
+    recent = _recent_events(events, as_of, hours)
     top = _newest(_match(findings, recent, mode), [F.desc("epoch"), F.desc("seq")], limit)
     own = targets(findings).select("finding_id", "_prefix", "class")
     return own.join(top, ["_prefix", "class"]).drop("_prefix")
@@ -79,10 +113,7 @@ def related_events(findings: DataFrame, events: DataFrame, as_of: Column, hours:
 
 def related_alerts(findings: DataFrame, alerts: DataFrame, as_of: Column, hours: int = 24,
                    limit: int = 8, mode: str = "prefix") -> DataFrame:
-    recent = (alerts.where(F.col("url").isNotNull()
-                           & (F.col("last_seen") >= timewin.epoch_of(as_of) - hours * 3600))
-              .select("alert_id", "title", "severity", "src_ip", "count", "first_seen",
-                      "last_seen", "status", "url"))
+    recent = _recent_alerts(alerts, as_of, hours)
     order = [F.desc("last_seen"), F.asc("title"), F.asc("src_ip"), F.asc("alert_id")]
     top = _newest(_match(findings, recent, mode), order, limit)
     own = targets(findings).select("finding_id", "_prefix", "class")
@@ -103,18 +134,16 @@ def findings_for_urls(urls: DataFrame, findings: DataFrame, limit: int = 5) -> D
 
 def closure(findings: DataFrame, events: DataFrame, alerts: DataFrame, as_of: Column,
             hours: int = 24, mode: str = "prefix") -> DataFrame:
-    """Per finding: can it correlate, related events and alerts, sources, is it being exploited."""
-    near_events = related_events(findings, events, as_of, hours, mode=mode).groupBy(
-        "finding_id").agg(
-        F.count("*").alias("events"),
-        F.slice(F.array_sort(F.collect_set(F.nullif("src_ip", F.lit("")))), 1, 5)
-        .alias("sources"),
-        F.slice(F.array_sort(F.collect_list(F.struct("rank", "url"))), 1, 5).alias("_sample"))
-    near_alerts = related_alerts(findings, alerts, as_of, hours, mode=mode).groupBy(
-        "finding_id").agg(F.count("*").alias("alerts"))
+    """Per finding: can it correlate, related events and alerts, sources, is it being exploited.
+
+    Counts are of everything that matches; the newest five URLs are a sample.
+    """
+    newest = related_events(findings, events, as_of, hours, limit=5, mode=mode).groupBy(
+        "finding_id").agg(F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("_sample"))
     none = F.array().cast("array<string>")
-    return (findings.join(near_events, "finding_id", "left")
-            .join(near_alerts, "finding_id", "left")
+    return (findings.join(event_counts(findings, events, as_of, hours, mode), "finding_id", "left")
+            .join(newest, "finding_id", "left")
+            .join(alert_counts(findings, alerts, as_of, hours, mode), "finding_id", "left")
             .select("finding_id", "task_id", "vuln_type",
                     is_correlatable(F.col("vuln_type")).alias("correlatable"),
                     class_of(F.col("vuln_type")).alias("pattern"),
@@ -162,9 +191,10 @@ def task_bundle(tasks: DataFrame, target_rows: DataFrame, findings: DataFrame,
 
 
 def unreported_tasks(tasks: DataFrame, reports: DataFrame, limit: int = 10) -> DataFrame:
-    """Of the newest finished tasks, those that have no report yet."""
-    newest = tasks.where("status = 'done'").orderBy(F.desc("task_id")).limit(limit)
-    return newest.join(reports.select("task_id").distinct(), "task_id", "left_anti")
+    """The newest finished tasks that have no report yet."""
+    open_tasks = tasks.where("status = 'done'").join(
+        reports.select("task_id").distinct(), "task_id", "left_anti")
+    return open_tasks.orderBy(F.desc("task_id")).limit(limit)
 
 
 def allowed_hosts(rows: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:
