@@ -25,12 +25,18 @@ SHORTEST = 5           # items of fewer tokens have no template; up to WINDOW th
 COVERED = 12           # tokens of an item that must be covered (all of it, if it is shorter) ...
 WORDS = 5              # ... of which so many must be plain words
 BROADCAST_WINDOWS = 2_000_000    # windows of the benchmark that may be sent to every task
+ANCHORS = 5_000        # anchors of windows that are looked up in a document's tokens before windows are made
 BROADCAST_DOCUMENTS = 1_000_000  # found documents that may be
 
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
-TOKEN = r"[.!?\n]|[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*"
-MARKS = [".", "!", "?", "\n"]
-IS_NAME = r"^\p{Lu}[\p{Ll}\p{M}]+(?:['’][\p{Ll}\p{M}]+)?$"
+#: Placeholders: private characters, which are taken out of texts beforehand.
+NAME, NUMBER, UNIT = SLOTS = "\ue000", "\ue001", "\ue002"
+LETTER, MARKS, APOSTROPHE = r"\p{L}\p{M}", r".!?\n", "'’"
+WORD = rf"[{LETTER}]+(?:[{APOSTROPHE}][{LETTER}]+)*"
+DIGITS = "[0-9]+(?:[.,][0-9]+)*"
+BETWEEN = rf"[^{LETTER}0-9{MARKS}{NAME}-{UNIT}]"      # characters that neither belong to a token nor end a sentence
+NO_WORD_BEFORE = rf"(?<![{LETTER}])(?<![{LETTER}][{APOSTROPHE}])"
+NO_WORD_AFTER = rf"(?![{APOSTROPHE}]?[{LETTER}])"
+REACH = 16             # characters of BETWEEN that may lie between a token and the one its type depends on
 #: Words that stand for numbers and for units after a number, lower case.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven",
                 "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
@@ -43,49 +49,95 @@ UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards
          "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar",
          "dollars", "euro", "euros", "percent", "degree", "degrees", "mph", "kmh", "watt", "watts", "volt", "volts")
 
+def _choice(words) -> str:
+    """A pattern for any of the words that tries only those of the right first letter."""
+    heads: dict[str, list[str]] = {}
+    for word in sorted(words, key=len, reverse=True):
+        heads.setdefault(word[0], []).append(word[1:])
+    return "(?:" + "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in sorted(heads.items())) + ")"
 
-def _is_number(token: Column, low: Column) -> Column:
-    return ((token >= "0") & (token < ":")) | low.isin(*NUMBER_WORDS)   # a digit first, or a word
 
+#: Replaced in this order, in the text as it is written.
+IS_UNIT = rf"(?<={NUMBER})({BETWEEN}{{0,{REACH}}}){NO_WORD_BEFORE}(?i:{_choice(UNITS)}){NO_WORD_AFTER}"
+IS_NAME = (rf"\p{{Lu}}(?<=[{LETTER}]{BETWEEN}{{1,{REACH}}}\p{{Lu}}|[{NAME}-{UNIT}]{BETWEEN}{{0,{REACH}}}\p{{Lu}})"
+           rf"(?<![{LETTER}][{APOSTROPHE}]\p{{Lu}})[\p{{Ll}}\p{{M}}]+(?:[{APOSTROPHE}][\p{{Ll}}\p{{M}}]+)?{NO_WORD_AFTER}")
+TEMPLATE_TOKEN = rf"[{NAME}-{UNIT}]|{WORD}"
+TOKEN = rf"{DIGITS}|{WORD}"
 
-def _typed(token: Column, before: Column) -> Column:
-    """A token as (c, low): its template token, '' for marks, and itself in lower case."""
-    low = F.lower(token)
-    unit = _is_number(before, F.lower(before)) & low.isin(*UNITS)
-    name = (low != token) & ~before.isin(*MARKS) & token.rlike(IS_NAME)
-    kind = (F.when(token.isin(*MARKS), F.lit("")).when(_is_number(token, low), F.lit(NUMBER))
-            .when(unit, F.lit(UNIT)).when(name, F.lit(NAME)).otherwise(low))
-    return F.struct(kind.alias("c"), low.alias("low"))
+
+def _longest(tokens: Column) -> Column:
+    """The longest plain word, the first of equals; '' without any."""
+    return F.aggregate(tokens, F.lit(""), lambda best, c: F.when(
+        ~c.isin(*SLOTS) & (F.length(c) > F.length(best)), c).otherwise(best))
 
 
 def _window(length: int):
     return lambda place: F.struct(
         place.alias("p"), F.lit(length).alias("w"), F.xxhash64(F.lit(length), F.slice("_c", place, length)).alias("h"),
-        F.array_join(F.slice("_v", place, length), "\t").alias("s"))
-
-
-def _windows(rows: DataFrame, lengths: list[int], keys: list[str]) -> DataFrame:
-    """One row per window of each of `lengths`: keys, place p, w, hash h and slot values s (joined)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    one = rows.select(*keys, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("_t"))
-    # each token next to the one before it; the text's start counts as the start of a sentence
-    two = one.select(*keys, F.filter(F.transform(
-        "_t", lambda t, k: _typed(t, F.when(k == 0, F.lit(".")).otherwise(F.get("_t", k - 1)))),
-        lambda x: x["c"] != "").alias("_x"))
-    slot = lambda x: x["c"].isin(NUMBER, NAME, UNIT)
-    three = two.select(*keys, F.transform("_x", lambda x: x["c"]).alias("_c"), F.transform(
-        "_x", lambda x: F.when(slot(x), x["low"]).otherwise(F.lit(""))).alias("_v"))
+        F.when(F.size("_v") == 0, F.lit("")).otherwise(F.array_join(F.slice("_v", place, length), "\t")).alias("s"))
+
+
+def _holds_slot(text: str) -> Column:
+    return F.contains(text, F.lit(NAME)) | F.contains(text, F.lit(NUMBER)) | F.contains(text, F.lit(UNIT))
+
+
+def _templates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, template tokens _c, and slot values _v ('' for plain words; empty if there is no slot at all)."""
+    raw = rows.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
+    clean = raw.select(*keys, F.when(_holds_slot("_t"), F.translate("_t", "".join(SLOTS), "")).otherwise(F.col("_t")).alias("_t"))
+    digits = clean.select(*keys, "_t", F.regexp_replace("_t", DIGITS, NUMBER).alias("_n"))
+    united = F.when(F.contains("_n", F.lit(NUMBER)), F.regexp_replace("_n", IS_UNIT, "$1" + UNIT)).otherwise(F.col("_n"))
+    named = digits.select(*keys, "_t", F.lower(F.regexp_replace(united, IS_NAME, NAME)).alias("_r"))
+    split = named.select(*keys, "_t", F.regexp_extract_all("_r", F.lit(TEMPLATE_TOKEN), F.lit(0)).alias("_r"))
+    said = lambda c, k: (F.when(~c.isin(*NUMBER_WORDS, *UNITS), c).when(c.isin(*NUMBER_WORDS), F.lit(NUMBER))
+                         .when(F.get("_r", k - 1).isin(*NUMBER_WORDS), F.lit(UNIT)).otherwise(c))
+    typed = split.select(*keys, "_t", F.transform("_r", said).alias("_c"))
+    none = F.array().cast("array<string>")
+    slots = F.exists("_c", lambda c: c.between(NAME, UNIT))
+    own = typed.select(*keys, "_c", F.when(slots, F.regexp_extract_all(F.lower("_t"), F.lit(TOKEN), F.lit(0)))
+                       .otherwise(none).alias("_o"))
+    return own.select(*keys, "_c", F.when(F.size("_o") == 0, none).otherwise(F.zip_with(
+        "_c", "_o", lambda c, o: F.when(c.between(NAME, UNIT), o).otherwise(F.lit("")))).alias("_v"))
+
+
+def _windows(rows: DataFrame, lengths: list[int], keys: list[str], anchors: list[str] | None = None) -> DataFrame:
+    """One row per window of each of `lengths`: keys, tokens (of the text), place p, w, hash h, slot values s (joined).
+
+    With `anchors`, only windows that hold one of these tokens.
+    """
+    made = _templates(rows, keys)
+    if anchors is not None:
+        places = F.transform("_c", lambda c, k: F.when(c.isin(*anchors), k + 1))
+        made = made.select("*", F.array_compact(places).alias("_a"))
     none = F.array().cast("array<struct<p:int,w:int,h:bigint,s:string>>")
-    parts = [F.when(F.size("_c") >= length, F.transform(
-        F.sequence(F.lit(1), F.size("_c") - (length - 1)), _window(length))).otherwise(none) for length in lengths]
-    made = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return three.select(*keys, F.size("_c").alias("tokens"), F.explode(made).alias("_e")).select(*keys, "tokens", "_e.*")
+
+    def starts(length: int) -> Column:
+        last = F.size("_c") - (length - 1)
+        if anchors is None:
+            return F.sequence(F.lit(1), last)
+        return F.array_distinct(F.flatten(F.transform("_a", lambda q: F.sequence(
+            F.greatest(F.lit(1), q - (length - 1)), F.least(q, last)))))
+
+    parts = [F.when(F.size("_c") >= length, F.transform(starts(length), _window(length))).otherwise(none)
+             for length in lengths]
+    both = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return made.select(*keys, F.size("_c").alias("tokens"), F.explode(both).alias("_e")).select(*keys, "tokens", "_e.*")
 
 
 def _benchmark_windows(items: DataFrame) -> DataFrame:
-    """Windows of the items: those of WINDOW tokens, or the whole of a shorter one."""
-    every = _windows(items.select("item_id", "text"), list(range(SHORTEST, WINDOW + 1)), ["item_id"])
-    return every.where((F.col("w") == WINDOW) | (F.col("w") == F.col("tokens"))).distinct()
+    """Windows of the items with a plain word: those of WINDOW tokens, or the whole of a shorter item.
+
+    The anchor of a window is the longest of its plain words.
+    """
+    made = _templates(items.select("item_id", "text"), ["item_id"]).select(
+        "item_id", "_c", "_v", F.size("_c").alias("tokens"), F.explode(F.array(*map(F.lit, range(SHORTEST, WINDOW + 1)))).alias("w"))
+    made = made.where((F.col("w") <= F.col("tokens")) & ((F.col("w") == WINDOW) | (F.col("w") == F.col("tokens"))))
+    each = made.select("*", F.explode(F.sequence(F.lit(1), F.col("tokens") - F.col("w") + 1)).alias("p"))
+    return each.select(
+        "item_id", "tokens", "p", "w", F.xxhash64("w", F.slice("_c", "p", "w")).alias("h"),
+        F.when(F.size("_v") == 0, F.repeat(F.lit("\t"), F.col("w") - 1)).otherwise(
+            F.array_join(F.slice("_v", "p", "w"), "\t")).alias("s"),
+        _longest(F.slice("_c", "p", "w")).alias("anchor")).where("anchor <> ''").distinct()
 
 
 def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -97,15 +149,19 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     once. Other columns are ignored; an empty table on either side gives an empty result.
     """
     wanted = checkpointed(_benchmark_windows(items).select(
-        "item_id", F.col("tokens").alias("item_tokens"), F.col("p").alias("ip"), "w", "h", F.col("s").alias("is")))
+        "item_id", F.col("tokens").alias("item_tokens"), F.col("p").alias("ip"), "w", "h", F.col("s").alias("is"), "anchor"))
+    anchors = [r.anchor for r in wanted.select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    wanted = wanted.drop("anchor")
     lengths = sorted(r.w for r in wanted.select("w").distinct().collect()) or [WINDOW]   # WINDOW - SHORTEST + 1 at most
     rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "text")
-    made = _windows(rows, lengths, ["doc_id", "text_hash"]).drop("tokens")
+    # few anchors tell which windows can meet one; with many, all windows go to the join
+    made = _windows(rows, lengths, ["doc_id", "text_hash"], anchors if len(anchors) <= ANCHORS else None).drop("tokens")
     small = wanted.count() <= BROADCAST_WINDOWS
     met = made.join(F.broadcast(wanted) if small else wanted, ["w", "h"]).select(
         "doc_id", "text_hash", "item_id", "item_tokens", (F.col("p") - F.col("ip")).alias("diagonal"), "ip", "w", "s", "is")
     found = (met.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(
         F.max("item_tokens").alias("item_tokens"), F.sort_array(F.collect_set(F.struct("ip", "w", "s", "is"))).alias("m")))
+    # (a document without slots has no values: its side is one empty string)
     # tokens a window adds before the next one begins, with the slot values of item and document
     added = F.transform("m", lambda m, k: F.struct(
         F.least(m["w"], F.coalesce(F.get("m", k + 1)["ip"] - m["ip"], m["w"])).alias("n"),
@@ -142,27 +198,33 @@ def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
+    """The same by types of tokens and of the one before, with window functions."""
     listed = lambda words: ", ".join(f"'{w}'" for w in words)
-    token = TOKEN.replace("'", "''")
-    name = IS_NAME.replace("'", "''")
+    token = rf"[{MARKS}]|{DIGITS}|{WORD}".replace("'", "''")
+    name = rf"^\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?:[{APOSTROPHE}][\p{{Ll}}\p{{M}}]+)?$".replace("'", "''")
 
     def typed(source: str, key: str) -> str:
-        number = f"(regexp_matches(t, '^[0-9]') OR lower(t) IN ({listed(NUMBER_WORDS)}))"
-        unit = (f"(lower(t) IN ({listed(UNITS)}) AND (regexp_matches(b, '^[0-9]') "
-                f"OR lower(b) IN ({listed(NUMBER_WORDS)})))")
         isname = f"(regexp_matches(t, '{name}') AND b NOT IN ('.', '!', '?', chr(10)))"
         return f"""
-  SELECT r, {key}, row_number() OVER (PARTITION BY r ORDER BY i) AS p, count(*) OVER (PARTITION BY r) AS tokens,
-    CASE WHEN {number} THEN '{NUMBER}' WHEN {unit} THEN '{UNIT}' WHEN {isname} THEN '{NAME}' ELSE lower(t) END AS c,
-    CASE WHEN {number} OR {unit} OR {isname} THEN lower(t) ELSE '' END AS v
-  FROM (SELECT r, {key}, i, t, lag(t, 1, '.') OVER (PARTITION BY r ORDER BY i) AS b FROM (
-    SELECT r, {key}, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM (
-      SELECT {key}, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{token}') AS ts FROM {source})))
-  WHERE t NOT IN ('.', '!', '?', chr(10))"""
+  SELECT r, {key}, p, tokens, CASE WHEN c IN ({listed(NUMBER_WORDS)}) THEN '{NUMBER}'
+      WHEN c IN ({listed(UNITS)}) AND before IN ({listed(NUMBER_WORDS)}) THEN '{UNIT}' ELSE c END AS c,
+    CASE WHEN c IN ('{NAME}', '{NUMBER}', '{UNIT}', {listed(NUMBER_WORDS)})
+      OR c IN ({listed(UNITS)}) AND before IN ({listed(NUMBER_WORDS)}) THEN low ELSE '' END AS v
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) AS p, count(*) OVER (PARTITION BY r) AS tokens,
+      lag(c, 1, '') OVER (PARTITION BY r ORDER BY i) AS before
+    FROM (
+      SELECT r, {key}, i, lower(t) AS low, CASE WHEN regexp_matches(t, '^[0-9]') THEN '{NUMBER}'
+        WHEN lower(t) IN ({listed(UNITS)}) AND regexp_matches(b, '^[0-9]') THEN '{UNIT}'
+        WHEN {isname} THEN '{NAME}' ELSE lower(t) END AS c
+      FROM (SELECT r, {key}, i, t, lag(t, 1, '.') OVER (PARTITION BY r ORDER BY i) AS b FROM (
+        SELECT r, {key}, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM (
+          SELECT {key}, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{token}') AS ts FROM {source})))
+      WHERE t NOT IN ('.', '!', '?', chr(10))))"""
 
     def windows(source: str, key: str) -> str:
         return f"""
-  SELECT r, {key}, tokens, p, w, string_agg(c, chr(1) ORDER BY k) AS h, list(v ORDER BY k) AS s FROM (
+  SELECT r, {key}, tokens, p, w, string_agg(c, chr(1) ORDER BY k) AS h, list(v ORDER BY k) AS s, count(*) FILTER (WHERE v = '') AS plain FROM (
     SELECT a.r, a.{key}, a.tokens, a.p, w, k, x.c, x.v FROM {source} a, (VALUES {', '.join(f'({n})' for n in range(SHORTEST, WINDOW + 1))}) l(w),
       generate_series(0, w - 1) g(k) JOIN {source} x ON x.r = a.r AND x.p = a.p + k
     WHERE a.p + w - 1 <= a.tokens) GROUP BY ALL"""
@@ -170,7 +232,7 @@ def _sql() -> str:
     return f"""
 WITH dt AS ({typed('documents', 'doc_id')}),
 bt AS ({typed('benchmark', 'item_id')}),
-bw AS (SELECT * FROM ({windows('bt', 'item_id')}) WHERE w = {WINDOW} OR w = tokens),
+bw AS (SELECT * FROM ({windows('bt', 'item_id')}) WHERE plain > 0 AND (w = {WINDOW} OR w = tokens)),
 heads AS (SELECT DISTINCT w, string_split(h, chr(1))[1] AS head FROM bw),
 dw AS (
   SELECT d.r, d.doc_id, d.p, l.w, string_agg(x.c, chr(1) ORDER BY x.p) AS h, list(x.v ORDER BY x.p) AS s
