@@ -61,7 +61,10 @@ def rule(number: int) -> Rule:
     return next(r for r in rules() if r.id == number)
 
 
-ALERT_RULES = (1, 8, 10, 13)
+#: The alert queries run every rule whose hits are one statement of SQL: all signatures and counts.
+#: Sequences and distinct counts (3 and 4) have queries of their own next to it, and `rule_fan_out`.
+ALERT_RULES = tuple(r.id for r in builtin_rules() if r.rule_type == "regex" or (
+    r.rule_type == "aggregate" and r.count_mode != "distinct"))
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,7 +187,8 @@ def _alert_hits() -> str:
         r = rule(number)
         if r.rule_type == "regex":
             text = sql_text(r.match_field)
-            source = f"SELECT *, CAST(NULL AS BIGINT) AS cnt FROM ev WHERE {sql_class(text, r.pattern)}"
+            test = SQL_FILTERS.get(r.pattern) or sql_class(text, r.pattern)
+            source = f"SELECT *, CAST(NULL AS BIGINT) AS cnt FROM ev WHERE coalesce({test}, false)"
             matched = (f"CASE WHEN length(trim({text})) > 200 THEN left(trim({text}), 200) || '…' "
                        f"ELSE trim({text}) END")
         else:
