@@ -4,55 +4,95 @@ With `a` the running number of preconditions and `live` those of the last W seco
 only fire when `live >= N`, and fires when it is also N preconditions past the last one that fired.
 Those able to fire are thus a sorted list of distinct `a`, from which the hits are the greedy
 selection with distance N. The selection depends on what came before only through the last chosen
-value, which takes N forms at a block boundary, so blocks are reduced independently and chained.
+value, which takes N forms at a block's origin (1 to N-1 below it, or N and more). So each block of
+values is reduced to a table of N exits, tables of FAN blocks are composed to one, and entries are
+handed down again: no task holds more than a block of values or FAN tables of a source.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 16384
+FAN = 4096
 
 
-def select_apart(points: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+def _following(values: np.ndarray, distance: int) -> np.ndarray:
+    """Index of the value chosen after each value; len(values) if there is none."""
+    return np.searchsorted(values, values + distance)
+
+
+def _exits(values: np.ndarray, origin: int, distance: int) -> np.ndarray:
+    """Last chosen value of a block, by how far below its origin the one chosen before lies."""
+    entries = origin - np.arange(1, distance + 1)
+    after = np.append(_following(values, distance), len(values))
+    final = np.append(values, 0)
+    for i in range(len(values) - 1, -1, -1):
+        if after[i] < len(values):
+            final[i] = final[after[i]]
+    first = np.searchsorted(values, entries + distance)
+    return np.where(first < len(values), final[first], entries)
+
+
+def _through(state: np.ndarray, origin: int, exits: np.ndarray, distance: int) -> np.ndarray:
+    return exits[np.minimum(origin - state, distance) - 1]
+
+
+def select_apart(points: DataFrame, distance: int, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """Greedy selection per `_g` of distinct integers `a` that are `distance` apart.
 
     Returns (_g, a, last) where `last` is the value chosen before, NULL for the first.
     """
     block = max(block, distance)
-    blocks = (points.groupBy("_g", F.floor(F.col("a") / block).alias("b"))
-              .agg(F.array_sort(F.collect_set("a")).alias("values")))
-    origin = F.col("b") * block
-    entries = F.transform(F.sequence(F.lit(1), F.lit(distance)), lambda d: origin - d)
-    reduced = F.aggregate(
-        "values", entries,
-        lambda state, x: F.transform(state, lambda last: F.when(x - last >= distance, x)
-                                     .otherwise(last)))
-    step = F.struct("b", reduced.alias("exits"))
-    chained = blocks.select("_g", step.alias("s")).groupBy("_g").agg(
-        F.array_sort(F.collect_list("s")).alias("steps"))
     free = -10 * distance
-    start = F.struct(F.lit(free).cast("bigint").alias("last"),
-                     F.array().cast("array<struct<b:bigint,entry:bigint>>").alias("entries"))
-
-    def advance(state, s):
-        # the state entering block b is one of `distance` forms: how far below its origin
-        away = F.least(s["b"] * block - state["last"], F.lit(distance)).cast("int")
-        return F.struct(
-            F.element_at(s["exits"], away).alias("last"),
-            F.concat(state["entries"], F.array(F.struct(
-                s["b"].alias("b"), state["last"].alias("entry")))).alias("entries"))
-
-    entered = (chained.select("_g", F.explode(F.aggregate("steps", start, advance)["entries"])
-                              .alias("e")).select("_g", "e.b", "e.entry"))
-    picked = F.aggregate(
-        "values",
-        F.struct(F.col("entry").alias("last"),
-                 F.array().cast("array<struct<a:bigint,last:bigint>>").alias("chosen")),
-        lambda state, x: F.when(x - state["last"] >= distance, F.struct(
-            x.alias("last"),
-            F.concat(state["chosen"], F.array(F.struct(
-                x.alias("a"), state["last"].alias("last")))).alias("chosen"))).otherwise(state))
-    return (blocks.join(entered, ["_g", "b"])
-            .select("_g", F.explode(picked["chosen"]).alias("c"))
-            .select("_g", "c.a", F.when(F.col("c.last") > free, F.col("c.last")).alias("last")))
+    keyed = points.select("_g", F.col("a").cast("bigint").alias("a")).distinct().withColumn(
+        "b", F.floor(F.col("a") / block))
+
+    def reduce_block(part: pd.DataFrame) -> pd.DataFrame:
+        b = int(part["b"].iloc[0])
+        exits = _exits(np.sort(part["a"].to_numpy()), b * block, distance)
+        return pd.DataFrame({"_g": part["_g"].iloc[:1].to_numpy(), "b": [b], "exits": [exits]})
+
+    def compose(part: pd.DataFrame) -> pd.DataFrame:
+        s = int(part["s"].iloc[0])
+        state = s * fan * block - np.arange(1, distance + 1)
+        for b, exits in sorted(zip(part["b"], part["exits"]), key=lambda x: x[0]):
+            state = _through(state, b * block, np.asarray(exits), distance)
+        return pd.DataFrame({"_g": part["_g"].iloc[:1].to_numpy(), "s": [s], "exits": [state]})
+
+    def walk(part: pd.DataFrame, at: str, width: int, entry: int) -> list[int]:
+        state, entries = np.array([entry]), []
+        for number, exits in zip(part[at], part["exits"]):
+            entries.append(int(state[0]))
+            state = _through(state, number * width, np.asarray(exits), distance)
+        return entries
+
+    def enter_fans(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("s")
+        return part[["_g", "s"]].assign(entry=walk(part, "s", fan * block, free))
+
+    def enter_blocks(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("b")
+        return part[["_g", "b"]].assign(entry=walk(part, "b", block, int(part["entry"].iloc[0])))
+
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        values, last = np.sort(part["a"].to_numpy()), int(part["entry"].iloc[0])
+        after, chosen = _following(values, distance), []
+        at = int(np.searchsorted(values, last + distance))
+        while at < len(values):
+            chosen.append((values[at], last))
+            last, at = int(values[at]), int(after[at])
+        out = pd.DataFrame(chosen, columns=["a", "last"]).astype("int64")
+        out.insert(0, "_g", part["_g"].iloc[0])
+        return out
+
+    tables = (keyed.groupBy("_g", "b").applyInPandas(reduce_block, "_g string, b bigint, exits array<bigint>")
+              .withColumn("s", F.floor(F.col("b") / fan)))
+    fans = tables.groupBy("_g", "s").applyInPandas(compose, "_g string, s bigint, exits array<bigint>")
+    entered = fans.groupBy("_g").applyInPandas(enter_fans, "_g string, s bigint, entry bigint")
+    inside = tables.join(entered, ["_g", "s"]).groupBy("_g", "s").applyInPandas(
+        enter_blocks, "_g string, b bigint, entry bigint")
+    picked = keyed.join(inside, ["_g", "b"]).groupBy("_g", "b").applyInPandas(pick, "_g string, a bigint, last bigint")
+    return picked.select("_g", "a", F.when(F.col("last") > free, F.col("last")).alias("last"))
