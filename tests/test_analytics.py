@@ -12,7 +12,7 @@ from wardlog.operators import clusters, correlate, exposure, forest, geo, mainte
 from wardlog.operators import statistics as stats
 from wardlog.operators.features import feature_vector, ip_features
 from wardlog.plans import importing, training
-from wardlog.sources import connections, fixtures, tables
+from wardlog.sources import connections, fixtures, logs, tables
 from wardlog.sources.rules import builtin_rules
 
 ALIGNED = BASE - BASE % 60
@@ -240,6 +240,27 @@ def test_import_job(spark):
     assert spark.read.parquet(f"{out}/alerts").count() == result.alerts
 
 
+def test_two_imports_are_one_import_of_both(spark, tmp_path):
+    """A source in two files, the second of which continues an alert of the first."""
+    lines = fixtures.log_lines(spark, "/root/testdata/sf0.001")
+    rules = builtin_rules(3 * 86400, 2)
+    columns = ("title", "src_ip", "count", "first_seen", "last_seen")
+    told = lambda out: sorted(map(tuple, spark.read.parquet(f"{out}/alerts").select(*columns).collect()), key=str)
+    whole = importing.import_lines(lines, rules, str(tmp_path / "a"), year=fixtures.YEAR)
+    parts = [lines.where("seq < 500"), lines.where("seq >= 500")]
+    results = [importing.import_lines(p, rules, str(tmp_path / "b"), year=fixtures.YEAR, run=i) for i, p in enumerate(parts)]
+    assert told(tmp_path / "b") == told(tmp_path / "a")
+    assert sum(r.matched for r in results) == whole.matched and sum(r.alerts for r in results) == whole.alerts
+    again = importing.import_lines(parts[1], rules, str(tmp_path / "b"), year=fixtures.YEAR, run=1)
+    assert (again.matched, again.alerts) == (0, 0) and told(tmp_path / "b") == told(tmp_path / "a")
+
+
+def test_lines_of_text_files_are_numbered(spark, tmp_path):
+    (tmp_path / "x.log").write_bytes(b"one\ntwo \xff\nthree\n")
+    rows = logs.read_lines(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.value for r in rows] == ["one", "two \ufffd", "three"] and len({r.seq for r in rows}) == 3
+
+
 def test_train_and_detect(spark):
     events = fixtures.security_events(spark, "/root/testdata/sf0.001")
     from wardlog.catalog import base

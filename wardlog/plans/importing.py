@@ -12,6 +12,9 @@ from wardlog.sources import logs, tables
 from wardlog.sources.rules import Rule, rules_frame
 
 
+RUN_STEP = 1 << 44      # arrival numbers of a run stay below this
+
+
 @dataclass
 class ImportResult:
     parsed: int
@@ -21,40 +24,53 @@ class ImportResult:
 
 
 def import_lines(lines: DataFrame, rules: list[Rule], out: str, *, year: int | Column,
-                 source_id: int = 0, source_type: str = "auto") -> ImportResult:
+                 source_id: int = 0, run: int = 0, source_type: str = "auto",
+                 now: Column | None = None) -> ImportResult:
     """`lines` has `seq` and `value`. Writes events, quarantine and alerts under `out`.
 
+    `run` names what is imported (a file, a day). Importing it again replaces its events, and a source's
+    alerts are those of all its stored events, so two runs give what one run of both gives, and a run
+    that is repeated changes nothing. The counts of matched events and alerts are what the run added.
     Events are written once and read back for detection, so text is parsed a single time and an
-    executor lost later costs a file read.
+    executor lost later costs a file read. Lines whose time cannot be read get `now`, if it is given;
+    otherwise they have alerts of their own.
     """
     spark = lines.sparkSession
     seen = Observation("import")
-    parsed = logs.parse(lines, source_type, year=year, keep=("seq",)).observe(
+    parsed = logs.parse(lines, source_type, year=year, now=now, keep=("seq",)).observe(
         seen, F.count_if(F.col("log_type").isNotNull()).alias("parsed"),
         F.count_if(F.col("log_type").isNull() & (F.col("raw") != "")).alias("rejected"))
     folder = f"{out}/events"
     # one pass over the text: rejected lines land in a partition of their own
     staged = parsed.where(F.col("raw") != "").withColumn(
         "accepted", F.col("log_type").isNotNull().cast("int")).withColumn(
-        "source_id", F.lit(source_id))
-    (staged.withColumn(tables.EVENT_DATE, F.to_date("ts"))
-     .write.mode("append").partitionBy("source_id", "accepted", tables.EVENT_DATE)
-     .parquet(folder))
+        "source_id", F.lit(source_id)).withColumn("run", F.lit(run)).withColumn(
+        tables.EVENT_DATE, F.to_date("ts"))
+    # rows of a date are put together, so a date gets as many files as it has hours
+    (staged.repartition("accepted", tables.EVENT_DATE, F.floor(F.col("epoch") / 3600), F.pmod("seq", F.lit(8)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("source_id", "run", "accepted", tables.EVENT_DATE).parquet(folder))
     counts = seen.get
     events = spark.read.parquet(folder).where(
         (F.col("source_id") == source_id) & (F.col("accepted") == 1))
+    # arrival numbers of different runs do not clash: runs come one after another
+    events = events.withColumn("seq", F.col("run") * RUN_STEP + F.col("seq"))
+    known = tables.read_or_empty(spark, f"{out}/alerts", "count BIGINT, source_id INT").where(
+        F.col("source_id") == source_id).agg(
+        F.count("*").alias("alerts"), F.coalesce(F.sum("count"), F.lit(0)).alias("matched")).first()
     hits_seen = Observation("hits")
     hits = detect(events, rules)
     alerts = with_rule_id(consolidate(hits), rules_frame(spark, rules)).withColumn(
         "source_id", F.lit(source_id))
     alerts = alerts.observe(hits_seen, F.count("*").alias("alerts"),
                             F.coalesce(F.sum("count"), F.lit(0)).alias("matched"))
-    alerts.write.mode("append").partitionBy("source_id").parquet(f"{out}/alerts")
-    run = hits_seen.get
-    result = ImportResult(counts["parsed"], counts["rejected"], run["matched"], run["alerts"])
+    tables.replace_partition(alerts, f"{out}/alerts", "source_id")
+    after = hits_seen.get
+    result = ImportResult(counts["parsed"], counts["rejected"], after["matched"] - known["matched"],
+                          after["alerts"] - known["alerts"])
     spark.createDataFrame(
-        [(source_id, result.parsed, result.rejected, result.matched, result.alerts)],
-        "source_id INT, processed BIGINT, rejected BIGINT, matched BIGINT, alerts BIGINT"
+        [(source_id, run, result.parsed, result.rejected, result.matched, result.alerts)],
+        "source_id INT, run INT, processed BIGINT, rejected BIGINT, matched BIGINT, alerts BIGINT"
     ).write.mode("append").parquet(f"{out}/runs")
     return result
 

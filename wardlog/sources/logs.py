@@ -32,10 +32,10 @@ FORMATS = {
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Text scan; bytes that are not UTF-8 become replacement characters.
 
-    Text files carry no arrival number: where ties within a second matter, the producer has to
-    supply `seq`.
+    `seq` numbers the lines of a split in their order and splits in the order they are read, without a
+    shuffle. It settles ties within a second; a producer that knows the arrival can supply its own.
     """
-    return spark.read.text(paths)
+    return spark.read.text(paths).select(F.monotonically_increasing_id().alias("seq"), "value")
 
 
 def _groups(line: Column, kind: str) -> Column:

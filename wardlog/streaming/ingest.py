@@ -12,13 +12,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.utils import AnalysisException
 
 from wardlog import schema
 from wardlog.operators.alerts import consolidate
 from wardlog.plans.detection import detect
 from wardlog.sources import logs
 from wardlog.sources.rules import Rule, load_rules
+from wardlog.sources.tables import read_or_empty
 
 LINES = "seq BIGINT, value STRING"
 
@@ -47,10 +47,7 @@ class Ingest:
     def table(self, name: str, columns: str) -> DataFrame:
         """A table of this ingest, empty before the first batch wrote it."""
         wanted = f"{columns}, batch BIGINT"
-        try:
-            return self.spark.read.schema(wanted).parquet(f"{self.out}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], wanted)
+        return read_or_empty(self.spark, f"{self.out}/{name}", wanted)
 
     def events(self) -> DataFrame:
         return self.table("events", schema.EVENT)
