@@ -288,22 +288,64 @@ def standardised(spark, sf):
 @query("kmeans_clusters")
 def kmeans(spark, sf):
     """Four clusters and each row's distance to its centre."""
-    made = clusters.cluster(_vectors(spark, sf), k=4, restarts=2)
+    made = clusters.cluster(_vectors(spark, sf), k=4)
     return made.rows.select("vec_id", "cluster", F.round("distance", 4).alias("distance"))
 
 
+@query("forest_shape", """
+SELECT CAST(t AS INTEGER) AS tree, least(256, (SELECT count(*) FROM embeddings)) AS sampled,
+  true AS binary, true AS shallow FROM range(100) r(t)""")
+def forest_shape(spark, sf):
+    """Per tree: its leaves hold the sample, it is binary, no node lies deeper than the limit."""
+    nodes = forest.train(_vectors(spark, sf), ("vec_id",)).frame(spark)
+    leaf = F.col("feature") < 0
+    trees = nodes.groupBy("tree").agg(
+        F.sum(F.when(leaf, F.col("size")).otherwise(0)).alias("sampled"),
+        (F.count("*") == 2 * F.count_if(leaf) - 1).alias("binary"))
+    level = nodes.where("node = 0").select("tree", "node")
+    edges = nodes.where(~leaf).select("tree", F.col("node").alias("up"), F.explode(F.array("left", "right")).alias("node"))
+    for _ in range(9):          # one step further down than a tree may reach
+        level = edges.join(level.withColumnRenamed("node", "up"), ["tree", "up"]).select("tree", "node")
+    deep = level.select("tree").distinct().withColumn("deep", F.lit(True))
+    return trees.join(deep, "tree", "left").select(
+        "tree", "sampled", "binary", F.coalesce(~F.col("deep"), F.lit(True)).alias("shallow"))
+
+
+@query("forest_score_range", "SELECT vec_id, true AS in_range FROM embeddings")
+def forest_score_range(spark, sf):
+    return forest_scores(spark, sf).select("vec_id", F.col("anomaly_score").between(0, 1).alias("in_range"))
+
+
+@query("kmeans_nearest", "SELECT vec_id, true AS nearest, true AS at_mean FROM embeddings")
+def kmeans_nearest(spark, sf):
+    """Each row sits with its nearest centre, and centres are the means of their rows."""
+    from pyspark.ml.functions import vector_to_array
+    made = clusters.cluster(_vectors(spark, sf), k=4)
+    rows = made.rows.select("vec_id", "cluster", "distance", vector_to_array("scaled").alias("x"))
+    size = len(made.model.clusterCenters()[0])
+    means = rows.groupBy("cluster").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(size)]).alias("mean"))
+    centres = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(made.model.clusterCenters())],
+                                    "cluster int, centre array<double>")
+    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, v: t + v))
+    compared = means.join(centres, "cluster").select("cluster", (gap("mean", "centre") < 1e-2).alias("at_mean"))
+    others = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in made.model.clusterCenters()])
+    least = F.array_min(F.transform(others, lambda c: gap(F.col("x"), c)))
+    return rows.join(compared, "cluster").select(
+        "vec_id", (F.abs(F.col("distance") - least) < 1e-6).alias("nearest"), "at_mean")
+
+
 @query("kmeans_chosen_k")
 def chosen_k(spark, sf):
     """The number of clusters with the best silhouette, and how the rows divide."""
-    made = clusters.cluster(_vectors(spark, sf), k_range=(3, 5), restarts=1)
+    made = clusters.cluster(_vectors(spark, sf), k_range=(3, 8))
     return made.rows.groupBy("cluster").agg(F.count("*").alias("rows")).withColumn(
         "k", F.lit(made.k)).withColumn("silhouette", F.lit(made.silhouette))
 
 
 @query("kmeans_outliers")
 def kmeans_outliers(spark, sf):
-    made = clusters.cluster(_vectors(spark, sf), k=4, restarts=1)
-    return clusters.outliers(made.rows, 10).select("vec_id", "cluster",
+    made = clusters.cluster(_vectors(spark, sf), k=4)
+    return clusters.outliers(made.rows, 10, "vec_id").select("vec_id", "cluster",
                                                    F.round("distance", 3).alias("distance"))
 
 

@@ -9,7 +9,8 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
-from pyspark.storagelevel import StorageLevel
+
+from wardlog.session import materialise
 
 MIN_ROWS = 5
 
@@ -45,7 +46,7 @@ def _silhouette(model: KMeansModel, scaled: DataFrame) -> float:
 def cluster(df: DataFrame, vector: str = "features", k: int | None = None,
             k_range: tuple[int, int] = (3, 8), restarts: int = 10, seed: int = 42) -> Clustering:
     """Fixed k, or the k with the best silhouette in the range (2 when none separates)."""
-    scaled = standardise(df, vector).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = materialise(standardise(df, vector))
     total = scaled.count()
     if total < MIN_ROWS:
         raise ValueError(f"{total} rows; at least {MIN_ROWS} are needed")
@@ -77,6 +78,6 @@ def with_distance(model: KMeansModel, scaled: DataFrame) -> DataFrame:
         squares, F.lit(0.0), lambda total, x: total + x)))
 
 
-def outliers(rows: DataFrame, top_n: int = 10) -> DataFrame:
-    """The rows furthest from their centre."""
-    return rows.orderBy(F.desc("distance")).limit(top_n)
+def outliers(rows: DataFrame, top_n: int = 10, *keys: str) -> DataFrame:
+    """The rows furthest from their centre; equal distances are ordered by `keys`."""
+    return rows.orderBy(F.desc("distance"), *keys).limit(top_n)

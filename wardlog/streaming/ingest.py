@@ -2,7 +2,8 @@
 
 Each micro-batch writes its own partition of every table and overwrites it when it is retried, so
 a restart repeats nothing. Rules are re-read at the start of each batch. Detection sees the stored
-events of the longest window before the batch, and reports hits of the batch's own events.
+events of the longest window before the batch's oldest, and reports hits of the batch's own events. Late
+lines are examined like all others, with what was stored around their time; they are listed as well.
 """
 
 from __future__ import annotations
@@ -23,14 +24,6 @@ from wardlog.sources.tables import read_or_empty
 LINES = "seq BIGINT, value STRING"
 
 
-def split_late(events: DataFrame, newest: int | None, delay: int) -> tuple[DataFrame, DataFrame]:
-    """(on time, late): late events are more than `delay` seconds behind the newest seen before."""
-    if newest is None:
-        return events, events.where(F.lit(False))
-    late = F.coalesce(F.col("epoch") < newest - delay, F.lit(False))
-    return events.where(~late), events.where(late)
-
-
 @dataclass
 class Ingest:
     spark: SparkSession
@@ -77,17 +70,16 @@ class Ingest:
                 if before is not None else F.lit(False))
         staged = parsed.withColumn("_late", late).observe(
             counters, F.count("*").alias("parsed"), F.count_if("_late").alias("late"),
-            F.min(F.when(~F.col("_late"), F.col("epoch"))).alias("oldest"),
-            F.max("epoch").alias("newest"))
+            F.min("epoch").alias("oldest"), F.max("epoch").alias("newest"))
         self._store(staged, "staged", batch)
         counts = counters.get
         own = self.spark.read.schema(schema.EVENT + ", _late BOOLEAN").parquet(
             f"{self.out}/staged/batch={batch}")
         self._store(own.where("_late").drop("_late"), "late", batch)
-        self._store(own.where("not _late").drop("_late"), "events", batch)
+        self._store(own.drop("_late"), "events", batch)
         found = 0
-        if counts["oldest"] is not None and rules:
-            found = self._detect(rules, batch, counts["oldest"])
+        if counts["parsed"] and rules:
+            found = self._detect(rules, batch, counts["oldest"] or 0)
         row = [(counts["parsed"], counts["late"],
                 max(x for x in (counts["newest"], before, 0) if x is not None), found)]
         self._store(self.spark.createDataFrame(

@@ -1,140 +1,11 @@
-"""Rules as per-group state on a stream: trailing counts, distinct counts and sequences.
+"""Alert sessions and behaviour features on streams, with Spark's own windows and state.
 
-State is compact - a count per second inside the window, the last second of each distinct value -
-so its size follows the window and not the traffic. One group is one task here; where a single
-source carries a large share of the stream, `ingest.Ingest` evaluates the same rules per
-micro-batch with the batch plans, which spread a source over its seconds.
+Rules run per micro-batch with the batch plans (`ingest.Ingest`), which spread a source over its seconds.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from wardlog.functions.filters import event_filter
-from wardlog.sources.rules import Rule, check_group_field
-
-HITS = ("group_value STRING, rule_id INT, seq BIGINT, epoch BIGINT, ts TIMESTAMP, count BIGINT, "
-        "prior_fails BIGINT")
-IDLE_SECONDS = 3600
-
-
-def _forget(counts: dict[int, int], oldest: int) -> None:
-    for second in [s for s in counts if s < oldest]:
-        del counts[second]
-
-
-class RuleState:
-    """One rule in one group. `seconds`: count per second; `values`: last second per value."""
-
-    def __init__(self, rule: Rule, saved: dict | None = None):
-        saved = saved or {}
-        self.rule = rule
-        self.seconds = {int(k): v for k, v in saved.get("seconds", {}).items()}
-        self.values = dict(saved.get("values", {}))
-
-    def dump(self) -> dict:
-        return {"seconds": self.seconds, "values": self.values}
-
-    def step(self, epoch: int, flag: bool, before: bool, value) -> tuple | None:
-        """(count, prior) when the event is a hit."""
-        oldest = epoch - self.rule.window
-        if self.rule.rule_type == "composite":
-            _forget(self.seconds, oldest)
-            if flag:
-                live = sum(self.seconds.values())
-                if live < self.rule.limit:
-                    return None
-                self.seconds.clear()
-                return None, live
-            if before:
-                self.seconds[epoch] = self.seconds.get(epoch, 0) + 1
-            return None
-        if not flag:
-            return None
-        if self.rule.count_mode == "distinct":
-            if value is not None:
-                self.values[value] = epoch
-            self.values = {v: t for v, t in self.values.items() if t >= oldest}
-            total = len(self.values)
-        else:
-            _forget(self.seconds, oldest)
-            self.seconds[epoch] = self.seconds.get(epoch, 0) + 1
-            total = sum(self.seconds.values())
-        return (total, None) if total >= self.rule.limit else None
-
-
-class RuleProcessor(StatefulProcessor):
-    """All windowed rules of one group field; state is dropped after an hour without events."""
-
-    def __init__(self, rules: Sequence[Rule]):
-        self.rules = list(rules)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.saved = handle.getValueState("rules", "state STRING, last BIGINT")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
-        saved = self.saved.get() if self.saved.exists() else None
-        states = json.loads(saved[0]) if saved else {}
-        last = saved[1] if saved else 0
-        mine = {r.id: RuleState(r, states.get(str(r.id))) for r in self.rules}
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["epoch", "seq"])
-        hits = []
-        for row in batch.itertuples(index=False):
-            for rule in self.rules:
-                value = getattr(row, f"v{rule.id}")
-                found = mine[rule.id].step(
-                    int(row.epoch), bool(getattr(row, f"f{rule.id}")),
-                    bool(getattr(row, f"b{rule.id}")), None if pd.isna(value) else str(value))
-                if found:
-                    hits.append((key[0], rule.id, row.seq, row.epoch, row.ts, *found))
-            last = max(last, int(row.epoch))
-        self.saved.update((json.dumps({i: s.dump() for i, s in mine.items()}), last))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last + IDLE_SECONDS) * 1000)
-        names = ["group_value", "rule_id", "seq", "epoch", "ts", "count", "prior_fails"]
-        yield pd.DataFrame(hits, columns=names).astype(
-            {"count": "Int64", "prior_fails": "Int64"}) if hits else pd.DataFrame(columns=names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.saved.clear()
-        yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
-
-
-def windowed_hits(events: DataFrame, rules: Sequence[Rule], delay: str = "10 minutes"
-                  ) -> DataFrame:
-    """Streaming hits of windowed rules that share a group field.
-
-    Events later than `delay` behind the newest are dropped by the watermark; count them before
-    with `ingest.split_late`.
-    """
-    group = check_group_field(rules[0].group)
-    columns = []
-    for r in rules:
-        flag = event_filter(r.pattern)
-        before = event_filter(r.match_field) & ~flag if r.rule_type == "composite" else F.lit(False)
-        value = (F.col(check_group_field(r.distinct_field or "dst_port")).cast("string")
-                 if r.count_mode == "distinct" else F.lit(None).cast("string"))
-        columns += [flag.alias(f"f{r.id}"), before.alias(f"b{r.id}"), value.alias(f"v{r.id}")]
-    ready = (events.select(F.col(group).cast("string").alias("group_value"), "seq", "epoch",
-                           F.timestamp_seconds("epoch").alias("ts"), *columns)
-             .where(F.col("group_value") != "").withWatermark("ts", delay))
-    used = F.lit(False)
-    for r in rules:
-        used = used | F.col(f"f{r.id}") | F.col(f"b{r.id}")
-    return ready.where(used).groupBy("group_value").transformWithStateInPandas(
-        statefulProcessor=RuleProcessor(rules), outputStructType=HITS, outputMode="append",
-        timeMode="eventTime")
 
 
 def session_alerts(hits: DataFrame, gap: int = 300, delay: str = "10 minutes") -> DataFrame:
