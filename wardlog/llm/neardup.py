@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
         exploded = all_rows.where("n > 0 and doc_id is not null").select("doc_id", F.posexplode(side).alias("i", "k"))
         held = exploded.groupBy("i", "k").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
                                               F.count("*").alias("weight"))
-        return exploded.join(held.where("low <> high").select("i", "k", "weight"), ["i", "k"])
+        # stored before the join: what is grouped and joined by one shuffle cannot be split where a key is crowded
+        return exploded.join(checkpointed(held.where("low <> high").select("i", "k", "weight")), ["i", "k"])
 
     # only one row of each class goes on; classes are few where rows are many
     singles = all_rows.join(reps.select("doc_id", "f1", "f2", "n"), ["doc_id", "f1", "f2", "n"], "left_semi")
@@ -149,9 +150,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     members = stored(shared.select("doc_id", (F.col("wa") + F.col("wb")).alias("weight"), F.explode("a").alias("x"), "b")
                      .select("doc_id", "weight", "x", F.explode("b").alias("y"))
                      .select("doc_id", "weight", F.xxhash64("x.i", "y.i", "x.k", "y.k").alias("bucket")), "tables")
-    hubs = members.groupBy("bucket").agg(
+    hubs = checkpointed(members.groupBy("bucket").agg(
         F.max(F.struct("weight", (-F.col("doc_id")).alias("low"))).alias("hub"), F.count("*").alias("rows"))
-    stars = (members.join(hubs.where("rows > 1"), "bucket")
+        .where("rows > 1").select("bucket", "hub"))
+    stars = (members.join(hubs, "bucket")
              .select((-F.col("hub.low")).alias("u"), F.col("doc_id").alias("v")).where("u <> v").distinct())
     mask = all_rows.select("doc_id", "n", "p")
     stars = checkpointed(
@@ -166,8 +168,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
               .select("doc_id", "n", "a", "b", "p", "own", F.coalesce("component", "doc_id").alias("c")))
     spread = placed.select("doc_id", "n", "a", "b", "p", "c", F.explode("own").alias("e")).select(
         "doc_id", "n", "a", "b", "p", "c", F.col("e.i").alias("i"), F.col("e.k").alias("k"))
-    open_keys = spread.groupBy("i", "k").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
-    spread = checkpointed(spread.join(open_keys.select("i", "k"), ["i", "k"], "left_semi"))
+    open_keys = checkpointed(spread.groupBy("i", "k").agg(F.min("c").alias("c1"), F.max("c").alias("c2"))
+                             .where("c1 <> c2").select("i", "k"))
+    spread = checkpointed(spread.join(open_keys, ["i", "k"], "left_semi"))
     x, y = spread.alias("x"), spread.alias("y")
     get = lambda side, at: F.get(side, F.lit(at))
     earlier = reduce(lambda p, q: p | q, [
