@@ -6,7 +6,8 @@ Those able to fire are thus a sorted list of distinct `a`, from which the hits a
 selection with distance N. The selection depends on what came before only through the last chosen
 value, which takes N forms at a block's origin (1 to N-1 below it, or N and more). So each block of
 values is reduced to a table of N exits, tables of FAN blocks are composed to one, and entries are
-handed down again: no task holds more than a block of values or FAN tables of a source.
+handed down again. The selection itself walks sorted rows and keeps one value, so no task holds more
+than a block of values or FAN tables of a source.
 """
 
 from __future__ import annotations
@@ -15,19 +16,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from wardlog.session import materialise
+
 BLOCK = 16384
 FAN = 4096
 
 
-def _following(values: np.ndarray, distance: int) -> np.ndarray:
-    """Index of the value chosen after each value; len(values) if there is none."""
-    return np.searchsorted(values, values + distance)
-
-
 def _exits(values: np.ndarray, origin: int, distance: int) -> np.ndarray:
     """Last chosen value of a block, by how far below its origin the one chosen before lies."""
     entries = origin - np.arange(1, distance + 1)
-    after = np.append(_following(values, distance), len(values))
+    after = np.append(np.searchsorted(values, values + distance), len(values))
     final = np.append(values, 0)
     for i in range(len(values) - 1, -1, -1):
         if after[i] < len(values):
@@ -47,8 +45,8 @@ def select_apart(points: DataFrame, distance: int, block: int = BLOCK, fan: int
     """
     block = max(block, distance)
     free = -10 * distance
-    keyed = points.select("_g", F.col("a").cast("bigint").alias("a")).distinct().withColumn(
-        "b", F.floor(F.col("a") / block))
+    keyed = materialise(points.select("_g", F.col("a").cast("bigint").alias("a")).distinct().withColumn(
+        "b", F.floor(F.col("a") / block)))   # narrow, and used several times
 
     def reduce_block(part: pd.DataFrame) -> pd.DataFrame:
         b = int(part["b"].iloc[0])
@@ -77,22 +75,29 @@ def select_apart(points: DataFrame, distance: int, block: int = BLOCK, fan: int
         part = part.sort_values("b")
         return part[["_g", "b"]].assign(entry=walk(part, "b", block, int(part["entry"].iloc[0])))
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        values, last = np.sort(part["a"].to_numpy()), int(part["entry"].iloc[0])
-        after, chosen = _following(values, distance), []
-        at = int(np.searchsorted(values, last + distance))
-        while at < len(values):
-            chosen.append((values[at], last))
-            last, at = int(values[at]), int(after[at])
-        out = pd.DataFrame(chosen, columns=["a", "last"]).astype("int64")
-        out.insert(0, "_g", part["_g"].iloc[0])
-        return out
-
-    tables = (keyed.groupBy("_g", "b").applyInPandas(reduce_block, "_g string, b bigint, exits array<bigint>")
+    def pick(batches):
+        """Rows come sorted by source, block and value; only the last chosen value is kept."""
+        block_of, last = None, free
+        for part in batches:
+            chosen = []
+            for g, b, a, entry in zip(part["_g"], part["b"], part["a"], part["entry"]):
+                if (g, b) != block_of:
+                    block_of, last = (g, b), entry
+                if a - last >= distance:
+                    chosen.append((g, a, last))
+                    last = a
+            yield pd.DataFrame(chosen, columns=["_g", "a", "last"]).astype({"a": "int64", "last": "int64"})
+
+    # a source of one block starts free; only longer ones need tables
+    spans = keyed.groupBy("_g").agg((F.min("b") < F.max("b")).alias("long"))
+    long = keyed.join(spans.where("long").select("_g"), "_g", "left_semi")
+    tables = (long.groupBy("_g", "b").applyInPandas(reduce_block, "_g string, b bigint, exits array<bigint>")
               .withColumn("s", F.floor(F.col("b") / fan)))
     fans = tables.groupBy("_g", "s").applyInPandas(compose, "_g string, s bigint, exits array<bigint>")
     entered = fans.groupBy("_g").applyInPandas(enter_fans, "_g string, s bigint, entry bigint")
     inside = tables.join(entered, ["_g", "s"]).groupBy("_g", "s").applyInPandas(
         enter_blocks, "_g string, b bigint, entry bigint")
-    picked = keyed.join(inside, ["_g", "b"]).groupBy("_g", "b").applyInPandas(pick, "_g string, a bigint, last bigint")
+    ready = keyed.join(inside, ["_g", "b"], "left").select("_g", "b", "a", F.coalesce("entry", F.lit(free)).alias("entry"))
+    picked = ready.repartition("_g", "b").sortWithinPartitions("_g", "b", "a").mapInPandas(
+        pick, "_g string, a bigint, last bigint")
     return picked.select("_g", "a", F.when(F.col("last") > free, F.col("last")).alias("last"))
