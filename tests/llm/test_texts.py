@@ -1,3 +1,5 @@
+import textwrap
+
 from pyspark.sql import functions as F
 from wardlog.llm import preference
 from wardlog.llm.license_scan import Scanner, blocks_of, scan
@@ -25,6 +27,36 @@ def test_scan(spark):
     assert [b[:2] for b in blocks_of("license\na\nlicense\nb\nc\nlicense")] == [(0, 2), (5, 5)]
 
 
+def wrapped(wording, width, mark="", between="\n"):
+    return between.join(textwrap.fill(p, width, initial_indent=mark, subsequent_indent=mark) for p in wording.split("\n"))
+
+
+def test_wrapped_templates_are_found(spark):
+    """Every template hard-wrapped, with prose around it, is one block of exactly its lines and its holder's."""
+    rows, want = [], []
+    for width in (72, 74, 76, 78, 80):
+        for name, wording in TEMPLATES:
+            for mark, between, holder in (("", "\n", ""), ("", "\n\n", "Copyright (c) 2021 Jane Doe\n\n"), ("# ", "\n#\n", "")):
+                body = holder + wrapped(wording, width, mark, between)
+                want.append((len(rows), 2, 2 + body.count("\n"), name, body))
+                rows.append((len(rows), f"Some prose of the page\n\n{body}\n\nmore of the same prose\nand more"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.first_line, r.last_line, r.license, r.block) for r in scan(docs).collect()) == want
+
+
+def test_neighbouring_and_damaged_licenses():
+    scanner, terms = Scanner(TEMPLATES), dict(TEMPLATES)
+    two = wrapped(MIT_TERMS, 78) + "\n\n" + wrapped(terms["BSD-3-Clause"], 20) + "\n\n" + wrapped(MIT_TERMS, 72)
+    assert [r[3][0] for r in scanner.blocks(two)] == ["MIT", "BSD-3-Clause", "MIT"]
+    half = wrapped(MIT_TERMS[:300], 78)
+    assert {r[3][0] for r in scanner.blocks(half)} == {None}
+    both = half + "\n\n" + wrapped(MIT_TERMS, 78)
+    assert [r[3][:2] for r in scanner.blocks(both)][-1] == ("MIT", True)
+    assert scanner.blocks("a\nwe put this into the public\ndomain") == []
+    many = "\n".join([*["word " * 9] * 3, *wrapped(MIT_TERMS, 78).split("\n")] * 40)
+    assert [r[3][0] for r in scanner.blocks(many)] == ["MIT"] * 40
+
+
 def turns(spark, talks):
     rows = [(i, k, role, text, "x") for i, talk in talks.items() for k, (role, text) in enumerate(talk)]
     return spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, prompt string")
