@@ -44,6 +44,18 @@ def test_long_text_and_private_characters(spark):
     assert {r.doc_id for r in contaminated(docs, items).collect()} == {1, 2}
 
 
+def test_short_items_are_found_behind_anything(spark):
+    """An item's first token is a slot or not by what stands before it."""
+    items = [(1, "What is the tallest hill"), (2, "Which of these old rivers is the longest one in the whole wide land"),
+             (3, "Seconds are what we measure with a watch"), (4, "second laws are what we ask about here")]
+    befores = ["", "Question: ", "3) ", "\"", "as asked \u2013 ", "Here it is. ", "x\n", "three "]
+    rows = [(10 * k + i, f"{before}{text}, they said", "x", "x") for k, before in enumerate(befores) for i, text in items]
+    others = ["Question: Where is the tallest hill", "3) Whose is the tallest hill", "5 hours are what we measure with a watch"]
+    docs, table = tables(spark, rows + [(1000 + k, t, "x", "x") for k, t in enumerate(others)], items)
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in occurrences(docs, table).collect()}
+    assert got == {(10 * k + i, i): 0 for k in range(len(befores)) for i, _ in items}
+
+
 def test_table_agrees_with_whole_items(spark):
     folder = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))

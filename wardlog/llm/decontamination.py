@@ -7,8 +7,10 @@ meets its original. What meets on one diagonal (a document and an item at a cons
 occurrence of the item; it counts if enough tokens are covered and the slots are consistent: each value
 of the item stands for one value of the document throughout, and the other way round.
 
-Types depend on the token and the one before it only, so that an item has the same template wherever
-in a document it stands. A document's windows are made and joined in one stage: nothing of a document is
+Types depend on the token and the one before it only, so that an item's template is the same wherever in a
+document it stands, but for its first tokens: the items' windows are made behind nothing, behind a word and
+behind a number. A first token that is a slot only because of what stands before it has to keep its value.
+A document's windows are made and joined in one stage: nothing of a document is
 shuffled but the few windows that met.
 """
 
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wardlog.llm.common import checkpointed, query, table
 
@@ -28,6 +30,7 @@ BROADCAST_WINDOWS = 2_000_000    # windows of the benchmark that may be sent to
 ANCHORS = 5_000        # anchors of windows that are looked up in a document's tokens before windows are made
 BROADCAST_DOCUMENTS = 1_000_000  # found documents that may be
 
+BEFORE = "", "x ", "1 "          # what may stand before an item: nothing, a word, a number
 #: Placeholders: private characters, which are taken out of texts beforehand.
 NAME, NUMBER, UNIT = SLOTS = "\ue000", "\ue001", "\ue002"
 LETTER, MARKS, APOSTROPHE = r"\p{L}\p{M}", r".!?\n", "'’"
@@ -124,19 +127,40 @@ def _windows(rows: DataFrame, lengths: list[int], keys: list[str], anchors: list
     return made.select(*keys, F.size("_c").alias("tokens"), F.explode(both).alias("_e")).select(*keys, "tokens", "_e.*")
 
 
+def _item_templates(items: DataFrame) -> DataFrame:
+    """item_id, _i (an item's text), tokens, template _c, values _v, first: one row per template an item can have.
+
+    `first` is the value of a first token that is a slot because of what stands before the item, else null.
+    """
+    made = []
+    for kind, before in enumerate(BEFORE):
+        rows = items.select("item_id", F.xxhash64(F.col("text").cast("string")).alias("_i"),
+                            F.concat(F.lit(before), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+        one = _templates(rows, ["item_id", "_i"]).select("item_id", "_i", "_c", F.when(
+            F.size("_v") == 0, F.transform("_c", lambda c: F.lit(""))).otherwise(F.col("_v")).alias("_v"))
+        skip = 2 if before else 1
+        rest = lambda c: F.slice(c, F.lit(skip), F.greatest(F.size(c) - (skip - 1), F.lit(0)))
+        made.append(one.select("item_id", "_i", rest("_c").alias("_c"), rest("_v").alias("_v"), F.lit(kind).alias("_kind")))
+    order = Window.partitionBy("item_id", "_i", "_c").orderBy("_kind")
+    each = reduce(DataFrame.unionAll, made).withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    told = F.when((F.col("_kind") > 0) & (F.get("_v", F.lit(0)) != ""), F.get("_v", F.lit(0)))
+    return each.withColumn("first", told).select(
+        "item_id", "_i", F.size("_c").alias("tokens"), "_c", "first", F.when(F.col("first").isNull(), F.col("_v")).otherwise(
+            F.concat(F.array(F.lit("")), F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0))))).alias("_v"))
+
+
 def _benchmark_windows(items: DataFrame) -> DataFrame:
     """Windows of the items with a plain word: those of WINDOW tokens, or the whole of a shorter item.
 
     The anchor of a window is the longest of its plain words.
     """
-    made = _templates(items.select("item_id", "text"), ["item_id"]).select(
-        "item_id", "_c", "_v", F.size("_c").alias("tokens"), F.explode(F.array(*map(F.lit, range(SHORTEST, WINDOW + 1)))).alias("w"))
+    made = _item_templates(items.select("item_id", "text")).select(
+        "*", F.explode(F.array(*map(F.lit, range(SHORTEST, WINDOW + 1)))).alias("w"))
     made = made.where((F.col("w") <= F.col("tokens")) & ((F.col("w") == WINDOW) | (F.col("w") == F.col("tokens"))))
     each = made.select("*", F.explode(F.sequence(F.lit(1), F.col("tokens") - F.col("w") + 1)).alias("p"))
     return each.select(
         "item_id", "tokens", "p", "w", F.xxhash64("w", F.slice("_c", "p", "w")).alias("h"),
-        F.when(F.size("_v") == 0, F.repeat(F.lit("\t"), F.col("w") - 1)).otherwise(
-            F.array_join(F.slice("_v", "p", "w"), "\t")).alias("s"),
+        F.array_join(F.slice("_v", "p", "w"), "\t").alias("s"), F.when(F.col("p") == 1, F.col("first")).alias("first"),
         _longest(F.slice("_c", "p", "w")).alias("anchor")).where("anchor <> ''").distinct()
 
 
@@ -149,7 +173,7 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     once. Other columns are ignored; an empty table on either side gives an empty result.
     """
     wanted = checkpointed(_benchmark_windows(items).select(
-        "item_id", F.col("tokens").alias("item_tokens"), F.col("p").alias("ip"), "w", "h", F.col("s").alias("is"), "anchor"))
+        "item_id", F.col("tokens").alias("item_tokens"), F.col("p").alias("ip"), "w", "h", F.col("s").alias("is"), "first", "anchor"))
     anchors = [r.anchor for r in wanted.select("anchor").distinct().limit(ANCHORS + 1).collect()]
     wanted = wanted.drop("anchor")
     lengths = sorted(r.w for r in wanted.select("w").distinct().collect()) or [WINDOW]   # WINDOW - SHORTEST + 1 at most
@@ -157,7 +181,8 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     # few anchors tell which windows can meet one; with many, all windows go to the join
     made = _windows(rows, lengths, ["doc_id", "text_hash"], anchors if len(anchors) <= ANCHORS else None).drop("tokens")
     small = wanted.count() <= BROADCAST_WINDOWS
-    met = made.join(F.broadcast(wanted) if small else wanted, ["w", "h"]).select(
+    kept = F.col("first").isNull() | (F.substring_index("s", "\t", 1) == F.col("first"))
+    met = made.join(F.broadcast(wanted) if small else wanted, ["w", "h"]).where(kept).select(
         "doc_id", "text_hash", "item_id", "item_tokens", (F.col("p") - F.col("ip")).alias("diagonal"), "ip", "w", "s", "is")
     found = (met.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(
         F.max("item_tokens").alias("item_tokens"), F.sort_array(F.collect_set(F.struct("ip", "w", "s", "is"))).alias("m")))
