@@ -56,6 +56,20 @@ def test_short_items_are_found_behind_anything(spark):
     assert got == {(10 * k + i, i): 0 for k in range(len(befores)) for i, _ in items}
 
 
+def test_items_of_numbers_and_very_short_ones_are_found(spark):
+    """Few plain words suffice where the item has no more; what has no template is found by its exact tokens."""
+    items = [(1, "What is 15 percent of 80?"), (2, "Solve 3x + 5 = 20 for x"), (3, "What is 7x8?"), (4, "Name three primes"),
+             (5, "12 15 18 21 24 27 30 33 36"), (6, "Add 13, 15, 18, 21, 24, 27, 30, 33, 36, 39, 42, 45 and 48 up")]
+    befores = ["", "Question: ", "3) "]
+    rows = [(10 * k + i, f"{before}{text}\nAnswer it.", "x", "x") for k, before in enumerate(befores) for i, text in items]
+    others = ["What is 20 percent of 50?", "What is 7x9?", "12 15 18 21 24 27 30 33 37", "1 2 3 4 5 6 7 8 9 10 11 12 13",
+              "Add 13, 15, 18, 21, 24, 27, 30, 33, 36, 39, 42, 45 and 49 up", "Name of three primes"]
+    docs, table = tables(spark, rows + [(1000 + k, t, "x", "x") for k, t in enumerate(others)], items)
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in occurrences(docs, table).collect()}
+    assert got.pop((1000, 1)) == 2 and got.pop((1001, 3)) == 1
+    assert got == {(10 * k + i, i): 0 for k in range(len(befores)) for i, _ in items}
+
+
 def test_table_agrees_with_whole_items(spark):
     folder = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))

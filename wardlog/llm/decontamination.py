@@ -10,6 +10,10 @@ of the item stands for one value of the document throughout, and the other way r
 Types depend on the token and the one before it only, so that an item's template is the same wherever in a
 document it stands, but for its first tokens: the items' windows are made behind nothing, behind a word and
 behind a number. A first token that is a slot only because of what stands before it has to keep its value.
+
+Items too short for a template, or of few plain words and more slots than those, would meet anything of their
+shape: a second join finds them by their exact tokens and values. Items of one or two tokens are never found.
+
 A document's windows are made and joined in one stage: nothing of a document is
 shuffled but the few windows that met.
 """
@@ -24,8 +28,9 @@ from wardlog.llm.common import checkpointed, query, table
 
 WINDOW = 8             # tokens of a window
 SHORTEST = 5           # items of fewer tokens have no template; up to WINDOW they are one window
+SHORTEST_EXACT = 3     # items of fewer tokens are not looked for
 COVERED = 12           # tokens of an item that must be covered (all of it, if it is shorter) ...
-WORDS = 5              # ... of which so many must be plain words
+WORDS = 5              # ... of which so many must be plain words (all of them, if the item has fewer)
 BROADCAST_WINDOWS = 2_000_000    # windows of the benchmark that may be sent to every task
 ANCHORS = 5_000        # anchors of windows that are looked up in a document's tokens before windows are made
 BROADCAST_DOCUMENTS = 1_000_000  # found documents that may be
@@ -80,6 +85,11 @@ def _window(length: int):
         F.when(F.size("_v") == 0, F.lit("")).otherwise(F.array_join(F.slice("_v", place, length), "\t")).alias("s"))
 
 
+def _own_window(length: int):
+    return lambda place: F.struct(place.alias("p"), F.lit(length).alias("w"), F.xxhash64(
+        F.lit(length), F.slice("_own", place + 1, length)).alias("h"))
+
+
 def _holds_slot(text: str) -> Column:
     return F.contains(text, F.lit(NAME)) | F.contains(text, F.lit(NUMBER)) | F.contains(text, F.lit(UNIT))
 
@@ -127,10 +137,16 @@ def _windows(rows: DataFrame, lengths: list[int], keys: list[str], anchors: list
     return made.select(*keys, F.size("_c").alias("tokens"), F.explode(both).alias("_e")).select(*keys, "tokens", "_e.*")
 
 
+def _own_tokens() -> Column:
+    """The tokens themselves, of a template and its values."""
+    return F.when(F.size("_v") == 0, F.col("_c")).otherwise(F.zip_with("_c", "_v", lambda c, v: F.when(v == "", c).otherwise(v)))
+
+
 def _item_templates(items: DataFrame) -> DataFrame:
-    """item_id, _i (an item's text), tokens, template _c, values _v, first: one row per template an item can have.
+    """item_id, tokens, template _c, values _v, first, words, exact, _own: one row per template an item can have.
 
-    `first` is the value of a first token that is a slot because of what stands before the item, else null.
+    `first` is the value of a first token that is a slot because of what stands before the item, else null. `words`
+    are the item's plain words, `exact` tells that it has to be found by its own tokens `_own`.
     """
     made = []
     for kind, before in enumerate(BEFORE):
@@ -144,36 +160,65 @@ def _item_templates(items: DataFrame) -> DataFrame:
     order = Window.partitionBy("item_id", "_i", "_c").orderBy("_kind")
     each = reduce(DataFrame.unionAll, made).withColumn("_r", F.row_number().over(order)).where("_r = 1")
     told = F.when((F.col("_kind") > 0) & (F.get("_v", F.lit(0)) != ""), F.get("_v", F.lit(0)))
-    return each.withColumn("first", told).select(
-        "item_id", "_i", F.size("_c").alias("tokens"), "_c", "first", F.when(F.col("first").isNull(), F.col("_v")).otherwise(
+    valued = each.withColumn("first", told).select(
+        "item_id", "_i", F.size("_c").alias("tokens"), "_c", "first", _own_tokens().alias("_own"),
+        F.when(F.col("first").isNull(), F.col("_v")).otherwise(
             F.concat(F.array(F.lit("")), F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0))))).alias("_v"))
+    words = F.min(F.size(F.filter("_v", lambda v: v == ""))).over(Window.partitionBy("item_id", "_i"))
+    exact = (F.col("tokens") < SHORTEST) | ((F.col("words") < WORDS) & (F.col("tokens") > 2 * F.col("words")))
+    return valued.withColumn("words", words).withColumn("exact", exact)
 
 
-def _benchmark_windows(items: DataFrame) -> DataFrame:
-    """Windows of the items with a plain word: those of WINDOW tokens, or the whole of a shorter item.
+def _benchmark_windows(known: DataFrame) -> DataFrame:
+    """Windows of the items' templates with a plain word: those of WINDOW tokens, or the whole of a shorter item.
 
     The anchor of a window is the longest of its plain words.
     """
-    made = _item_templates(items.select("item_id", "text")).select(
+    made = known.where("not exact").select(
         "*", F.explode(F.array(*map(F.lit, range(SHORTEST, WINDOW + 1)))).alias("w"))
     made = made.where((F.col("w") <= F.col("tokens")) & ((F.col("w") == WINDOW) | (F.col("w") == F.col("tokens"))))
     each = made.select("*", F.explode(F.sequence(F.lit(1), F.col("tokens") - F.col("w") + 1)).alias("p"))
     return each.select(
-        "item_id", "tokens", "p", "w", F.xxhash64("w", F.slice("_c", "p", "w")).alias("h"),
+        "item_id", "tokens", "words", "p", "w", F.xxhash64("w", F.slice("_c", "p", "w")).alias("h"),
         F.array_join(F.slice("_v", "p", "w"), "\t").alias("s"), F.when(F.col("p") == 1, F.col("first")).alias("first"),
         _longest(F.slice("_c", "p", "w")).alias("anchor")).where("anchor <> ''").distinct()
 
 
+def _exact_occurrences(rows: DataFrame, known: DataFrame) -> DataFrame | None:
+    """Rows (doc_id, text_hash, text) that hold an `exact` item, found by all windows of its own tokens; None without items."""
+    length = F.least("tokens", F.lit(WINDOW))
+    each = known.where(F.col("exact") & (F.col("tokens") >= SHORTEST_EXACT)).select(
+        "item_id", "tokens", "words", "_own", length.alias("w")).distinct()
+    wanted = checkpointed(each.select(
+        "item_id", "tokens", "words", "w", F.xxhash64("item_id", "_own").alias("which"),
+        F.posexplode(F.transform(F.sequence(F.lit(1), F.col("tokens") - F.col("w") + 1), lambda p: F.xxhash64(
+            F.col("w"), F.slice("_own", p, F.col("w"))))).alias("ip", "h")))
+    lengths = sorted(r.w for r in wanted.select("w").distinct().collect())      # WINDOW - SHORTEST_EXACT + 1 at most
+    if not lengths:
+        return None
+    own = _templates(rows, ["doc_id", "text_hash"]).select("doc_id", "text_hash", _own_tokens().alias("_own"))
+    none = F.array().cast("array<struct<p:int,w:int,h:bigint>>")
+    starts = F.concat(*[F.when(F.size("_own") >= w, F.transform(
+        F.sequence(F.lit(0), F.size("_own") - w), _own_window(w))).otherwise(none) for w in lengths])
+    made = own.select("doc_id", "text_hash", F.explode(starts).alias("_e")).select("doc_id", "text_hash", "_e.*")
+    small = wanted.count() <= BROADCAST_WINDOWS
+    met = made.join(F.broadcast(wanted) if small else wanted, ["w", "h"])
+    whole = met.groupBy("doc_id", "text_hash", "item_id", "which", "tokens", "words", "w", (F.col("p") - F.col("ip")).alias("d")).agg(
+        F.count_distinct("ip").alias("n")).where("n = tokens - w + 1")
+    return whole.select("doc_id", "text_hash", "item_id", F.col("tokens").alias("covered"), "words", F.lit(0).alias("changed_slots"))
+
+
 def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents (doc_id, text) that hold an item of the benchmark (item_id, text), one row per pair.
 
     Columns: doc_id, text_hash, item_id, covered (tokens of the item), words (plain words among them),
     changed_slots (values that differ from the item's). Null and empty texts hold nothing; an item that
-    is null, or shorter than SHORTEST tokens, is never found. Repeated documents or items give the row
+    is null, or shorter than SHORTEST_EXACT tokens, is never found. Repeated documents or items give the row
     once. Other columns are ignored; an empty table on either side gives an empty result.
     """
-    wanted = checkpointed(_benchmark_windows(items).select(
-        "item_id", F.col("tokens").alias("item_tokens"), F.col("p").alias("ip"), "w", "h", F.col("s").alias("is"), "first", "anchor"))
+    known = checkpointed(_item_templates(items.select("item_id", "text")))
+    wanted = checkpointed(_benchmark_windows(known).select(
+        "item_id", F.col("tokens").alias("item_tokens"), F.col("words").alias("item_words"), F.col("p").alias("ip"), "w", "h", F.col("s").alias("is"), "first", "anchor"))
     anchors = [r.anchor for r in wanted.select("anchor").distinct().limit(ANCHORS + 1).collect()]
     wanted = wanted.drop("anchor")
     lengths = sorted(r.w for r in wanted.select("w").distinct().collect()) or [WINDOW]   # WINDOW - SHORTEST + 1 at most
@@ -183,9 +228,10 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     small = wanted.count() <= BROADCAST_WINDOWS
     kept = F.col("first").isNull() | (F.substring_index("s", "\t", 1) == F.col("first"))
     met = made.join(F.broadcast(wanted) if small else wanted, ["w", "h"]).where(kept).select(
-        "doc_id", "text_hash", "item_id", "item_tokens", (F.col("p") - F.col("ip")).alias("diagonal"), "ip", "w", "s", "is")
+        "doc_id", "text_hash", "item_id", "item_tokens", "item_words", (F.col("p") - F.col("ip")).alias("diagonal"), "ip", "w",
+        "s", "is")
     found = (met.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(
-        F.max("item_tokens").alias("item_tokens"), F.sort_array(F.collect_set(F.struct("ip", "w", "s", "is"))).alias("m")))
+        F.max("item_tokens").alias("item_tokens"), F.max("item_words").alias("item_words"), F.sort_array(F.collect_set(F.struct("ip", "w", "s", "is"))).alias("m")))
     # (a document without slots has no values: its side is one empty string)
     # tokens a window adds before the next one begins, with the slot values of item and document
     added = F.transform("m", lambda m, k: F.struct(
@@ -195,15 +241,18 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.slice(x["a"], F.lit(1), x["n"]).alias("a"), F.slice(x["b"], F.lit(1), x["n"]).alias("b"))))
     slots = F.filter("t", lambda t: t["a"] != "")
     distinct = lambda side: F.size(F.array_distinct(F.transform("slots", lambda t: t[side])))
-    judged = (found.select("doc_id", "text_hash", "item_id", "item_tokens", tokens.alias("t"))
-              .select("doc_id", "text_hash", "item_id", "item_tokens", F.size("t").alias("covered"),
+    judged = (found.select("doc_id", "text_hash", "item_id", "item_tokens", "item_words", tokens.alias("t"))
+              .select("doc_id", "text_hash", "item_id", "item_tokens", "item_words", F.size("t").alias("covered"),
                       F.array_distinct(slots).alias("slots"), (F.size("t") - F.size(slots)).alias("words"))
               .where((F.col("covered") >= F.least(F.lit(COVERED), F.col("item_tokens")))
-                     & (F.col("words") >= F.least(F.lit(WORDS), F.col("item_tokens")))
+                     & (F.col("words") >= F.least(F.lit(WORDS), F.col("item_words")))
                      & (distinct("a") == F.size("slots")) & (distinct("b") == F.size("slots"))))
     changed = F.size(F.filter("slots", lambda t: t["a"] != t["b"]))
+    judged = judged.select("doc_id", "text_hash", "item_id", "covered", "words", changed.alias("changed_slots"))
+    exact = _exact_occurrences(rows, known)
+    judged = judged if exact is None else judged.unionAll(exact)
     return judged.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max("covered").alias("covered"), F.max("words").alias("words"), F.min(changed).alias("changed_slots"))
+        F.max("covered").alias("covered"), F.max("words").alias("words"), F.min("changed_slots").alias("changed_slots"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
