@@ -70,6 +70,23 @@ def test_items_of_numbers_and_very_short_ones_are_found(spark):
     assert got == {(10 * k + i, i): 0 for k in range(len(befores)) for i, _ in items}
 
 
+def test_consistent_runs_count(spark):
+    """One edited value leaves the rest of a copy, and two values may become one."""
+    start = "when Anna came back into the old town by the river she had lost 12 of her best coins"
+    end = "and so the people there gave Anna all of the bread that they had left for the winter"
+    twice = "the old man took 12 apples and 15 pears from the wide field behind his house"
+    items = [(1, f"{start} {end}"), (2, twice)]
+    texts = {1: f"{start} {end}", 2: f"{start} {end.replace('Anna', 'Maria')}", 3: f"{start.replace('Anna', 'Maria')} {end}",
+             4: twice.replace("12", "9").replace("15", "9"), 5: "when Anna came and so they gave Maria bread"}
+    short = "he says 12 and then 12 and now 12 are left"
+    docs, table = tables(spark, [(k, f"then {t} again", "x", "x") for k, t in texts.items()]
+                         + [(6, short.replace("now 12", "now 13"), "x", "x"), (7, short.replace("12", "13"), "x", "x")],
+                         [*items, (3, short)])
+    got = {(r.doc_id, r.item_id): (r.covered, r.changed_slots) for r in occurrences(docs, table).collect()}
+    whole = len(f"{start} {end}".split())
+    assert got == {(1, 1): (whole, 0), (2, 1): (whole - 2, 0), (3, 1): (whole - 2, 0), (4, 2): (len(twice.split()), 2), (7, 3): (11, 1)}
+
+
 def test_table_agrees_with_whole_items(spark):
     folder = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))

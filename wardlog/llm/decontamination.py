@@ -4,8 +4,8 @@ A text becomes a sequence of tokens in which numbers, names and units are typed
 and every other word is itself in lower case. Windows of the documents' templates meet the windows of
 the benchmark's templates in a hash join, so a question whose figures and names were exchanged still
 meets its original. What meets on one diagonal (a document and an item at a constant distance) is an
-occurrence of the item; it counts if enough tokens are covered and the slots are consistent: each value
-of the item stands for one value of the document throughout, and the other way round.
+occurrence of the item; it counts if enough tokens in succession are covered and consistent: each value of the
+item stands for one value of the document in all of them. Two values of the item may stand for the same one.
 
 Types depend on the token and the one before it only, so that an item's template is the same wherever in a
 document it stands, but for its first tokens: the items' windows are made behind nothing, behind a word and
@@ -38,6 +38,7 @@ BROADCAST_DOCUMENTS = 1_000_000  # found documents that may be
 BEFORE = "", "x ", "1 "          # what may stand before an item: nothing, a word, a number
 #: Placeholders: private characters, which are taken out of texts beforehand.
 NAME, NUMBER, UNIT = SLOTS = "\ue000", "\ue001", "\ue002"
+BOUND = NAME           # in the place of an item's value: a first token that is a slot only by what stands before it
 LETTER, MARKS, APOSTROPHE = r"\p{L}\p{M}", r".!?\n", "'’"
 WORD = rf"[{LETTER}]+(?:[{APOSTROPHE}][{LETTER}]+)*"
 DIGITS = "[0-9]+(?:[.,][0-9]+)*"
@@ -137,6 +138,29 @@ def _windows(rows: DataFrame, lengths: list[int], keys: list[str], anchors: list
     return made.select(*keys, F.size("_c").alias("tokens"), F.explode(both).alias("_e")).select(*keys, "tokens", "_e.*")
 
 
+def _slots(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: ~t["a"].isin("", BOUND))
+
+
+def _consistent_runs(tokens: Column) -> Column:
+    """The longest runs of tokens (a of the item, b of the document) in which each a has one b."""
+    pairs = F.array_distinct(_slots(tokens))
+    one_each = F.size(F.array_distinct(F.transform(pairs, lambda t: t["a"]))) == F.size(pairs)
+    # the place behind the last earlier token of the same value that stands for another one
+    placed = F.filter(F.transform(tokens, lambda t, k: F.struct(t["a"].alias("a"), t["b"].alias("b"), (k + 1).alias("k"))),
+                      lambda t: ~t["a"].isin("", BOUND))
+    behind = F.transform(placed, lambda t: F.struct(t["k"].alias("k"), F.coalesce(F.array_max(F.transform(F.filter(
+        placed, lambda e: (e["k"] < t["k"]) & (e["a"] == t["a"]) & (e["b"] != t["b"])), lambda e: e["k"])), F.lit(0)).alias("f")))
+    # each run ends before a token whose conflict lies inside it, and the next one begins behind that conflict
+    ends = F.aggregate(
+        behind, F.struct(F.lit(0).alias("f"), F.array().cast("array<struct<f:int,e:int>>").alias("r")),
+        lambda x, t: F.when(t["f"] > x["f"], F.struct(t["f"].alias("f"), F.concat(x["r"], F.array(F.struct(
+            x["f"].alias("f"), (t["k"] - 1).alias("e")))).alias("r"))).otherwise(x),
+        lambda x: F.concat(x["r"], F.array(F.struct(x["f"].alias("f"), F.size(tokens).alias("e")))))
+    return F.when(one_each, F.array(tokens)).otherwise(
+        F.transform(ends, lambda r: F.slice(tokens, r["f"] + 1, r["e"] - r["f"])))
+
+
 def _own_tokens() -> Column:
     """The tokens themselves, of a template and its values."""
     return F.when(F.size("_v") == 0, F.col("_c")).otherwise(F.zip_with("_c", "_v", lambda c, v: F.when(v == "", c).otherwise(v)))
@@ -163,8 +187,8 @@ def _item_templates(items: DataFrame) -> DataFrame:
     valued = each.withColumn("first", told).select(
         "item_id", "_i", F.size("_c").alias("tokens"), "_c", "first", _own_tokens().alias("_own"),
         F.when(F.col("first").isNull(), F.col("_v")).otherwise(
-            F.concat(F.array(F.lit("")), F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0))))).alias("_v"))
-    words = F.min(F.size(F.filter("_v", lambda v: v == ""))).over(Window.partitionBy("item_id", "_i"))
+            F.concat(F.array(F.lit(BOUND)), F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0))))).alias("_v"))
+    words = F.min(F.size(F.filter("_v", lambda v: v.isin("", BOUND)))).over(Window.partitionBy("item_id", "_i"))
     exact = (F.col("tokens") < SHORTEST) | ((F.col("words") < WORDS) & (F.col("tokens") > 2 * F.col("words")))
     return valued.withColumn("words", words).withColumn("exact", exact)
 
@@ -211,14 +235,16 @@ def _exact_occurrences(rows: DataFrame, known: DataFrame) -> DataFrame | None:
 def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents (doc_id, text) that hold an item of the benchmark (item_id, text), one row per pair.
 
-    Columns: doc_id, text_hash, item_id, covered (tokens of the item), words (plain words among them),
-    changed_slots (values that differ from the item's). Null and empty texts hold nothing; an item that
-    is null, or shorter than SHORTEST_EXACT tokens, is never found. Repeated documents or items give the row
-    once. Other columns are ignored; an empty table on either side gives an empty result.
+    Columns: doc_id, text_hash, item_id, covered (tokens of the item, without a bound first one where the
+    others are enough), words (plain words among them), changed_slots (values that differ from the item's).
+    Null and empty texts hold nothing; an item that is null, or shorter than SHORTEST_EXACT tokens, is never
+    found. Repeated documents or items give the row once. Other columns are ignored; an empty table on either
+    side gives an empty result.
     """
     known = checkpointed(_item_templates(items.select("item_id", "text")))
     wanted = checkpointed(_benchmark_windows(known).select(
-        "item_id", F.col("tokens").alias("item_tokens"), F.col("words").alias("item_words"), F.col("p").alias("ip"), "w", "h", F.col("s").alias("is"), "first", "anchor"))
+        "item_id", F.col("tokens").alias("item_tokens"), F.col("words").alias("item_words"), F.col("p").alias("ip"),
+        "w", "h", F.col("s").alias("is"), "first", "anchor"))
     anchors = [r.anchor for r in wanted.select("anchor").distinct().limit(ANCHORS + 1).collect()]
     wanted = wanted.drop("anchor")
     lengths = sorted(r.w for r in wanted.select("w").distinct().collect()) or [WINDOW]   # WINDOW - SHORTEST + 1 at most
@@ -231,7 +257,8 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", "text_hash", "item_id", "item_tokens", "item_words", (F.col("p") - F.col("ip")).alias("diagonal"), "ip", "w",
         "s", "is")
     found = (met.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(
-        F.max("item_tokens").alias("item_tokens"), F.max("item_words").alias("item_words"), F.sort_array(F.collect_set(F.struct("ip", "w", "s", "is"))).alias("m")))
+        F.max("item_tokens").alias("item_tokens"), F.max("item_words").alias("item_words"),
+        F.sort_array(F.collect_set(F.struct("ip", "w", "s", "is"))).alias("m")))
     # (a document without slots has no values: its side is one empty string)
     # tokens a window adds before the next one begins, with the slot values of item and document
     added = F.transform("m", lambda m, k: F.struct(
@@ -239,14 +266,17 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.split(m["is"], "\t").alias("a"), F.split(m["s"], "\t").alias("b")))
     tokens = F.flatten(F.transform(added, lambda x: F.arrays_zip(
         F.slice(x["a"], F.lit(1), x["n"]).alias("a"), F.slice(x["b"], F.lit(1), x["n"]).alias("b"))))
-    slots = F.filter("t", lambda t: t["a"] != "")
-    distinct = lambda side: F.size(F.array_distinct(F.transform("slots", lambda t: t[side])))
-    judged = (found.select("doc_id", "text_hash", "item_id", "item_tokens", "item_words", tokens.alias("t"))
-              .select("doc_id", "text_hash", "item_id", "item_tokens", "item_words", F.size("t").alias("covered"),
-                      F.array_distinct(slots).alias("slots"), (F.size("t") - F.size(slots)).alias("words"))
-              .where((F.col("covered") >= F.least(F.lit(COVERED), F.col("item_tokens")))
-                     & (F.col("words") >= F.least(F.lit(WORDS), F.col("item_words")))
-                     & (distinct("a") == F.size("slots")) & (distinct("b") == F.size("slots"))))
+    keys = ["doc_id", "text_hash", "item_id", "item_tokens", "item_words"]
+    judged = (found.select(*keys, tokens.alias("t")).select(*keys, F.explode(_consistent_runs(F.col("t"))).alias("t"))
+              .select(*keys, F.size("t").alias("covered"), F.array_distinct(_slots(F.col("t"))).alias("slots"),
+                      (F.size("t") - F.size(_slots(F.col("t")))).alias("words"),
+                      F.size(F.filter("t", lambda t: t["a"] == BOUND)).alias("bound")))
+    # a bound first token counts where the others are not enough
+    enough = lambda less: ((F.col("covered") - less >= F.least(F.lit(COVERED), F.col("item_tokens")))
+                           & (F.col("words") - less >= F.least(F.lit(WORDS), F.col("item_words"))))
+    less = F.when(enough(F.col("bound")), F.col("bound")).otherwise(0)
+    judged = judged.where(enough(F.lit(0))).select(
+        "doc_id", "text_hash", "item_id", (F.col("covered") - less).alias("covered"), (F.col("words") - less).alias("words"), "slots")
     changed = F.size(F.filter("slots", lambda t: t["a"] != t["b"]))
     judged = judged.select("doc_id", "text_hash", "item_id", "covered", "words", changed.alias("changed_slots"))
     exact = _exact_occurrences(rows, known)
