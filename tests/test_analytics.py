@@ -11,7 +11,7 @@ from wardlog.constants import FEATURES
 from wardlog.operators import clusters, correlate, exposure, forest, geo, maintenance, pages, quality
 from wardlog.operators import statistics as stats
 from wardlog.operators.features import feature_vector, ip_features
-from wardlog.plans import importing, training
+from wardlog.plans import importing, reports, training
 from wardlog.sources import connections, fixtures, logs, tables
 from wardlog.sources.rules import builtin_rules
 
@@ -261,6 +261,21 @@ def test_lines_of_text_files_are_numbered(spark, tmp_path):
     assert [r.value for r in rows] == ["one", "two \ufffd", "three"] and len({r.seq for r in rows}) == 3
 
 
+def test_ranges_and_windows_are_taken_as_given(spark):
+    as_of = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    alerts = spark.createDataFrame([("1.1.1.1", 1709251200 - 40 * 86400, None), ("2.2.2.2", 1709251200 - 60 * 86400, None)],
+                                   "src_ip string, last_seen bigint, source_type string")
+    got = reports.baseline_labels(alerts.select("src_ip"), alerts, as_of, hours=50 * 24)
+    assert {r.src_ip: r.y for r in got.collect()} == {"1.1.1.1": 1, "2.2.2.2": 0}
+    events = alerts.select(F.timestamp_seconds("last_seen").cast("timestamp_ntz").alias("ts"), "src_ip")
+    assert [r.src_ip for r in reports.training_events(events, as_of, 50 * 24).collect()] == ["1.1.1.1"]
+    made = fixtures.security_events(spark, "/root/testdata/sf0.001")
+    detected = training.train_and_detect(made, alerts, window=7200, n_trees=5)
+    assert detected.summary.first().samples == ip_features(made, 7200).count()
+    with pytest.raises(ValueError):
+        training.train_and_detect(made, alerts, window=0)
+
+
 def test_train_and_detect(spark):
     events = fixtures.security_events(spark, "/root/testdata/sf0.001")
     from wardlog.catalog import base

@@ -40,9 +40,9 @@ def search_events(events: DataFrame, *, log_type: str = "", src_ip: str = "", ke
 
 def training_events(events: DataFrame, as_of: Column, hours: int = 24, limit: int | None = None
                     ) -> DataFrame:
-    """Events of the last `hours` (30 days at most); oldest first only when a limit is asked for."""
+    """Events of the last `hours` (0: all); oldest first only when a limit is asked for."""
     if hours > 0:
-        events = events.where(F.col("ts") >= timewin.days_before(as_of, min(hours / 24, 30)))
+        events = events.where(F.col("ts") >= timewin.days_before(as_of, hours / 24))
     return events.orderBy("ts", "seq").limit(limit) if limit else events
 
 
@@ -233,7 +233,7 @@ def baseline_labels(records: DataFrame, alerts: DataFrame, as_of: Column | None
     known = alerts.where(F.coalesce("source_type", F.lit("rule")) == "rule")
     if as_of is not None and hours > 0:
         known = known.where(F.col("last_seen") >= timewin.epoch_of(
-            timewin.days_before(as_of, min(hours / 24, 30))))
+            timewin.days_before(as_of, hours / 24)))
     ips = known.where(F.col("src_ip") != "").select("src_ip").distinct().withColumn(
         "_hit", F.lit(1))
     return records.join(ips, "src_ip", "left").withColumn(

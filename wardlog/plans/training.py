@@ -29,7 +29,8 @@ class Training:
 def train_and_detect(events: DataFrame, rule_alerts: DataFrame, window: int = 60,
                      threshold: float = 0.6, n_trees: int = 100, seed: int = 42) -> Training:
     """Each expensive step is checkpointed once: the features, then the raw scores."""
-    window = min(max(window, 10), 3600)
+    if window < 1:
+        raise ValueError(f"a window of {window} seconds")
     features = materialise(feature_vector(ip_features(events, window)))
     forest = trees.train(features, ("src_ip", "bucket"), trees=n_trees, seed=seed)
     scored = materialise(trees.with_raw_scores(forest, features))
