@@ -26,7 +26,7 @@ def test_matches_sql(spark, con, name):
 
 def test_every_operator_has_one_query():
     names = [n for n in spark_entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in spark_entry.queries() and len(corpus_pipeline.STAGES) == 5
 
 
