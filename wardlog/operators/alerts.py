@@ -85,18 +85,22 @@ def _samples(hits: DataFrame, local: DataFrame, numbered: DataFrame, keep: int)
     return (lines.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= keep)
             .groupBy(*KEY, "session")
             .agg(F.array_sort(F.collect_list(F.struct("at", "sample"))).alias("s"))
-            .select(*KEY, "session", F.transform("s", lambda s: clip(s["sample"], SAMPLE_CHARS))
-                    .alias("samples")))
+            .select(*KEY, "session", F.transform("s", lambda s: clip(s["sample"], SAMPLE_CHARS)).alias("samples"),
+                    F.transform("s", lambda s: F.struct(
+                        s["at"]["epoch"].alias("epoch"), s["at"]["seq"].alias("seq"), F.xxhash64(s["sample"]).alias("line"),
+                        clip(s["sample"], SAMPLE_CHARS).alias("text"))).alias("said")))
 
 
 def consolidate(hits: DataFrame, gap: int = MERGE_GAP_SECONDS, max_samples: int = MAX_SAMPLES,
-                status_changes: DataFrame | None = None, samples: bool = True) -> DataFrame:
+                status_changes: DataFrame | None = None, samples: bool = True,
+                for_merging: bool = False) -> DataFrame:
     """Hits to alerts: counts, first and last seen, first target, last evidence, samples.
 
     Hits whose time could not be read form one alert per rule and source, without first and last seen.
 
     Without samples this is one pass over the hits. Samples need the hits again, so they are
-    checkpointed first; hand in a stored table with `samples=False` where only counts matter.
+    checkpointed first; hand in a stored table with `samples=False` where only counts matter. `for_merging` adds
+    what is needed to put alerts together: numbers of the first and last hit, arrivals of the samples.
     """
     hits = _null_safe(hits)
     if samples:
@@ -125,6 +129,9 @@ def consolidate(hits: DataFrame, gap: int = MERGE_GAP_SECONDS, max_samples: int
         F.when(F.col("f.category") == "ml", "ml").otherwise("rule").alias("source_type")]
     if samples:
         columns.append(F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+    if for_merging:
+        columns += [F.col("f.seq").alias("first_seq"), F.col("l.seq").alias("last_seq"),
+                    F.coalesce("said", F.array().cast(alerts.schema["said"].dataType)).alias("said")]
     return alerts.select(*columns)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from wardlog.constants import (COUNT_MESSAGE, EVIDENCE_CHARS, SEQUENCE_MESSAGE, SIGNATURES)
 from wardlog.functions import filters
@@ -58,7 +58,7 @@ def regex_hits(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             .select(*EVENT_KEEP, "_h.rule_id", "_h.matched_text"))
 
 
-def _usable(rule: Rule) -> bool:
+def usable(rule: Rule) -> bool:
     if rule.rule_type == "aggregate":
         return rule.pattern in filters.names()
     if rule.rule_type == "composite":
@@ -74,7 +74,7 @@ def detect(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame | None
     more, whatever their number. `consumed` are earlier hits of sequence rules (rule_id,
     group_value, epoch, seq). Slots are checkpointed while the plan is built.
     """
-    active = [r for r in rules if r.enabled and _usable(r)]
+    active = [r for r in rules if r.enabled and usable(r)]
     parts: list[DataFrame] = []
     regex = [r for r in active if r.rule_type == "regex"]
     if regex:
@@ -86,13 +86,18 @@ def detect(events: DataFrame, rules: Sequence[Rule], consumed: DataFrame | None
     parts += [windowed_hits(events, family, consumed) for family in families.values()]
     if not parts:
         raise ValueError("no usable rule")
+    return described(parts, active, events.sparkSession)
+
+
+def described(parts: Sequence[DataFrame], rules: Sequence[Rule], spark: SparkSession) -> DataFrame:
+    """Hits of several plans as one table, with what their rules say."""
     hits = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     missing = {"count": "bigint", "prior_fails": "bigint", "matched_text": "string",
                "_g": "string"}
     hits = hits.withColumns({name: F.lit(None).cast(kind) for name, kind in missing.items()
                              if name not in hits.columns})
     # the rule set came through the driver and its size was checked there
-    meta = rules_frame(events.sparkSession, list(active)).select(
+    meta = rules_frame(spark, list(rules)).select(
         F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "category", "severity",
         F.coalesce("group_field", F.lit("src_ip")).alias("_gf"),
         F.when(F.col("rule_type") != "regex", F.coalesce("time_window", F.lit(60)))
