@@ -210,6 +210,20 @@ def test_reply_parsing_and_agreement(spark):
     assert (agreed.total, agreed.strict, agreed.unrecognized, agreed.strict_rate) == (3, 1, 2, 0.3333)
 
 
+def test_ranks_of_crowded_values_are_dealt_evenly(spark):
+    """Nearly all values lie in a thousandth of their range."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 100 == 0, F.col("id") * 1e6).otherwise(F.col("id") * 1e-3).alias("x"))
+    from wardlog.operators.timeline import in_even_parts
+    parts = [r["count"] for r in in_even_parts(rows, "x").groupBy("_part").count().collect()]
+    assert len(parts) > 1 and max(parts) < 2 * sum(parts) / len(parts)
+    values = sorted(r.x for r in rows.collect())
+    got = stats.medians(rows, ["x"]).first()
+    assert got.baseline == (values[9999] + values[10000]) / 2
+    scored = rows.select(F.col("x").alias("score"), (F.col("x") > 15).cast("int").alias("label"))
+    assert stats.roc_auc(scored).first().auc == 1.0
+
+
 def test_retention_and_sinks(spark):
     folder = tempfile.mkdtemp()
     events = fixtures.security_events(spark, "/root/testdata/sf0.001").drop(
@@ -220,6 +234,8 @@ def test_retention_and_sinks(spark):
     kept = maintenance.retained(stored, now, "7")
     assert 0 < kept.count() < stored.count() == events.count()
     assert "PartitionFilters: [isnotnull(event_date" in kept._jdf.queryExecution().toString()
+    undated = stored.limit(1).withColumns({"ts": F.lit(None).cast("timestamp_ntz"), "event_date": F.lit(None).cast("date")})
+    assert maintenance.retained(stored.unionByName(undated), now, "7").count() == kept.count() + 1
     assert maintenance.retention_days("x") == 30 and maintenance.retention_days("9") == 9
     results = spark.createDataFrame([("a", 1), ("b", 2)], "algo string, x int")
     out = tempfile.mkdtemp()

@@ -61,14 +61,8 @@ def rule(number: int) -> Rule:
     return next(r for r in rules() if r.id == number)
 
 
-#: The alert queries run every rule whose hits are one statement of SQL: all signatures and counts.
-#: Sequences and distinct counts (3 and 4) have queries of their own next to it, and `rule_fan_out`.
-ALERT_RULES = tuple(r.id for r in builtin_rules() if r.rule_type == "regex" or (
-    r.rule_type == "aggregate" and r.count_mode != "distinct"))
-
-
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    return detect(events(spark, sf), [r for r in rules() if r.id in ALERT_RULES])
+    return detect(events(spark, sf), rules())
 
 
 def alerts(spark: SparkSession, sf: str, samples: bool = False) -> DataFrame:
@@ -135,7 +129,7 @@ ev AS (
 def with_ev(*parts: str) -> str:
     """A statement over `ev`: further common table expressions, then the select."""
     *tables, select = parts
-    return "WITH " + ",\n".join([EV, *tables]) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join([EV, *tables]) + "\n" + select
 
 
 def sql_text(field: str) -> str:
@@ -181,24 +175,64 @@ def sql_count_hits(test: str, window: int, threshold: int) -> str:
       FROM ev WHERE {test}) WHERE cnt >= {threshold}"""
 
 
+SEQUENCE_SQL = """
+pre AS (SELECT src_ip, seq, epoch, outcome,
+          sum(CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END) OVER (
+            PARTITION BY src_ip ORDER BY epoch, seq) AS a
+        FROM ev WHERE outcome IS NOT NULL),
+trig AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY epoch, seq) AS n,
+           (SELECT count(*) FROM pre p WHERE p.src_ip = pre.src_ip AND p.outcome = 'failed'
+              AND p.epoch < pre.epoch - {window}) AS b
+         FROM pre WHERE outcome = 'success'),
+walk AS (
+  SELECT src_ip, seq, epoch, n, a, b, CAST(CASE WHEN a - b >= {limit} THEN a ELSE 0 END AS BIGINT)
+           AS r, CAST(CASE WHEN a - b >= {limit} THEN a - b ELSE 0 END AS BIGINT) AS prior
+  FROM trig WHERE n = 1
+  UNION ALL
+  SELECT t.src_ip, t.seq, t.epoch, t.n, t.a, t.b,
+         CAST(CASE WHEN t.a - greatest(t.b, w.r) >= {limit} THEN t.a ELSE w.r END AS BIGINT),
+         CAST(CASE WHEN t.a - greatest(t.b, w.r) >= {limit} THEN t.a - greatest(t.b, w.r)
+              ELSE 0 END AS BIGINT)
+  FROM walk w JOIN trig t ON t.src_ip = w.src_ip AND t.n = w.n + 1)"""
+
+
+def sql_distinct_hits(test: str, window: int, threshold: int) -> str:
+    """Trailing counts of distinct ports: `seq` and `cnt`."""
+    return f"""
+    SELECT a.seq, count(DISTINCT b.dst_port) AS cnt FROM ev a JOIN ev b ON a.src_ip = b.src_ip
+      AND b.epoch BETWEEN a.epoch - {window} AND a.epoch AND (b.epoch < a.epoch OR b.seq <= a.seq)
+    WHERE {test.replace("log_type", "a.log_type")} AND {test.replace("log_type", "b.log_type")}
+    GROUP BY a.seq HAVING count(DISTINCT b.dst_port) >= {threshold}"""
+
+
+def _rule_hits(r: Rule) -> str:
+    """Hits of a rule: the event with `cnt`, and the evidence."""
+    prior = "CAST(NULL AS BIGINT) AS prior"
+    matched = (f"'src_ip=' || src_ip || ' 在 {r.window}s 内命中 ' || CAST(cnt AS VARCHAR) "
+               "|| ' 次'")
+    if r.rule_type == "regex":
+        text = sql_text(r.match_field)
+        test = SQL_FILTERS.get(r.pattern) or sql_class(text, r.pattern)
+        source = f"SELECT *, CAST(NULL AS BIGINT) AS cnt, {prior} FROM ev WHERE coalesce({test}, false)"
+        matched = (f"CASE WHEN length(trim({text})) > 200 THEN left(trim({text}), 200) || '…' "
+                   f"ELSE trim({text}) END")
+    elif r.rule_type == "composite":
+        source = ("SELECT ev.*, CAST(NULL AS BIGINT) AS cnt, walk.prior FROM ev JOIN walk USING (seq) "
+                  "WHERE walk.prior > 0")
+        matched = "'src_ip=' || src_ip || ' 先失败 ' || CAST(prior AS VARCHAR) || ' 次后登录成功'"
+    elif r.count_mode == "distinct":
+        source = (f"SELECT ev.*, d.cnt, {prior} FROM ev JOIN ("
+                  f"{sql_distinct_hits(SQL_FILTERS[r.pattern], r.window, r.limit)}) d USING (seq)")
+    else:
+        source = f"SELECT *, {prior} FROM ({sql_count_hits(SQL_FILTERS[r.pattern], r.window, r.limit)})"
+    return (f"SELECT seq, epoch, src_ip, dst_ip, url, raw, cnt, {r.id} AS rule_id, "
+            f"{quoted(r.name)} AS rule_name, '{r.category}' AS category, "
+            f"'{r.severity}' AS severity, {matched} AS matched_text FROM ({source})")
+
+
 def _alert_hits() -> str:
-    parts = []
-    for number in ALERT_RULES:
-        r = rule(number)
-        if r.rule_type == "regex":
-            text = sql_text(r.match_field)
-            test = SQL_FILTERS.get(r.pattern) or sql_class(text, r.pattern)
-            source = f"SELECT *, CAST(NULL AS BIGINT) AS cnt FROM ev WHERE coalesce({test}, false)"
-            matched = (f"CASE WHEN length(trim({text})) > 200 THEN left(trim({text}), 200) || '…' "
-                       f"ELSE trim({text}) END")
-        else:
-            source = sql_count_hits(SQL_FILTERS[r.pattern], r.window, r.limit)
-            matched = (f"'src_ip=' || src_ip || ' 在 {r.window}s 内命中 ' || CAST(cnt AS VARCHAR) "
-                       "|| ' 次'")
-        parts.append(f"SELECT seq, epoch, src_ip, dst_ip, url, raw, cnt, {number} AS rule_id, "
-                     f"{quoted(r.name)} AS rule_name, '{r.category}' AS category, "
-                     f"'{r.severity}' AS severity, {matched} AS matched_text FROM ({source})")
-    return "hits AS (" + "\nUNION ALL ".join(parts) + ")"
+    sequence = SEQUENCE_SQL.format(window=rule(3).window, limit=rule(3).limit)
+    return sequence.strip() + ",\nhits AS (" + "\nUNION ALL ".join(map(_rule_hits, rules())) + ")"
 
 
 HITS = _alert_hits()

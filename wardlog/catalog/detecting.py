@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wardlog.catalog.base import (GAP, HITS, SQL_FILTERS, alerts, events, hits, query, quoted, rule,
+from wardlog.catalog.base import (GAP, HITS, SEQUENCE_SQL, SQL_FILTERS, alerts, events, hits, query, quoted, rule,
                                   rules, sql_class, sql_count_hits, sql_decoded, sql_matches,
                                   sql_text, table, with_alerts, with_ev)
 from wardlog.constants import SIGNATURE_LABELS, SIGNATURES
@@ -159,27 +159,6 @@ _RULE_NAMES = {
     12: "double_encoding", 13: "error_burst", 14: "request_rate", 15: "short_agent_post",
 }
 
-SEQUENCE_SQL = """
-pre AS (SELECT src_ip, seq, epoch, outcome,
-          sum(CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END) OVER (
-            PARTITION BY src_ip ORDER BY epoch, seq) AS a
-        FROM ev WHERE outcome IS NOT NULL),
-trig AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY epoch, seq) AS n,
-           (SELECT count(*) FROM pre p WHERE p.src_ip = pre.src_ip AND p.outcome = 'failed'
-              AND p.epoch < pre.epoch - {window}) AS b
-         FROM pre WHERE outcome = 'success'),
-walk AS (
-  SELECT src_ip, seq, epoch, n, a, b, CAST(CASE WHEN a - b >= {limit} THEN a ELSE 0 END AS BIGINT)
-           AS r, CAST(CASE WHEN a - b >= {limit} THEN a - b ELSE 0 END AS BIGINT) AS prior
-  FROM trig WHERE n = 1
-  UNION ALL
-  SELECT t.src_ip, t.seq, t.epoch, t.n, t.a, t.b,
-         CAST(CASE WHEN t.a - greatest(t.b, w.r) >= {limit} THEN t.a ELSE w.r END AS BIGINT),
-         CAST(CASE WHEN t.a - greatest(t.b, w.r) >= {limit} THEN t.a - greatest(t.b, w.r)
-              ELSE 0 END AS BIGINT)
-  FROM walk w JOIN trig t ON t.src_ip = w.src_ip AND t.n = w.n + 1)"""
-
-
 def _rule_sql(r: Rule) -> str:
     if r.rule_type == "regex":
         if r.pattern in SQL_FILTERS:
@@ -189,7 +168,7 @@ def _rule_sql(r: Rule) -> str:
     if r.rule_type == "composite":
         body = SEQUENCE_SQL.format(window=r.window, limit=r.limit)
         return with_ev(body, "SELECT seq, epoch, src_ip, prior AS prior_fails FROM walk "
-                             "WHERE prior > 0").replace("WITH ", "WITH RECURSIVE ", 1)
+                             "WHERE prior > 0")
     if r.count_mode == "distinct":
         return with_ev("own AS (SELECT seq, epoch, src_ip, dst_port FROM ev "
                        f"WHERE {SQL_FILTERS[r.pattern]})", f"""
@@ -226,7 +205,7 @@ for _number, _name in _RULE_NAMES.items():
                 f"HAVING count(DISTINCT b.dst_port) >= {rule(n).limit}" if n == 4
            else f"SELECT src_ip FROM ("
                 f"{sql_count_hits(SQL_FILTERS[rule(n).pattern], rule(n).window, rule(n).limit)})")
-        + ")" for n in _RULE_NAMES) + ") WHERE hits > 0").replace("WITH ", "WITH RECURSIVE ", 1))
+        + ")" for n in _RULE_NAMES) + ") WHERE hits > 0"))
 def fan_out(spark, sf):
     """All fifteen rules in one job."""
     return detection.detect(events(spark, sf), rules()).groupBy(

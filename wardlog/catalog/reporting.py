@@ -249,12 +249,15 @@ def cascade(spark, sf):
 
 
 @query("retention", with_ev(f"""
-SELECT strftime(t, '%Y-%m-%d') AS day, count(*) AS events FROM ev
-WHERE t >= TIMESTAMP '{AS_OF_TEXT}' - INTERVAL 14 DAY GROUP BY ALL"""))
+stored AS (SELECT CASE WHEN k % 9 <> 4 THEN t END AS t FROM ev)""", f"""
+SELECT coalesce(strftime(t, '%Y-%m-%d'), 'unknown') AS day, count(*) AS events FROM stored
+WHERE t IS NULL OR t >= TIMESTAMP '{AS_OF_TEXT}' - INTERVAL 14 DAY GROUP BY ALL"""))
 def retention(spark, sf):
-    dated = events(spark, sf).withColumn(tables.EVENT_DATE, F.to_date("ts"))
-    return maintenance.retained(dated, as_of(), "14").groupBy(
-        F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"))
+    """Events of an event table in which every ninth number has lost its time."""
+    dated = events(spark, sf).withColumn("ts", F.when(F.col("k") % 9 != 4, F.col("ts"))).withColumn(
+        tables.EVENT_DATE, F.to_date("ts"))
+    return maintenance.retained(dated, as_of(), "14").groupBy(F.coalesce(
+        F.date_format("ts", "yyyy-MM-dd"), F.lit("unknown")).alias("day")).agg(F.count("*").alias("events"))
 
 
 # ------------------------------------------------------------------------------ geolocation

@@ -18,12 +18,16 @@ def retention_days(setting: str | None) -> int:
 
 
 def retained(events: DataFrame, as_of: Column, setting: str | None = None) -> DataFrame:
-    """Events that stay. On a table partitioned by `event_date` whole partitions are skipped."""
+    """Events that stay: those not older than the cut-off, and those whose time is not known.
+
+    On a table partitioned by `event_date` whole partitions are skipped.
+    """
     cutoff = timewin.days_before(as_of, retention_days(setting))
-    kept = events.where(F.col("ts") >= cutoff)
+    kept, untimed = events.where(F.col("ts") >= cutoff), events.where(F.col("ts").isNull())
     if "event_date" in events.columns:
         kept = kept.where(F.col("event_date") >= cutoff.cast("date"))
-    return kept
+        untimed = untimed.where(F.col("event_date").isNull())
+    return kept.unionByName(untimed)
 
 
 def drop_target(target_ids: DataFrame, targets: DataFrame, tasks: DataFrame, findings: DataFrame,

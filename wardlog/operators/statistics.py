@@ -6,9 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardlog.operators.timeline import running_totals
-
-BUCKETS = 1000
+from wardlog.operators.timeline import in_even_parts, running_totals
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -26,20 +24,16 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, baseline, std): exact median and population deviation plus 1e-9, per column.
 
-    Equal values are counted first; the counts are accumulated in value order over buckets between
-    each column's minimum and maximum.
+    Equal values are counted first; the counts are accumulated in value order, over ranges that hold equally
+    many of them wherever they lie.
     """
     values = long_form(df, columns).where(F.col("value").isNotNull())
     stats = values.groupBy("feature").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total"),
         (F.stddev_pop("value") + F.lit(1e-9)).alias("std"))
-    counts = (values.groupBy("feature", "value").agg(F.count("*").alias("n"))
-              # one row per feature column
-              .join(F.broadcast(stats), "feature"))
-    bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(
-        (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS),
-        F.lit(BUCKETS - 1))).otherwise(0)
-    ranked = running_totals(counts, ["feature"], {"upto": F.col("n")}, "value", bucket)
+    counts = in_even_parts(values.groupBy("feature", "value").agg(F.count("*").alias("n")), "feature", "value")
+    ranked = running_totals(counts, ["feature"], {"upto": F.col("n")}, "value", F.col("_part"))
+    ranked = ranked.join(F.broadcast(stats), "feature")      # one row per feature column
     first, last = F.col("upto") - F.col("n"), F.col("upto")
 
     def at(position):
@@ -73,12 +67,11 @@ def explain(df: DataFrame, stats: DataFrame, columns: Sequence[str], top_k: int
 
 
 def _by_score(scored: DataFrame) -> DataFrame:
-    """Positives and negatives per distinct score in [0, 1], with running totals upwards."""
+    """Positives and negatives per distinct score, with running totals upwards."""
     counts = scored.groupBy("score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    return running_totals(counts, [], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg"),
-                                       "rank": F.lit(1)}, "score",
-                          F.floor(F.col("score") * BUCKETS))
+    return running_totals(in_even_parts(counts, "score"), [], {
+        "pos_upto": F.col("pos"), "neg_upto": F.col("neg"), "rank": F.lit(1)}, "score", F.col("_part"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:

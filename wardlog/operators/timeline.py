@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wardlog.session import materialise
+
 DAY = 86400
 
 
@@ -41,6 +43,16 @@ def trailing(slots: DataFrame, keys: Sequence[str], columns: dict[str, tuple[Col
             .where("_own").drop("_own", "_chunk"))
 
 
+def in_even_parts(df: DataFrame, *order: str, part: str = "_part") -> DataFrame:
+    """Rows dealt by Spark into ranges of equal size of the given order, with the number of the range.
+
+    The bounds come from a sample of the rows themselves, so they are close together where rows are. Stored, as the
+    numbers have to stay what they are.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()))
+
+
 def running_totals(slots: DataFrame, keys: Sequence[str], totals: dict[str, Column],
                    order: str = "epoch", chunk: Column | None = None) -> DataFrame:
     """Running sums up to and including each slot, per key, as a two-level prefix sum.
