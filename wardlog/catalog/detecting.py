@@ -1,16 +1,20 @@
 """Queries: event filters, signatures, the fifteen rules, alerts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from wardlog.catalog.base import (GAP, HITS, SEQUENCE_SQL, SQL_FILTERS, alerts, events, hits, query, quoted, rule,
+from wardlog.catalog.base import (AS_OF_EPOCH, DAY, GAP, HITS, SEQUENCE_SQL, SQL_FILTERS, alerts, events, hits, query, quoted, rule,
                                   rules, sql_class, sql_count_hits, sql_decoded, sql_matches,
                                   sql_text, table, with_alerts, with_ev)
 from wardlog.constants import SIGNATURE_LABELS, SIGNATURES
 from wardlog.functions import filters, signatures
 from wardlog.functions.text import clip, decode_once, field_text
 from wardlog.operators import alerts as alert_ops
-from wardlog.plans import detection, reports
-from wardlog.sources import fixtures, logs
+from wardlog.plans import detection, importing, reports
+from wardlog.session import materialise, shared_folder
+from wardlog.sources import fixtures, logs, tables
+from wardlog.sources.commits import Folder
 from wardlog.sources.rules import (Rule, builtin_rules, reset_builtin, rule_problems,
                                    rules_frame)
 
@@ -429,3 +433,32 @@ def context(spark, sf):
     made = alert_ops.consolidate(hits(spark, sf), gap=GAP)
     return alert_ops.alert_context(made, events(spark, sf)).select(
         "title", "src_ip", "first_seen", "count", "events", "failed", "users")
+
+
+_CUT = AS_OF_EPOCH - 15 * DAY      # the first run ends here
+
+
+@query("import_runs", with_ev(HITS, f"""
+told AS (SELECT *, CASE WHEN epoch < {_CUT} AND severity = 'high' THEN 'closed' ELSE 'new' END AS status FROM hits)""", f"""
+marked AS (SELECT *, CASE WHEN epoch - lag(epoch) OVER w <= {GAP} THEN 0 ELSE 1 END AS opens FROM told
+  WINDOW w AS (PARTITION BY rule_name, src_ip, status ORDER BY epoch, seq))""", """
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY rule_name, src_ip, status ORDER BY epoch, seq) AS n FROM marked)""", """
+SELECT rule_name AS title, src_ip, status, count(*) AS count, min(epoch) AS first_seen, max(epoch) AS last_seen,
+       last(matched_text ORDER BY epoch, seq) AS last_matched
+FROM numbered GROUP BY rule_name, src_ip, status, n"""))
+def import_runs(spark, sf):
+    """All lines imported in two runs; between them an analyst closes the alerts of high severity."""
+    out = f"{shared_folder(spark)}/import-{uuid.uuid4().hex}"
+    lines = events(spark, sf).select("epoch", "seq", F.col("raw").alias("value"))
+
+    def run(name, rows):
+        importing.import_lines(rows.drop("epoch"), rules(), out, year=fixtures.YEAR, run=name, gap=GAP)
+
+    run("first half", lines.where(F.col("epoch") < _CUT))
+    shown = tables.read(spark, f"{out}/alerts")
+    importing.set_status(spark, out, shown.where("severity = 'high'").select("alert_id", F.lit("closed").alias("status")))
+    run("second half", lines.where(F.col("epoch") >= _CUT))
+    made = materialise(tables.read(spark, f"{out}/alerts").select(
+        "title", "src_ip", "status", "count", "first_seen", "last_seen", "last_matched"))
+    Folder(spark, out).delete("")
+    return made

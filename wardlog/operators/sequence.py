@@ -89,15 +89,19 @@ def select_apart(points: DataFrame, distance: int, block: int = BLOCK, fan: int
             yield pd.DataFrame(chosen, columns=["_g", "a", "last"]).astype({"a": "int64", "last": "int64"})
 
     # a source of one block starts free; only longer ones need tables
-    spans = keyed.groupBy("_g").agg((F.min("b") < F.max("b")).alias("long"))
-    long = keyed.join(spans.where("long").select("_g"), "_g", "left_semi")
-    tables = (long.groupBy("_g", "b").applyInPandas(reduce_block, "_g string, b bigint, exits array<bigint>")
-              .withColumn("s", F.floor(F.col("b") / fan)))
-    fans = tables.groupBy("_g", "s").applyInPandas(compose, "_g string, s bigint, exits array<bigint>")
-    entered = fans.groupBy("_g").applyInPandas(enter_fans, "_g string, s bigint, entry bigint")
-    inside = tables.join(entered, ["_g", "s"]).groupBy("_g", "s").applyInPandas(
-        enter_blocks, "_g string, b bigint, entry bigint")
-    ready = keyed.join(inside, ["_g", "b"], "left").select("_g", "b", "a", F.coalesce("entry", F.lit(free)).alias("entry"))
+    long = keyed.join(keyed.groupBy("_g").agg(F.min("b").alias("_lo"), F.max("b").alias("_hi")).where("_lo < _hi").select("_g"),
+                      "_g", "left_semi")
+    if long.isEmpty():
+        ready = keyed.withColumn("entry", F.lit(free).cast("bigint"))
+    else:
+        tables = (long.groupBy("_g", "b").applyInPandas(reduce_block, "_g string, b bigint, exits array<bigint>")
+                  .withColumn("s", F.floor(F.col("b") / fan)))
+        fans = tables.groupBy("_g", "s").applyInPandas(compose, "_g string, s bigint, exits array<bigint>")
+        entered = fans.groupBy("_g").applyInPandas(enter_fans, "_g string, s bigint, entry bigint")
+        inside = tables.join(entered, ["_g", "s"]).groupBy("_g", "s").applyInPandas(
+            enter_blocks, "_g string, b bigint, entry bigint")
+        ready = keyed.join(inside, ["_g", "b"], "left").withColumn("entry", F.coalesce("entry", F.lit(free)))
+    ready = ready.select("_g", "b", "a", "entry")
     picked = ready.repartition("_g", "b").sortWithinPartitions("_g", "b", "a").mapInPandas(
         pick, "_g string, a bigint, last bigint")
     return picked.select("_g", "a", F.when(F.col("last") > free, F.col("last")).alias("last"))

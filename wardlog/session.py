@@ -42,16 +42,25 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`.
+
+    A local session that names none, as in tests, gets one in its warehouse.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor costs no recomputation.
 
-    The folder is the cluster's shared one (`spark.checkpoint.dir`). Where the session names none, as
-    in tests, it is one in the session's warehouse, which is shared like the tables in it. Spark
-    removes the files of a table that is no longer used (SETTINGS).
+    Spark removes the files of a table that is no longer used (SETTINGS).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or (
-            spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
