@@ -25,6 +25,61 @@ def test_text_of_one_page():
         assert Page(source).main_text(None) == want, source[:80]
 
 
+def test_names_are_judged_whole_and_by_place():
+    cases = {
+        "<div class='content no-sidebar'><h1>T</h1><p>one</p></div>": "T\none",
+        "<div class='wrap'><div class='entry hidden-print-header'><p>the article at its length</p></div><div>x</div></div>": "the article at its length",
+        "<article><p>a</p><blockquote class='reply'>b</blockquote><p class='alert'>c</p><div class='alert'>d</div></article>": "a\nb\nc",
+        "<p>AT&<b>amp;T</b> &am<i>p;</i></p>": "AT&amp;T &amp;",
+        "<div class='sidebar-layout'><main><p>text of it</p></main></div><div>foo</div>": "text of it",
+        "<article><p>a</p></article><div class='comments-area'><h1>Readers</h1>" + "<p>they say more than all of it</p>" * 9 + "</div>": "a",
+        "<article><p>long enough to be the article</p></article><div class='main-nav'>m</div><div class='site-footer'>f</div>":
+            "long enough to be the article"}
+    for source, want in cases.items():
+        assert Page(source).main_text(None) == want, source[:80]
+
+
+def test_many_layouts_come_back_as_written():
+    """Pages put together from blocks that are known to belong to the article or not."""
+    rng = random.Random(12)
+    words = ["alpha", "Bêta", "&lt;tag&gt;", "a&amp;b", "3 &times; 4", "x<em>y</em>z", "end.", "<a href='/q'>link</a>", "日本"]
+    plain_of = {"&lt;tag&gt;": "<tag>", "a&amp;b": "a&b", "3 &times; 4": "3 × 4", "x<em>y</em>z": "xyz", "<a href='/q'>link</a>": "link"}
+    noise = ["<div class='ad'>{}</div>", "<aside>{}</aside>", "<div id='sidebar-left'>{}</div>", "<ul class='share-buttons'><li>{}</ul>",
+             "<div role='dialog'>{}</div>", "<form><p>{}</p></form>", "<div class='cookie notice'><p>{}</p></div>", "<p hidden>{}</p>",
+             "<!-- {} -->", "<script>'{}</p>'</script>", "<div class='comments'><p>{}</p></div>", "<section class='related-posts'>{}</section>"]
+    wraps = ["<article class='post no-sidebar'>{}</article>", "<main>{}</main>", "<div class='content has-comments'>{}</div>",
+             "<div id='page'><div class='post-{n}'>{}</div></div>", "<section><article>{}</article></section>"]
+    inner = ["<p>{}</p>", "<h2>{}</h2>", "<p>{}", "<ul><li>{}</ul>", "<blockquote class='quote'>{}</blockquote>", "<div class='text'>{}</div>", "<pre>{}</pre>"]
+    for n in range(300):
+        lines, parts = [], []
+        for _ in range(rng.randint(2, 9)):
+            said = [rng.choice(words) for _ in range(rng.randint(12, 40))]
+            parts.append(rng.choice(inner).format(" \n".join(said)))
+            lines.append(" ".join(plain_of.get(w, w) for w in said))
+            if rng.random() < .4:
+                parts.append(rng.choice(noise).format("noise " * rng.randint(1, 6)))
+        body = rng.choice(wraps).replace("{n}", str(n)).format("".join(parts))
+        out = [rng.choice(noise).format("noise " * rng.randint(1, 9)) for _ in range(4)]
+        source = f"<body><header>top</header>{out[0]}{out[1]}{body}{out[2]}{out[3]}<footer>f</footer></body>"
+        assert Page(source).main_text(None) == "\n".join(lines), source
+
+
+def test_deep_pages_take_linear_work():
+    import time
+    seconds = []
+    for n in (5_000, 40_000):
+        start = time.perf_counter()
+        deep = Page("<div class='a b'><ul><li>" * n + "deep")
+        assert deep.main_text(None) == "deep" and max(map(len, deep.votes())) < 500
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 40 * seconds[0]
+
+
+def test_ties_of_votes_go_to_the_larger_path(spark):
+    votes = spark.createDataFrame([("h", "/a", 5, 1), ("h", "/b", 5, 1), ("h", "/c", 4, 9)], "host string, path string, votes bigint, pages bigint")
+    assert [r.path for r in winning_paths(votes).collect()] == ["/b"]
+
+
 def test_the_host_s_path_wins(spark):
     long_aside = "<div class='box'><p>" + "a much longer text about something else. " * 30 + "</p></div>"
     rows = [(i, f"http://H.example/{i}", page(f"<div class='story-{i}'><p>Story {i}, told here at some length for a vote.</p></div>"))

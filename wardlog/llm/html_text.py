@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -45,6 +46,12 @@ SKIPPED_NAMES = frozenset(
     "reply replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations widget widgets toolbar pagination pager copyright "
     "disclaimer alert search hidden".split())
+#: A name with such a part says how something looks or what it lacks, not what it is.
+QUALIFIERS = frozenset("no not non without has have with is hide hidden show".split())
+#: Names of what readers have written; it may well be most of a page.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Pieces of running text. Within an article their names say how they look.
+RUNNING = frozenset("p blockquote pre figure figcaption li dl dt dd table tr td th h1 h2 h3 h4 h5 h6 em strong b i q cite".split())
 
 #: Comments, elements whose content is no markup (dropped with it), declarations, closing and opening tags.
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>]).*?"
@@ -53,17 +60,39 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|xmp
                     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|[^>]*>?)", re.S | re.I)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 NAME_PART = re.compile(r"[a-z]+")
+LONGEST_PATH = 400      # a longer path goes on from its digest
 DIGITS = re.compile(r"[0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def noise_names(names: str) -> set[str]:
+    """Names that say that an element is not the article: whole ones, or compounds that begin or end with one."""
+    found = set()
+    for name in names.split():
+        parts = NAME_PART.findall(name)
+        if len(parts) == 1:
+            found.update(SKIPPED_NAMES.intersection(parts))
+        elif parts and not QUALIFIERS.intersection(parts):
+            found.update(SKIPPED_NAMES.intersection((parts[0], parts[-1])))
+    return found
+
+
 class Page:
-    """Blocks (text, linked characters, element) in page order, and elements (parent, tag, path, skipped)."""
+    """Blocks (text, linked characters, element) in page order, and the elements that hold them.
+
+    An element is left out for certain (its tag, its role, that it is not shown) or by its name. A name is overruled
+    where the element holds most of the page's unlinked text and its heading, or nearly all of it. Work and memory
+    grow with the page, whatever its depth.
+    """
 
     def __init__(self, source: str) -> None:
-        self.elements: list[tuple[int, str, str, bool]] = [(-1, "", "", False)]
+        self.parent, self.tag, self.path = [-1], [""], [""]
+        self.why = [0]                 # why an element is left out: 0 not, 1 its name, 2 for certain; -1 kept within one
+        self.readers = [False]         # named as what readers wrote
+        self.shut, self.article = [""], [False]      # tag of the outermost one left out; within an article
         self.blocks: list[tuple[str, int, int]] = []
         self.open = [0]                # indexes of open elements, inline ones included
+        self.counts: dict[str, int] = {}             # open elements by tag
         self.parts: list[str] = []
         self.linked = self.links = 0
         at = 0
@@ -80,27 +109,48 @@ class Page:
         if at < len(source):
             self.text(source[at:])
         self.flush()
+        self.skipped = self.left_out()
+
+    def left_out(self) -> list[bool]:
+        unlinked, headed = [0] * len(self.tag), [t in PREFERRED or t == "h1" for t in self.tag]
+        for text, linked, element in self.blocks:
+            unlinked[element] += len(text) - linked
+        for i in range(len(self.tag) - 1, 0, -1):
+            unlinked[self.parent[i]] += unlinked[i]
+            headed[self.parent[i]] |= headed[i]
+        most = unlinked[0]
+        out = [False] * len(self.tag)
+        for i in range(1, len(out)):
+            if self.why[i] == 1 and 2 * unlinked[i] > most and not self.readers[i] and (
+                    headed[i] or 10 * unlinked[i] > 9 * most):
+                self.why[i] = 0
+            out[i] = self.why[i] > 0 or (out[self.parent[i]] and self.why[i] == 0)
+        return out
 
     def text(self, raw: str) -> None:
-        self.parts.append(raw)
+        text = entities.unescape(raw)      # a reference does not reach across markup
+        self.parts.append(text)
         if self.links:
-            self.linked += len(raw)
+            self.linked += len(text)
 
     def flush(self) -> None:
         if self.parts:
-            text = " ".join(entities.unescape("".join(self.parts)).split())
+            text = " ".join("".join(self.parts).split())
             if text:
                 self.blocks.append((text, min(self.linked, len(text)), self.open[-1]))
             self.parts, self.linked = [], 0
 
     def close_to(self, depth: int) -> None:
         for index in self.open[depth:]:
-            self.links -= self.elements[index][1] == "a"
+            self.counts[self.tag[index]] -= 1
+            self.links -= self.tag[index] == "a"
         del self.open[depth:]
 
     def find(self, tags, stops=()) -> int | None:
+        if not any(self.counts.get(t) for t in tags):
+            return None
         for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.elements[self.open[depth]][1]
+            tag = self.tag[self.open[depth]]
             if tag in tags:
                 return depth
             if tag in stops:
@@ -120,28 +170,31 @@ class Page:
         if tag in VOID:
             return
         parent = self.open[-1]
-        _, _, path, skipped = self.elements[parent]
-        names, hides = (), False
+        names, why, readers = (), 2 if tag in SKIPPED_TAGS else 0, False
         if attributes and not attributes.isspace():
             values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
             names = sorted(values.get("class", "").split())
-            hides = (bool(SKIPPED_NAMES.intersection(NAME_PART.findall(values.get("class", "") + " " + values.get("id", ""))))
-                     or values.get("role", "") in SKIPPED_ROLES or "hidden" in values
-                     or values.get("aria-hidden") == "true" or bool(HIDDEN.search(values.get("style", ""))))
-        hides = (hides and tag not in ("html", "body", "article", "main")) or tag in SKIPPED_TAGS
-        if tag in HEADINGS and skipped and not hides and self.in_article_header():
-            skipped = False
-        self.open.append(len(self.elements))
+            if tag not in ("html", "body", "article", "main"):
+                if (values.get("role", "") in SKIPPED_ROLES or "hidden" in values or values.get("aria-hidden") == "true"
+                        or HIDDEN.search(values.get("style", ""))):
+                    why = 2
+                elif not why and not (tag in RUNNING and self.article[parent]):
+                    noise = noise_names(values.get("class", "") + " " + values.get("id", ""))
+                    why, readers = int(bool(noise)), bool(READERS & noise)
+        if tag in HEADINGS and self.shut[parent] == "header" and self.article[parent] and not why:
+            why = -1           # a heading in the header of an article is the article's
+        shut = "" if why < 0 else self.shut[parent] or (tag if why else "")
         step = tag + "".join("." + DIGITS.sub("#", n) for n in names) if tag in CONTAINERS else ""
-        self.elements.append((parent, tag, f"{path}/{step}" if step else path, skipped or hides))
+        path = f"{self.path[parent]}/{step}" if step else self.path[parent]
+        if len(path) > LONGEST_PATH:
+            path = "…" + hashlib.blake2b(path.encode(), digest_size=16).hexdigest()
+        self.open.append(len(self.tag))
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+        for values, value in ((self.parent, parent), (self.tag, tag), (self.path, path), (self.why, why), (self.readers, readers),
+                              (self.shut, shut), (self.article, self.article[parent] or (tag in PREFERRED and not shut))):
+            values.append(value)
         self.links += tag == "a"
 
-    def in_article_header(self) -> bool:
-        """A heading in the header of an article is the article's."""
-        chain = [self.elements[i] for i in self.open]
-        shut = [tag for _, tag, _, skipped in chain if skipped]
-        return bool(shut) and shut[0] == "header" and any(t in PREFERRED for _, t, _, s in chain if not s)
-
     def end(self, tag: str) -> None:
         if tag == "br":
             self.parts.append(" ")
@@ -159,45 +212,45 @@ class Page:
 
     def scores(self) -> dict[int, float]:
         """Containers by the unlinked text they hold; text counts less with each container in between."""
-        out: dict[int, float] = {}
+        weight = [0.0] * len(self.tag)
         for text, linked, element in self.blocks:
-            if self.elements[element][3]:
-                continue
-            weight = float(len(text) - 2 * linked)
-            while element > 0:
-                parent, tag, _, _ = self.elements[element]
-                if tag in CONTAINERS:
-                    out[element] = out.get(element, 0.0) + weight * (1.25 if tag in PREFERRED else 1.0)
-                    weight *= 1.0 if tag == "section" else 0.8
-                element = parent
-        return {e: s for e, s in out.items() if s > 0}
+            if not self.skipped[element]:
+                weight[element] += len(text) - 2 * linked
+        out: dict[int, float] = {}
+        for i in range(len(weight) - 1, 0, -1):
+            here = weight[i]
+            if self.tag[i] in CONTAINERS:
+                if here > 0:
+                    out[i] = here * (1.25 if self.tag[i] in PREFERRED else 1.0)
+                here *= 1.0 if self.tag[i] == "section" else 0.8
+            weight[self.parent[i]] += here
+        return out
 
     def votes(self) -> dict[str, float]:
         """Shares of one vote by path."""
         scores = self.scores()
         best: dict[str, float] = {}
         for element, score in scores.items():
-            path = self.elements[element][2]
+            path = self.path[element]
             best[path] = best.get(path, 0.0) + score
         total = sum(best.values())
         return {path: score / total for path, score in best.items()}
 
     def main_text(self, path: str | None) -> str:
-        """Text below the elements of `path`, else below the page's best path, else all that is not skipped."""
-        chosen = {i for i, e in enumerate(self.elements) if path and e[2] == path and e[1] in CONTAINERS}
-        if not any(self.below(b[2], chosen) and not self.elements[b[2]][3] for b in self.blocks):
+        """Text below the elements of `path`, else below the page's best path, else all that is not left out."""
+        found = self.below({i for i, p in enumerate(self.path) if path and p == path and self.tag[i] in CONTAINERS})
+        if not any(found[b[2]] and not self.skipped[b[2]] for b in self.blocks):
             votes = self.votes()
             own = max(votes, key=lambda p: (votes[p], p)) if votes else None
-            chosen = {i for i, e in enumerate(self.elements) if e[2] == own and e[1] in CONTAINERS} or {0}
-        return "\n".join(text for text, _, element in self.blocks
-                         if not self.elements[element][3] and self.below(element, chosen))
-
-    def below(self, element: int, chosen: set[int]) -> bool:
-        while element > 0:
-            if element in chosen:
-                return True
-            element = self.elements[element][0]
-        return 0 in chosen
+            found = self.below({i for i, p in enumerate(self.path) if p == own and self.tag[i] in CONTAINERS} or {0})
+        return "\n".join(text for text, _, element in self.blocks if found[element] and not self.skipped[element])
+
+    def below(self, chosen: set[int]) -> list[bool]:
+        """Which elements are among the chosen ones or within them."""
+        out = [0 in chosen] * len(self.tag)
+        for i in range(1, len(out)):
+            out[i] = out[self.parent[i]] or i in chosen
+        return out
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
