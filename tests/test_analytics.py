@@ -210,6 +210,29 @@ def test_reply_parsing_and_agreement(spark):
     assert (agreed.total, agreed.strict, agreed.unrecognized, agreed.strict_rate) == (3, 1, 2, 0.3333)
 
 
+def test_longest_range_by_one_join(spark):
+    """Random nested ranges of all prefix lengths against a search through the list."""
+    import ipaddress
+    import random
+    rng = random.Random(5)
+    nets = [ipaddress.ip_network((rng.choice((10 << 24, 0, rng.randrange(1 << 32))) & ~((1 << (32 - n)) - 1), n))
+            for n in [rng.randrange(33) for _ in range(80)]] + [ipaddress.ip_network("10.0.0.0/8")] * 2
+    ranges = spark.createDataFrame([(str(n), f"label {i}", None, "x") for i, n in enumerate(nets)],
+                                   "cidr string, label string, province string, category string")
+    ips = [str(ipaddress.ip_address(x)) for x in [0, (1 << 32) - 1, 10 << 24, *[rng.randrange(1 << 32) for _ in range(200)],
+                                                  *[int(n[0]) for n in nets], *[int(n[-1]) for n in nets]]]
+    df = spark.createDataFrame([(x,) for x in [*ips, None, "nonsense", "::1"]], "src_ip string")
+    located = geo.locate(df, geo.with_bounds(ranges))
+    assert located._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+    def best(ip):
+        holding = [(-n.prefixlen, f"label {i}") for i, n in enumerate(nets) if ipaddress.ip_address(ip) in n]
+        return min(holding)[1] if holding else geo.UNKNOWN_LABEL
+
+    want = {ip: best(ip) for ip in ips} | {None: geo.INVALID_LABEL, "nonsense": geo.INVALID_LABEL, "::1": geo.UNKNOWN_LABEL}
+    assert {r.src_ip: r.label for r in located.collect()} == want
+
+
 def test_ranks_of_crowded_values_are_dealt_evenly(spark):
     """Nearly all values lie in a thousandth of their range."""
     rows = spark.range(20_000).select(
@@ -306,3 +329,30 @@ def test_train_and_detect(spark):
     assert evaluation.n_samples == summary.samples
     assert evaluation.auc is None or 0 <= evaluation.auc <= 1
     assert feature_vector(ip_features(events, 3600)).first().features is not None
+
+
+def test_published_models_explain_as_when_trained(spark, tmp_path):
+    from wardlog.plans import models
+    from wardlog.catalog import base
+    folder, out = "/root/testdata/sf0.001", str(tmp_path)
+    events, alerts = fixtures.security_events(spark, folder), base.alerts(spark, folder)
+    with pytest.raises(ValueError):
+        models.run_scoring(events, out)
+    told = models.run_training(events, alerts, out, "first", base.as_of(), hours=0, window=3600, n_trees=10, k=3).collect()
+    assert {r.algo: (r.samples, r.k) for r in told} == {
+        "isolation_forest": (ip_features(events, 3600).count(), None), "kmeans": (ip_features(events, 3600).count(), 3)}
+    assert told[0].basis_ips == alerts.select("src_ip").distinct().count() and told[0].events == events.count()
+    stored = tables.read(spark, f"{out}/detections").select("algo", "src_ip", "epoch", "anomaly_score", "cluster", "distance", "top_features")
+    again = models.run_scoring(events, out).select(*stored.columns)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(stored) == rows(again) and stored.where("algo = 'kmeans'").count() == told[0].samples
+    from wardlog.operators.clusters import cluster
+    made = {(r.src_ip, r.bucket): (r.cluster, round(r.distance, 6)) for r in cluster(
+        feature_vector(ip_features(events, 3600)), k=3).rows.collect()}
+    assert made == {(r.src_ip, r.epoch): (r.cluster, round(r.distance, 6)) for r in stored.where("algo = 'kmeans'").collect()}
+    # a second version takes over with its pointer; the first can still be asked for
+    models.run_training(events, alerts, out, "second", base.as_of(), hours=0, window=7200, n_trees=5, also_kmeans=False)
+    assert models.Model.load(spark, f"{out}/models").window == 7200
+    assert models.Model.load(spark, f"{out}/models", "first").window == 3600
+    assert tables.read(spark, f"{out}/detections").where("algo = 'isolation_forest'").count() == ip_features(events, 7200).count()
+    assert tables.read(spark, f"{out}/model_runs").count() == 3

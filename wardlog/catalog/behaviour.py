@@ -1,5 +1,7 @@
 """Queries: behaviour features, statistics, forest, clusters, connection records."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wardlog.catalog.base import (DAY, alerts, events, query, table, with_alerts,
@@ -10,9 +12,10 @@ from wardlog.operators import alerts as alert_ops
 from wardlog.operators import clusters, forest
 from wardlog.operators import statistics as stats
 from wardlog.operators.features import feature_vector, ip_features
-from wardlog.plans import reports
-from wardlog.session import materialise
+from wardlog.plans import models, reports
+from wardlog.session import materialise, shared_folder
 from wardlog.sources import connections
+from wardlog.sources.commits import Folder
 
 _STRIPPED = "txt"
 for _c in SPECIAL_CHARS:
@@ -213,6 +216,22 @@ def summary(spark, sf):
         F.round(F.avg("score"), 4).alias("score_mean"))
 
 
+@query("training_run", with_alerts("""
+recent AS (SELECT * FROM ev WHERE epoch >= 1706659200 - 240 * 3600)""", """
+SELECT 'isolation_forest' AS algo, (SELECT count(*) FROM recent) AS events, (SELECT min(epoch) FROM recent) AS oldest,
+  (SELECT max(epoch) FROM recent) AS newest,
+  (SELECT count(*) FROM (SELECT DISTINCT src_ip, floor(epoch / 3600) FROM recent)) AS samples,
+  (SELECT count(DISTINCT src_ip) FROM alerts WHERE last_seen >= 1706659200 - 240 * 3600) AS basis_ips"""))
+def training_run(spark, sf):
+    """The training job over the last ten days: what it records of its range, samples and basis."""
+    from wardlog.catalog.base import as_of
+    out = f"{shared_folder(spark)}/training-{uuid.uuid4().hex}"
+    told = models.run_training(events(spark, sf), alerts(spark, sf), out, "v1", as_of(), hours=240, window=3600,
+                               n_trees=20, also_kmeans=False)
+    Folder(spark, out).delete("")
+    return told.select("algo", "events", "oldest", "newest", "samples", "basis_ips")
+
+
 ML_SQL = """
 det AS (SELECT src_ip, epoch, score, row_number() OVER (ORDER BY score DESC, src_ip, epoch) AS n
   FROM (SELECT *, round(value / max(value) OVER (), 4) AS score FROM ev) WHERE score >= 0.1),

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,13 +21,18 @@ class Clustering:
     model: KMeansModel
     k: int
     silhouette: float
+    scaler: StandardScalerModel
+
+
+def fitted_scaler(df: DataFrame, vector: str = "features", name: str = "scaled") -> tuple[StandardScalerModel, DataFrame]:
+    ready = df.withColumn("_v", array_to_vector(F.col(vector)))
+    scaler = StandardScaler(inputCol="_v", outputCol=name, withMean=True, withStd=True).fit(ready)
+    return scaler, scaler.transform(ready).drop("_v")
 
 
 def standardise(df: DataFrame, vector: str = "features", name: str = "scaled") -> DataFrame:
     """Zero mean, unit deviation per dimension, as an ML vector column."""
-    ready = df.withColumn("_v", array_to_vector(F.col(vector)))
-    scaler = StandardScaler(inputCol="_v", outputCol=name, withMean=True, withStd=True)
-    return scaler.fit(ready).transform(ready).drop("_v")
+    return fitted_scaler(df, vector, name)[1]
 
 
 def _best_of(scaled: DataFrame, k: int, restarts: int, seed: int) -> KMeansModel:
@@ -46,7 +51,8 @@ def _silhouette(model: KMeansModel, scaled: DataFrame) -> float:
 def cluster(df: DataFrame, vector: str = "features", k: int | None = None,
             k_range: tuple[int, int] = (3, 8), restarts: int = 10, seed: int = 42) -> Clustering:
     """Fixed k, or the k with the best silhouette in the range (2 when none separates)."""
-    scaled = materialise(standardise(df, vector))
+    scaler, scaled = fitted_scaler(df, vector)
+    scaled = materialise(scaled)
     total = scaled.count()
     if total < MIN_ROWS:
         raise ValueError(f"{total} rows; at least {MIN_ROWS} are needed")
@@ -65,7 +71,7 @@ def cluster(df: DataFrame, vector: str = "features", k: int | None = None,
         else:
             best, score = _best_of(scaled, 2, restarts, seed), 0.0
     score = 0.0 if score == -2.0 else score
-    return Clustering(with_distance(best, scaled), best, best.getK(), round(float(score), 4))
+    return Clustering(with_distance(best, scaled), best, best.getK(), round(float(score), 4), scaler)
 
 
 def with_distance(model: KMeansModel, scaled: DataFrame) -> DataFrame:

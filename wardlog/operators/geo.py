@@ -1,12 +1,15 @@
-"""Address ranges: longest-prefix match as one equi join per prefix length."""
+"""Address ranges: longest-prefix match as one join with ranges that are flattened first."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wardlog import schema
 from wardlog.constants import (ADDRESS_RANGES, CATEGORY_LABELS, INVALID_LABEL, UNKNOWN_LABEL)
 from wardlog.functions.text import label_of
+from wardlog.session import materialise
+
+BLOCK_BITS = 16      # an address is looked up among the ranges of its block
 
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ADDRESS = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
@@ -40,34 +43,51 @@ def with_bounds(ranges: DataFrame) -> DataFrame:
                          prefix.alias("prefix_len"), "label", "province", "category")
 
 
-def locate(df: DataFrame, ranges: DataFrame, ip: str = "src_ip") -> DataFrame:
-    """Add `label`, `province` and `category` of the longest range that holds the address.
+def disjoint_ranges(ranges: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Nested ranges flattened: (block, first, last, best) without overlap, no range reaching over a block.
 
-    There are at most 33 prefix lengths. Each is an equi join on the masked address, longest first;
-    Spark knows the size of the ranges and picks the kind of join. Of two equal ranges the smaller
-    label counts.
+    Borders are the ends of the ranges and the blocks of `bits` leading bits they reach into. What holds at a border
+    holds up to the next one: the longest range there, found among the ranges themselves by one equi join per prefix
+    length; of two equal ranges the smaller label counts. That is work on the range table, whatever is looked up in it.
     """
-    sized = ranges.select("prefix_len").distinct().collect()   # 33 at most
-    out = df.withColumn("_n", address_number(F.col(ip)))
+    size = 1 << (32 - bits)
+    to_block = lambda n: F.floor(n / size).cast("bigint")
+    borders = ranges.select(F.explode(F.array_union(
+        F.array(F.col("lo"), F.col("hi") + 1),
+        F.transform(F.sequence(to_block(F.col("lo")), to_block(F.col("hi"))), lambda k: k * size))).alias("first")
+    ).distinct().where(F.col("first") < 1 << 32)
+    lengths = [r.prefix_len for r in ranges.select("prefix_len").distinct().collect()]     # 33 at most
     found = []
-    for length in sorted((r.prefix_len for r in sized), reverse=True):
-        size = 1 << (32 - length)
-        side = (ranges.where(F.col("prefix_len") == length)
-                .groupBy((F.col("lo") / size).cast("bigint").alias(f"_k{length}"))
+    for length in sorted(lengths, reverse=True):
+        width = 1 << (32 - length)
+        side = (ranges.where(F.col("prefix_len") == length).groupBy((F.col("lo") / width).cast("bigint").alias("_k"))
                 .agg(F.min(F.struct("label", "province", "category")).alias(f"_r{length}")))
-        key = F.floor(F.col("_n") / size).cast("bigint")
-        out = out.withColumn(f"_k{length}", key).join(
-            side, f"_k{length}", "left").drop(f"_k{length}")
+        borders = borders.withColumn("_k", F.floor(F.col("first") / width).cast("bigint")).join(side, "_k", "left").drop("_k")
         found.append(F.col(f"_r{length}"))
-    best = F.coalesce(*found) if found else F.lit(None).cast(
-        "struct<label:string,province:string,category:string>")
+    best = F.coalesce(*found) if found else F.lit(None).cast("struct<label:string,province:string,category:string>")
+    inside = borders.select("first", best.alias("best"), to_block(F.col("first")).alias("block"))
+    after = F.lead("first").over(Window.partitionBy("block").orderBy("first"))
+    return inside.withColumn("last", F.coalesce(after, (F.col("block") + 1) * size) - 1).where(
+        F.col("best").isNotNull()).select("block", "first", "last", "best")
+
+
+def locate(df: DataFrame, ranges: DataFrame, ip: str = "src_ip") -> DataFrame:
+    """Add `label`, `province` and `category` of the longest range that holds the address.
+
+    One join whatever the number of prefix lengths: ranges are flattened to disjoint ones, and an address is looked
+    for in its block. Spark knows the size of the flattened ranges and picks the kind of join.
+    """
+    flat = materialise(disjoint_ranges(ranges))
+    out = df.withColumn("_n", address_number(F.col(ip))).withColumn(
+        "_block", F.floor(F.col("_n") / (1 << (32 - BLOCK_BITS))).cast("bigint"))
+    out = out.join(flat, (F.col("_block") == F.col("block")) & F.col("_n").between(F.col("first"), F.col("last")), "left")
     valid = F.col("_n").isNotNull() | is_v6(F.col(ip))
-    return out.withColumn("_best", best).select(
+    return out.select(
         *df.columns,
-        F.coalesce(F.col("_best.label"), F.when(valid, UNKNOWN_LABEL).otherwise(INVALID_LABEL))
+        F.coalesce(F.col("best.label"), F.when(valid, UNKNOWN_LABEL).otherwise(INVALID_LABEL))
         .alias("label"),
-        F.col("_best.province").alias("province"),
-        F.coalesce(F.col("_best.category"), F.lit("unknown")).alias("category"))
+        F.col("best.province").alias("province"),
+        F.coalesce(F.col("best.category"), F.lit("unknown")).alias("category"))
 
 
 def category_weights(located: DataFrame, weight: str = "weight") -> DataFrame:

@@ -227,14 +227,18 @@ def probe_status_summary(paths: DataFrame) -> DataFrame:
                      F.count("*").alias("total"))
 
 
-def baseline_labels(records: DataFrame, alerts: DataFrame, as_of: Column | None = None,
-                    hours: int = 24) -> DataFrame:
-    """`y` = 1 where the source has a rule alert in range (ML alerts do not count)."""
+def baseline_sources(alerts: DataFrame, as_of: Column | None = None, hours: int = 24) -> DataFrame:
+    """Sources with a rule alert in range (ML alerts do not count)."""
     known = alerts.where(F.coalesce("source_type", F.lit("rule")) == "rule")
     if as_of is not None and hours > 0:
         known = known.where(F.col("last_seen") >= timewin.epoch_of(
             timewin.days_before(as_of, hours / 24)))
-    ips = known.where(F.col("src_ip") != "").select("src_ip").distinct().withColumn(
-        "_hit", F.lit(1))
+    return known.where(F.col("src_ip") != "").select("src_ip").distinct()
+
+
+def baseline_labels(records: DataFrame, alerts: DataFrame, as_of: Column | None = None,
+                    hours: int = 24) -> DataFrame:
+    """`y` = 1 where the source has a rule alert in range (ML alerts do not count)."""
+    ips = baseline_sources(alerts, as_of, hours).withColumn("_hit", F.lit(1))
     return records.join(ips, "src_ip", "left").withColumn(
         "y", F.coalesce("_hit", F.lit(0))).drop("_hit")
