@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 import brute
 from test_windows import BASE, random_events
+from wardlog.constants import FEATURES
+from wardlog.operators.features import ip_features
 from wardlog.sources import fixtures
 from wardlog.plans.detection import detect
 from wardlog.sources.rules import Rule, builtin_rules
@@ -160,6 +162,9 @@ def test_sessions_and_features_on_a_stream(spark):
     stream = spark.readStream.schema(spark.read.parquet(events).schema).parquet(events)
     rows = run_memory(feature_stream(stream), "features")
     assert sum(r.events for r in rows) == sum(1 for r in data if r["src_ip"])
+    # all twelve, as in the batch plan over the events of the closed windows
+    told = lambda rows: sorted(tuple(r[c] for c in ("src_ip", "bucket", *FEATURES)) for r in rows)
+    assert told(rows) == told(ip_features(brute.make_events(spark, data)).collect())
 
 
 def test_tail(spark):

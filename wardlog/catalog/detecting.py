@@ -106,7 +106,7 @@ def every_class(spark, sf):
             .groupBy("src_ip", "class").agg(F.count("*").alias("events")))
 
 
-_CUSTOM = r"passwd|id=\d{5,}|brien"
+_CUSTOM = r"shadow|id=\d{5,}|angelo"
 
 
 @query("custom_pattern", with_ev(f"""

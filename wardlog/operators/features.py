@@ -16,13 +16,18 @@ from wardlog.functions.filters import is_failure
 _SUMS = ("fail", "web", "err", "urls", "url_chars", "special", "chars")
 
 
-def value_counts(events: DataFrame, window: int) -> DataFrame:
-    """(src_ip, bucket, dim, value) -> n, with the additive sums on the `sec` rows."""
+def value_counts(events: DataFrame, window: int, bucket: Column | None = None) -> DataFrame:
+    """(src_ip, bucket, dim, value) -> n, with the additive sums on the `sec` rows.
+
+    The bucket is the second a window begins with, or what is given (on streams the window itself).
+    """
+    if bucket is None:
+        bucket = timewin.floor_to(F.col("epoch"), window)
     web = F.col("log_type") == "web"
     url = F.nullif("url", F.lit(""))
     text = F.concat(F.coalesce("url", F.lit("")), F.lit(" "), F.coalesce("raw", F.lit("")))
     base = (events.where((F.col("src_ip") != "") & F.col("epoch").isNotNull())
-            .select("src_ip", timewin.floor_to(F.col("epoch"), window).alias("bucket"), "epoch",
+            .select("src_ip", bucket.alias("bucket"), "epoch",
                     F.nullif("dst_port", F.lit(0)).cast("string").alias("port"),
                     F.nullif("dst_ip", F.lit("")).alias("dst"),
                     F.nullif("user_agent", F.lit("")).alias("ua"),
@@ -50,11 +55,15 @@ def value_counts(events: DataFrame, window: int) -> DataFrame:
 
 def ip_features(events: DataFrame, window: int = 60, min_events: int = 1) -> DataFrame:
     """src_ip, bucket and the twelve features, rounded as published."""
-    counts = value_counts(events, window)
+    return features_of(value_counts(events, window), F.col("bucket"), min_events)
+
+
+def features_of(counts: DataFrame, bucket: Column, min_events: int = 1) -> DataFrame:
+    """Features of value counts, per source and bucket."""
     dim, n = F.col("dim"), F.col("n")
     status_n = F.when(dim == "status", n)
     seconds = F.collect_list(F.when(dim == "sec", F.col("value").cast("bigint")))
-    wide = counts.groupBy("src_ip", "bucket").agg(
+    wide = counts.groupBy("src_ip", bucket.alias("bucket")).agg(
         F.sum(F.when(dim == "sec", n)).alias("events"),
         *[F.count_if(dim == d).alias(name) for d, name in (
             ("port", "uniq_dst_ports"), ("dst", "uniq_dst_ips"), ("ua", "uniq_uas"),

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wardlog.operators.features import features_of, value_counts
+
 
 def session_alerts(hits: DataFrame, gap: int = 300, delay: str = "10 minutes") -> DataFrame:
     """Streaming alerts: hits of one rule and source merged while at most `gap` seconds apart.
@@ -21,22 +23,14 @@ def session_alerts(hits: DataFrame, gap: int = 300, delay: str = "10 minutes") -
             .select("rule_name", "src_ip", "severity", "count", "first_seen", "last_seen"))
 
 
-def feature_stream(events: DataFrame, window: int = 60, delay: str = "10 minutes") -> DataFrame:
-    """Additive features per source and window; distinct counts are approximate on a stream."""
-    from wardlog.functions.filters import is_failure
-    web = F.col("log_type") == "web"
-    error = F.coalesce((web & (F.col("status_code") >= 400)), F.lit(False))
-    return (events.withColumn("_t", F.timestamp_seconds("epoch")).where(F.col("src_ip") != "")
-            .withWatermark("_t", delay)
-            .groupBy(F.window("_t", f"{window} seconds").alias("w"), "src_ip")
-            .agg(F.count("*").alias("events"),
-                 (F.count_if(is_failure()) / F.count("*")).alias("fail_ratio"),
-                 F.coalesce(F.try_divide(F.count_if(error), F.count_if(web)), F.lit(0.0))
-                 .alias("error_ratio"),
-                 F.coalesce(F.avg(F.length(F.nullif("url", F.lit("")))), F.lit(0.0))
-                 .alias("url_avg_len"),
-                 F.approx_count_distinct(F.nullif("dst_port", F.lit(0))).alias("uniq_dst_ports"),
-                 F.approx_count_distinct(F.nullif("username", F.lit(""))).alias("uniq_usernames"))
-            .select("src_ip", F.unix_seconds(F.col("w.start")).alias("bucket"), "events",
-                    "fail_ratio", "error_ratio", "url_avg_len", "uniq_dst_ports",
-                    "uniq_usernames"))
+def feature_stream(events: DataFrame, window: int = 60, delay: str = "10 minutes", min_events: int = 1) -> DataFrame:
+    """The twelve features per source and window, once the window is closed: what `ip_features` gives of its events.
+
+    Two stateful aggregates one after the other, as in the batch plan: values are counted per window, so a busy source is
+    spread over its values and distinct counts are exact; features are read off the counts when those are final.
+    """
+    length = f"{window} seconds"
+    timed = events.withColumn("_t", F.timestamp_seconds("epoch")).withWatermark("_t", delay)
+    counts = value_counts(timed, window, F.window("_t", length))
+    found = features_of(counts, F.window(F.window_time("bucket"), length), min_events)
+    return found.withColumn("bucket", F.unix_seconds(F.col("bucket.start")))
