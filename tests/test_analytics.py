@@ -335,10 +335,11 @@ def test_published_models_explain_as_when_trained(spark, tmp_path):
     from wardlog.plans import models
     from wardlog.catalog import base
     folder, out = "/root/testdata/sf0.001", str(tmp_path)
-    events, alerts = fixtures.security_events(spark, folder), base.alerts(spark, folder)
+    from wardlog.session import materialise
+    events, alerts = fixtures.security_events(spark, folder), materialise(base.alerts(spark, folder))
     with pytest.raises(ValueError):
         models.run_scoring(events, out)
-    told = models.run_training(events, alerts, out, "first", base.as_of(), hours=0, window=3600, n_trees=10, k=3).collect()
+    told = models.run_training(events, alerts, out, "first", base.as_of(), hours=0, window=3600, n_trees=5, k=3).collect()
     assert {r.algo: (r.samples, r.k) for r in told} == {
         "isolation_forest": (ip_features(events, 3600).count(), None), "kmeans": (ip_features(events, 3600).count(), 3)}
     assert told[0].basis_ips == alerts.select("src_ip").distinct().count() and told[0].events == events.count()
@@ -351,7 +352,7 @@ def test_published_models_explain_as_when_trained(spark, tmp_path):
         feature_vector(ip_features(events, 3600)), k=3).rows.collect()}
     assert made == {(r.src_ip, r.epoch): (r.cluster, round(r.distance, 6)) for r in stored.where("algo = 'kmeans'").collect()}
     # a second version takes over with its pointer; the first can still be asked for
-    models.run_training(events, alerts, out, "second", base.as_of(), hours=0, window=7200, n_trees=5, also_kmeans=False)
+    models.run_training(events, alerts, out, "second", base.as_of(), hours=0, window=7200, n_trees=2, also_kmeans=False)
     assert models.Model.load(spark, f"{out}/models").window == 7200
     assert models.Model.load(spark, f"{out}/models", "first").window == 3600
     assert tables.read(spark, f"{out}/detections").where("algo = 'isolation_forest'").count() == ip_features(events, 7200).count()

@@ -236,9 +236,13 @@ def baseline_sources(alerts: DataFrame, as_of: Column | None = None, hours: int
     return known.where(F.col("src_ip") != "").select("src_ip").distinct()
 
 
+def labelled(records: DataFrame, sources: DataFrame) -> DataFrame:
+    """`y` = 1 where the source of a record is among the given ones."""
+    return records.join(sources.withColumn("_hit", F.lit(1)), "src_ip", "left").withColumn(
+        "y", F.coalesce("_hit", F.lit(0))).drop("_hit")
+
+
 def baseline_labels(records: DataFrame, alerts: DataFrame, as_of: Column | None = None,
                     hours: int = 24) -> DataFrame:
     """`y` = 1 where the source has a rule alert in range (ML alerts do not count)."""
-    ips = baseline_sources(alerts, as_of, hours).withColumn("_hit", F.lit(1))
-    return records.join(ips, "src_ip", "left").withColumn(
-        "y", F.coalesce("_hit", F.lit(0))).drop("_hit")
+    return labelled(records, baseline_sources(alerts, as_of, hours))
