@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from wardlog.catalog.base import (AS_OF_EPOCH, AS_OF_TEXT, GAP, alerts, as_of, events, hits, query,
+from wardlog.catalog.base import (AS_OF_EPOCH, AS_OF_TEXT, GAP, HITS, alerts, as_of, events, hits, query,
                                   quoted, rule, sql_class, table, with_alerts, with_ev)
-from wardlog.constants import (ADDRESS_RANGES, CATEGORY_LABELS, FINDING_CLASS, SEVERITY_ALIASES,
+from wardlog.constants import (ADDRESS_RANGES, CATEGORY_LABELS, EXPECTED_RULES, FINDING_CLASS, SEVERITY_ALIASES,
                                SEVERITY_LABELS, SIGNATURE_LABELS, UNKNOWN_LABEL)
 from wardlog.functions import text
 from wardlog.operators import correlate, geo, maintenance, quality
@@ -577,6 +577,26 @@ def recall(spark, sf):
     return quality.rule_recall(fired, expected).withColumn("missed", F.array_join("missed", ","))
 
 
+_SCENARIO = "CASE log_type WHEN 'ssh' THEN 'ssh_bruteforce' WHEN 'scan' THEN 'port_scan' ELSE 'web_attack' END"
+
+
+@query("expected_rules", with_ev(HITS, f"""
+want(scenario, keyword) AS (VALUES {', '.join(f"('{s}', {quoted(k)})" for s, k in EXPECTED_RULES)})""", f"""
+fired AS (SELECT DISTINCT {_SCENARIO} AS scenario, rule_name FROM hits JOIN ev USING (seq))""", """
+chk AS (SELECT w.*, EXISTS (SELECT 1 FROM fired f WHERE f.scenario = w.scenario
+  AND contains(f.rule_name, w.keyword)) AS found FROM want w)""", """
+SELECT scenario, count(*) AS expected, count(*) FILTER (WHERE found) AS hit,
+  coalesce(string_agg(CASE WHEN NOT found THEN keyword END, ',' ORDER BY keyword), '') AS missed
+FROM chk GROUP BY scenario"""))
+def expected(spark, sf):
+    """The fixed expectations per attack scenario, scenarios being the kinds of lines."""
+    kind = F.col("log_type")
+    scenario = F.when(kind == "ssh", "ssh_bruteforce").when(kind == "scan", "port_scan").otherwise("web_attack")
+    lines = events(spark, sf).select("seq", scenario.alias("scenario"))
+    fired = hits(spark, sf).join(lines, "seq").select("scenario", "rule_name")
+    return quality.rule_recall(fired, quality.expected_rules(spark)).withColumn("missed", F.array_join("missed", ","))
+
+
 _LEVEL = "CASE " + " ".join(f"WHEN contains(low, {quoted(a)}) THEN '{v}'"
                             for a, v in SEVERITY_ALIASES) + " END"
 OUTPUT_SQL = f"""

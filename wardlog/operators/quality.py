@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wardlog.constants import REVIEW_FIELDS, SEVERITY_ALIASES, SEVERITY_RANK
+from wardlog.constants import EXPECTED_RULES, REVIEW_FIELDS, SEVERITY_ALIASES, SEVERITY_RANK
 
 
 def segment_hits(hits: DataFrame, lines: DataFrame) -> DataFrame:
@@ -38,6 +38,11 @@ def false_positive_rates(segments: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(combined, F.col("hits"))), F.lit(0)).alias("combined_hits"))
 
 
+def expected_rules(spark: SparkSession) -> DataFrame:
+    """(scenario, keyword): what has to fire in each of the fixed attack scenarios."""
+    return spark.createDataFrame(list(EXPECTED_RULES), "scenario STRING, keyword STRING")
+
+
 def rule_recall(fired: DataFrame, expected: DataFrame) -> DataFrame:
     """Per scenario: how many expected keywords occur in a rule that fired, and which do not.
 
