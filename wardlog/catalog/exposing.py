@@ -245,14 +245,14 @@ def _probes(spark, sf):
         return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
     n = F.col("page_id")
     return fixtures.responses(spark, sf).select(
-        "host", "headers", n.alias("seq"), pick(_PATHS, n % len(_PATHS)).alias("path"),
+        "host", "url", "headers", n.alias("seq"), pick(_PATHS, n % len(_PATHS)).alias("path"),
         F.when(n % 5 == 4, 404).when(n % 7 == 6, 403).when(n % 11 == 10, 301).otherwise(200)
         .alias("status"),
         F.concat(pick(_STARTS, F.floor(n / 8) % len(_STARTS)), F.col("body")).alias("body"))
 
 
 PROBES = PAGES + f"""
-probes AS (SELECT host, page_id AS seq, {sql_list(_PATHS)}[CAST(page_id % 8 AS INTEGER) + 1] AS path,
+probes AS (SELECT host, root, page_id AS seq, {sql_list(_PATHS)}[CAST(page_id % 8 AS INTEGER) + 1] AS path,
   CASE WHEN page_id % 5 = 4 THEN 404 WHEN page_id % 7 = 6 THEN 403 WHEN page_id % 11 = 10 THEN 301
     ELSE 200 END AS status,
   [{', '.join(_sql_text(s) for s in _STARTS)}][CAST(floor(page_id / 8) % 4 AS INTEGER) + 1] || body

@@ -78,10 +78,11 @@ def days_between(first: int, last: int) -> range:
 
 
 class CommitLog:
-    """The tables under `root`; `schemas` maps their names to DDL."""
+    """The tables under `root`; `schemas` maps their names to DDL. `day` says what divides rows, by default the day of `epoch`."""
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]) -> None:
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], day: Column | None = None) -> None:
         self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+        self.day = day_of(F.col("epoch")) if day is None else day
         self.folder = Folder(spark, self.root)
 
     def record(self, commit: int | None = None) -> Record:
@@ -94,12 +95,12 @@ class CommitLog:
 
     def write(self, table: str, df: DataFrame, commit: int, name: str | None = None,
               day: Column | None = None) -> dict[str, list]:
-        """Write rows to the folder of a commit, by the day of `epoch` or what is given: {day: [[commit, level, folder]]}."""
+        """Write rows to the folder of a commit, by their day or what is given: {day: [[commit, level, folder]]}."""
         name = name or f"{table}/commit={commit}"
         if "commit" not in df.columns:
             df = df.withColumn("commit", F.lit(commit).cast("bigint"))
         # files of about the advisory size, whatever a day holds
-        (df.withColumn("day", day_of(F.col("epoch")) if day is None else day).hint("rebalance", "day")
+        (df.withColumn("day", self.day if day is None else day).hint("rebalance", "day")
          .write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/{name}"))
         return {h.removeprefix("day="): [[commit, 0, name]] for h in self.folder.names(name) if h.startswith("day=")}
 
