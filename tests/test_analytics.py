@@ -100,6 +100,22 @@ def test_clusters(spark):
     made = clusters.cluster(frame, k_range=(2, 4), restarts=2)
     assert made.k == 3 and made.silhouette > 0.8
     assert clusters.outliers(made.rows, 4).count() == 4
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    judge = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster")
+    assert made.silhouette == round(judge.evaluate(made.rows), 4)
+
+
+def test_clusters_of_few_values(spark):
+    """Fewer values than clusters, one value only, repeated rows, too few rows."""
+    def frame(*values):
+        return spark.createDataFrame([(i, [float(v), 1.0]) for i, v in enumerate(values)], "id int, features array<double>")
+
+    two = clusters.cluster(frame(*[0, 1] * 5), k_range=(2, 4), restarts=2)
+    assert (two.k, two.silhouette) == (2, 1.0) and two.rows.agg({"distance": "max"}).first()[0] == 0.0
+    one = clusters.cluster(frame(*[3] * 8), k=4, restarts=2)
+    assert (one.k, one.silhouette) == (1, 0.0) and one.rows.where("cluster = 0").count() == 8
+    with pytest.raises(ValueError):
+        clusters.cluster(frame(1, 2, 3), k=2)
 
 
 def test_connection_files(spark):

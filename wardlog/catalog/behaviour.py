@@ -361,6 +361,35 @@ def chosen_k(spark, sf):
         "k", F.lit(made.k)).withColumn("silhouette", F.lit(made.silhouette))
 
 
+@query("kmeans_silhouettes", """
+SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM embeddings) AS rows, true AS agrees, true AS no_better
+FROM range(3, 9) r(k)""")
+def kmeans_silhouettes(spark, sf):
+    """Every k of the range: its silhouette is the one Spark's evaluator gives, and none is better than the chosen one."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    scaled = materialise(clusters.fitted_scaler(_vectors(spark, sf))[1])
+    models = clusters.fitted(scaled, list(range(3, 9)))
+    scores = clusters.silhouettes(scaled, models)
+    chosen = clusters.cluster(_vectors(spark, sf), k_range=(3, 8)).silhouette
+    judge = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster")
+    told = []
+    for k, model in models.items():
+        found = clusters.with_distance(model, scaled)
+        told.append((k, found.count(), abs(judge.evaluate(found) - scores[k]) < 1e-6, round(scores[k], 4) <= chosen))
+    return spark.createDataFrame(told, "k int, rows bigint, agrees boolean, no_better boolean")
+
+
+@query("kmeans_furthest", """
+SELECT least(count(*), 10) AS outliers, true AS furthest FROM embeddings""")
+def kmeans_furthest(spark, sf):
+    """No other row is further from its centre than an outlier is."""
+    rows = materialise(clusters.cluster(_vectors(spark, sf), k=4).rows.select("vec_id", "distance"))
+    top = clusters.outliers(rows, 10, "vec_id")
+    rest = rows.join(top.select("vec_id"), "vec_id", "left_anti").agg(F.max("distance").alias("rest"))
+    found = top.agg(F.count("*").alias("outliers"), F.min("distance").alias("least"))
+    return stats.attach(found, rest).select("outliers", F.coalesce(F.col("least") >= F.col("rest"), F.lit(True)).alias("furthest"))
+
+
 @query("kmeans_outliers")
 def kmeans_outliers(spark, sf):
     made = clusters.cluster(_vectors(spark, sf), k=4)

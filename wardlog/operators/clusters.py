@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -13,12 +15,27 @@ from pyspark.sql import DataFrame, functions as F
 from wardlog.session import materialise
 
 MIN_ROWS = 5
+SEED_ROWS = 4096     # rows that first centres are drawn from; every pass after that reads all rows
+MAX_PASSES = 40
+STILL = 1e-4         # a model is done when no centre moves further
+
+
+@dataclass
+class Centres:
+    """Centres of one model, and the sum of the squared distances to them before they moved last."""
+
+    centres: np.ndarray
+    k: int
+    cost: float = float("inf")
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802 - the name Spark's own model has
+        return list(self.centres)
 
 
 @dataclass
 class Clustering:
     rows: DataFrame          # input columns + scaled, cluster, distance
-    model: KMeansModel
+    model: Centres
     k: int
     silhouette: float
     scaler: StandardScalerModel
@@ -35,53 +52,154 @@ def standardise(df: DataFrame, vector: str = "features", name: str = "scaled") -
     return fitted_scaler(df, vector, name)[1]
 
 
-def _best_of(scaled: DataFrame, k: int, restarts: int, seed: int) -> KMeansModel:
-    models = [KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster").fit(scaled)
-              for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
-def _silhouette(model: KMeansModel, scaled: DataFrame) -> float:
-    assigned = model.transform(scaled)
-    if assigned.select("cluster").distinct().count() < 2:
-        return -2.0
-    return ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster").evaluate(assigned)
+def _points(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres, one centre at a time so that a batch stays small."""
+    return np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1)
+
+
+def _sums(scaled: DataFrame, models: dict[int, Any],
+          of_batch: Callable[[np.ndarray, Any], tuple[np.ndarray, np.ndarray]]) -> dict[int, dict[int, np.ndarray]]:
+    """{model: {cluster: sums}} over all rows in one pass; `of_batch` gives clusters and values of rows for one of `models`.
+
+    A task sends one row per model and cluster, whatever it reads.
+    """
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            points = _points(batch) if batch.num_rows else np.empty((0, 0))
+            for number, model in models.items() if len(points) else ():
+                owner, values = of_batch(points, model)
+                for own in np.unique(owner):
+                    key = (number, int(own))
+                    totals[key] = totals.get(key, 0.0) + values[owner == own].sum(axis=0)
+        if totals:
+            keys = sorted(totals)
+            yield pa.RecordBatch.from_pydict({
+                "model": pa.array([m for m, _ in keys], pa.int32()), "cluster": pa.array([c for _, c in keys], pa.int32()),
+                "sums": pa.array([totals[k].tolist() for k in keys], pa.list_(pa.float64()))})
+
+    sent = scaled.select(vector_to_array("scaled")).mapInArrow(partial, "model int, cluster int, sums array<double>")
+    added = sent.select("model", "cluster", F.posexplode("sums").alias("at", "x")).groupBy(
+        "model", "cluster", "at").agg(F.sum("x").alias("x"))
+    found: dict[int, dict[int, list]] = {}
+    for row in added.collect():            # models x clusters x dimensions
+        found.setdefault(row["model"], {}).setdefault(row["cluster"], []).append((row["at"], row["x"]))
+    return {m: {c: np.array([x for _, x in sorted(v)]) for c, v in of.items()} for m, of in found.items()}
+
+
+def _lloyd(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    away = _squares(points, centres)
+    owner = away.argmin(axis=1)
+    return owner, np.column_stack([np.ones(len(points)), away[np.arange(len(points)), owner], points])
+
+
+def _drawn(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """First centres, far ones likelier; fewer than k where the points have fewer values."""
+    chosen = [points[rng.integers(len(points))]]
+    least = ((points - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and least.sum() > 0:
+        chosen.append(points[rng.choice(len(points), p=least / least.sum())])
+        least = np.minimum(least, ((points - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def fitted(scaled: DataFrame, sizes: list[int], restarts: int = 10, seed: int = 42) -> dict[int, Centres]:
+    """The best of `restarts` models for each number of clusters. All models move together, one pass over the rows per step;
+    models that are done leave. A cluster that loses all rows keeps its centre."""
+    sample = scaled.select(vector_to_array("scaled").alias("x")).orderBy(F.rand(seed)).limit(SEED_ROWS)
+    points = np.array(sorted(r.x for r in sample.collect()), dtype=float)
+    plan = [(k, i) for k in sizes for i in range(restarts)]
+    models = [Centres(_drawn(points, k, np.random.default_rng([seed, i, k])), k) for k, i in plan]
+    moving = set(range(len(models)))
+    for _ in range(MAX_PASSES):
+        if not moving:
+            break
+        for number, of in _sums(scaled, {m: models[m].centres for m in sorted(moving)}, _lloyd).items():
+            model, before = models[number], models[number].centres
+            after = before.copy()
+            for own, sums in of.items():
+                after[own] = sums[2:] / sums[0]
+            model.centres, model.cost = after, float(sum(s[1] for s in of.values()))
+            if np.sqrt(((after - before) ** 2).sum(axis=1)).max() <= STILL:
+                moving.discard(number)
+    best: dict[int, Centres] = {}
+    for model in models:
+        if model.k not in best or model.cost < best[model.k].cost:
+            best[model.k] = model
+    return best
+
+
+def _moments(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    owner = _squares(points, centres).argmin(axis=1)
+    return owner, np.column_stack([np.ones(len(points)), (points ** 2).sum(axis=1), points])
+
+
+def _widths(points: np.ndarray, model: tuple[np.ndarray, dict[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Silhouette of each row from count, squares and sums of each cluster that has rows."""
+    centres, known = model
+    numbers = np.array(sorted(known))
+    count, square, total = (np.array([known[c][part] for c in numbers]) for part in (0, 1, slice(2, None)))
+    own = np.searchsorted(numbers, _squares(points, centres).argmin(axis=1))
+    away = np.maximum((points ** 2).sum(axis=1)[:, None] + (square - 2 * points @ total.T) / count, 0.0)
+    rows = np.arange(len(points))
+    inner = away[rows, own] * count[own] / np.maximum(count[own] - 1, 1)
+    away[rows, own] = np.inf
+    other = away.min(axis=1)
+    most = np.maximum(inner, other)
+    width = np.where((count[own] > 1) & (most > 0), (other - inner) / np.where(most > 0, most, 1.0), 0.0)
+    return np.zeros(len(points), dtype=int), np.column_stack([np.ones(len(points)), width])
+
+
+def silhouettes(scaled: DataFrame, models: dict[int, Centres]) -> dict[int, float]:
+    """Mean silhouette (squared distances) of each model, in two passes for all; -2.0 where all rows are in one cluster."""
+    known = _sums(scaled, {number: m.centres for number, m in models.items()}, _moments)
+    divided = {number: (models[number].centres, of) for number, of in known.items() if len(of) > 1}
+    sums = _sums(scaled, divided, _widths) if divided else {}
+    return {number: float(sums[number][0][1] / sums[number][0][0]) if number in sums else -2.0 for number in models}
 
 
 def cluster(df: DataFrame, vector: str = "features", k: int | None = None,
             k_range: tuple[int, int] = (3, 8), restarts: int = 10, seed: int = 42) -> Clustering:
-    """Fixed k, or the k with the best silhouette in the range (2 when none separates)."""
+    """Fixed k, or the k with the best silhouette in the range (2 when none separates).
+
+    Rows of fewer than k different values give as many clusters as they have values.
+    """
     scaler, scaled = fitted_scaler(df, vector)
     scaled = materialise(scaled)
     total = scaled.count()
     if total < MIN_ROWS:
         raise ValueError(f"{total} rows; at least {MIN_ROWS} are needed")
     if k is not None:
-        best = _best_of(scaled, k, restarts, seed)
-        score = max(_silhouette(best, scaled), 0.0) if k < 2 else _silhouette(best, scaled)
+        best = fitted(scaled, [k], restarts, seed)[k]
+        score = silhouettes(scaled, {k: best})[k]
+        score = max(score, 0.0) if k < 2 else score
     else:
         low, high = max(2, k_range[0]), min(k_range[1], max(2, total - 1))
-        tried = []
-        for size in range(low, high + 1):
-            model = _best_of(scaled, size, restarts, seed)
-            tried.append((_silhouette(model, scaled), -size, model))
-        tried = [t for t in tried if t[0] > -2.0]
-        if tried:
-            score, _, best = max(tried, key=lambda t: t[:2])
+        models = fitted(scaled, list(range(low, high + 1)), restarts, seed)
+        scores = {size: score for size, score in silhouettes(scaled, models).items() if score > -2.0}
+        if scores:
+            size = max(scores, key=lambda n: (scores[n], -n))
+            best, score = models[size], scores[size]
         else:
-            best, score = _best_of(scaled, 2, restarts, seed), 0.0
+            best, score = fitted(scaled, [2], restarts, seed)[2], 0.0
     score = 0.0 if score == -2.0 else score
-    return Clustering(with_distance(best, scaled), best, best.getK(), round(float(score), 4), scaler)
+    return Clustering(with_distance(best, scaled), best, len(best.centres), round(float(score), 4), scaler)
 
 
-def with_distance(model: KMeansModel, scaled: DataFrame) -> DataFrame:
+def with_distance(model: Centres, scaled: DataFrame) -> DataFrame:
     """Cluster and Euclidean distance to its centre; the k centres travel as literals."""
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    assigned = model.transform(scaled)
-    own = F.get(centres, F.col("cluster"))
-    squares = F.zip_with(vector_to_array("scaled"), own, lambda a, b: (a - b) * (a - b))
-    return assigned.withColumn("distance", F.sqrt(F.aggregate(
-        squares, F.lit(0.0), lambda total, x: total + x)))
+    def away(centre):
+        squares = F.zip_with("_x", F.array(*[F.lit(float(x)) for x in centre]), lambda a, b: (a - b) * (a - b))
+        return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
+
+    near = F.array_min(F.array(*[F.struct(away(c).alias("d"), F.lit(i).alias("cluster"))
+                                 for i, c in enumerate(model.centres)]))
+    return (scaled.withColumn("_x", vector_to_array("scaled")).withColumn("_near", near)
+            .withColumns({"cluster": F.col("_near.cluster"), "distance": F.sqrt("_near.d")}).drop("_x", "_near"))
 
 
 def outliers(rows: DataFrame, top_n: int = 10, *keys: str) -> DataFrame:
