@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from wardlog.catalog.base import query, quoted, sql_list, table
-from wardlog.constants import (ADVISORIES, DATABASE_ERRORS, LEAKED_FILES, SENSITIVE_FILES,
-                               TECHNOLOGIES)
+from wardlog.constants import (ADVISORIES, DATABASE_ERRORS, FINGERPRINT_HEADERS, LEAKED_FILES, MIN_HSTS_SECONDS,
+                               SECURITY_HEADERS, SENSITIVE_FILES, TECHNOLOGIES, WEAK_VALUES)
 from wardlog.functions import text
 from wardlog.operators import correlate, exposure, pages
 from wardlog.sources import fixtures
@@ -119,52 +119,57 @@ def target_urls(spark, sf):
 
 # ------------------------------------------------------------------------------ headers
 
-_AUDIT = {
-    0: (("Content-Security-Policy", "missing", "mid"), ("X-Content-Type-Options", "missing", "low"),
-        ("Referrer-Policy", "missing", "low"), ("X-Frame-Options", "weak", "mid"),
-        ("Strict-Transport-Security", "weak", "mid")),
-    1: (("X-Content-Type-Options", "missing", "low"), ("Strict-Transport-Security", "missing", "low"),
-        ("Referrer-Policy", "missing", "low"), ("Content-Security-Policy", "weak", "mid")),
-    2: (("X-Frame-Options", "missing", "mid"), ("Content-Security-Policy", "missing", "mid"),
-        ("Strict-Transport-Security", "missing", "low"), ("X-Content-Type-Options", "weak", "mid"),
-        ("Referrer-Policy", "weak", "mid")),
-}
-_AUDIT_ROWS = ", ".join(f"({v}, '{h}', '{k}', '{s}')" for v, rows in _AUDIT.items()
-                        for h, k, s in rows)
-
-
-@query("header_audit", f"""
-SELECT page_id, header, kind, severity FROM pages JOIN (VALUES {_AUDIT_ROWS})
-  a(v, header, kind, severity) ON page_id % 4 = v""")
+_HEADERS = """hv(v, name, value) AS (VALUES (0, 'server', 'nginx/1.24.0 (Ubuntu)'), (0, 'x-frame-options', 'ALLOWALL'),
+  (0, 'strict-transport-security', 'max-age=3600'), (1, 'server', 'Apache/2.4.57'), (1, 'x-powered-by', 'PHP/8.1.2'),
+  (1, 'content-security-policy', 'default-src *; script-src ''unsafe-inline'''), (1, 'x-frame-options', 'DENY'),
+  (2, 'server', 'openresty/1.21.4'), (2, 'x-content-type-options', 'sniff'), (2, 'referrer-policy', 'unsafe-url'),
+  (3, 'via', '1.1 cache'), (3, 'x-content-type-options', 'nosniff'),
+  (3, 'strict-transport-security', 'max-age=31536000; includeSubDomains'), (3, 'referrer-policy', 'no-referrer'),
+  (3, 'x-frame-options', 'SAMEORIGIN'), (3, 'content-security-policy', 'default-src ''self''')),
+wanted(header, severity, purpose) AS (VALUES """ + ", ".join(
+    f"({quoted(h)}, '{s}', {quoted(p)})" for h, s, p in SECURITY_HEADERS) + "),"
+_WEAK = f"""CASE header WHEN 'X-Frame-Options' THEN low IN ('allowall', 'allow-all', '*') OR starts_with(low, 'allow-from')
+  WHEN 'Content-Security-Policy' THEN regexp_matches(low, '(default|script)-src\\s+\\*') OR contains(low, 'unsafe-inline')
+    OR contains(low, 'unsafe-eval')
+  WHEN 'X-Content-Type-Options' THEN low <> 'nosniff'
+  WHEN 'Strict-Transport-Security' THEN
+    coalesce(TRY_CAST(regexp_extract(low, 'max-age\\s*=\\s*(\\d+)', 1) AS BIGINT), 0) < {MIN_HSTS_SECONDS}
+  ELSE low IN ('unsafe-url', 'no-referrer-when-downgrade', '') END"""
+_REASON = "CASE header " + " ".join(
+    f"WHEN {quoted(h)} THEN replace({quoted(t)}, '%s', "
+    + ("substr(trim(value), 1, 60)" if h == "Content-Security-Policy" else "trim(value)") + ")" for h, t in WEAK_VALUES.items()) + " END"
+AUDIT = PAGES + _HEADERS + f"""
+checked AS (SELECT page_id, header, severity, purpose, value, lower(trim(value)) AS low
+  FROM (SELECT page_id, v FROM p) s CROSS JOIN wanted LEFT JOIN hv ON hv.v = s.v AND name = lower(header)),
+audit AS (SELECT page_id, header, 'missing' AS kind, severity, CAST(NULL AS VARCHAR) AS value, purpose AS reason
+    FROM checked WHERE value IS NULL
+  UNION ALL SELECT page_id, header, 'weak', 'mid', value, {_REASON} FROM checked WHERE value IS NOT NULL AND ({_WEAK}))"""
+
+
+@query("header_audit", AUDIT + "\nSELECT * FROM audit")
 def header_audit(spark, sf):
-    return exposure.header_audit(fixtures.responses(spark, sf)).select(
-        "page_id", "header", "kind", "severity")
+    return exposure.header_audit(fixtures.responses(spark, sf))
 
 
-@query("weak_header_values", f"""
-SELECT page_id, header FROM pages JOIN (VALUES {_AUDIT_ROWS}) a(v, header, kind, severity)
-  ON page_id % 4 = v WHERE kind = 'weak'""")
+@query("weak_header_values", AUDIT + "\nSELECT page_id, header FROM audit WHERE kind = 'weak'")
 def weak_headers(spark, sf):
     return exposure.header_audit(fixtures.responses(spark, sf)).where("kind = 'weak'").select(
         "page_id", "header")
 
 
-@query("header_rollup", f"""
+@query("header_rollup", AUDIT + """
 SELECT page_id, coalesce(string_agg(header, ',' ORDER BY header) FILTER (WHERE kind = 'missing'), '')
   AS missing, coalesce(string_agg(header, ',' ORDER BY header) FILTER (WHERE kind = 'weak'), '')
-  AS weak, count(*) AS total FROM pages JOIN (VALUES {_AUDIT_ROWS}) a(v, header, kind, severity)
-  ON page_id % 4 = v GROUP BY page_id""")
+  AS weak, count(*) AS total FROM audit GROUP BY page_id""")
 def rollup(spark, sf):
     made = exposure.header_rollup(exposure.header_audit(fixtures.responses(spark, sf)))
     return made.select("page_id", F.array_join("missing", ",").alias("missing"),
                        F.array_join("weak", ",").alias("weak"), "total")
 
 
-@query("fingerprint_headers", """
-SELECT page_id, header, value FROM pages JOIN (VALUES (0, 'Server', 'nginx/1.24.0 (Ubuntu)'),
-  (1, 'Server', 'Apache/2.4.57'), (1, 'X-Powered-By', 'PHP/8.1.2'),
-  (2, 'Server', 'openresty/1.21.4'), (3, 'Via', '1.1 cache')) a(v, header, value)
-  ON page_id % 4 = v""")
+@query("fingerprint_headers", PAGES + _HEADERS + f"""
+shown(header) AS (VALUES {", ".join(f"({quoted(h)})" for h in FINGERPRINT_HEADERS)})
+SELECT page_id, header, value FROM p JOIN hv ON hv.v = p.v JOIN shown ON name = lower(header)""")
 def fingerprint(spark, sf):
     return exposure.fingerprint_headers(fixtures.responses(spark, sf))
 

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from wardlog.catalog.base import as_of, events, query, quoted, with_ev
-from wardlog.catalog.exposing import _ADVISORY, _FIXED, _LISTED, _NUMBERS, PAGES, PROBES, TECH, _probes
+from wardlog.catalog.exposing import _ADVISORY, _FIXED, _HEADERS, _LISTED, _NUMBERS, _REASON, _WEAK, PAGES, PROBES, TECH, _probes
 from wardlog.catalog.reporting import _CLASS_OF, HOURS, RELATED_SQL
-from wardlog.constants import (ADVISORIES, ADVISORY_TITLES, DATABASE_ERRORS, FINDING_TEXTS, LEAKED_FILES, MIN_HSTS_SECONDS,
-                               SECURITY_HEADERS, SENSITIVE_FILES, SEVERITY_RANK, WEAK_VALUES)
+from wardlog.constants import (ADVISORIES, ADVISORY_TITLES, DATABASE_ERRORS, FINDING_TEXTS, LEAKED_FILES,
+                               SENSITIVE_FILES, SEVERITY_RANK)
 from wardlog.operators import correlate
 from wardlog.operators.pages import site_root
 from wardlog.plans import findings
@@ -37,25 +37,6 @@ def _snippet(needle):
     return (f"trim(replace(substr(body, {start}, strpos(body, {needle}) + length({needle}) + 50 - {start}), chr(10), ' '))")
 
 
-_HEADERS = """hv(v, name, value) AS (VALUES (0, 'server', 'nginx/1.24.0 (Ubuntu)'), (0, 'x-frame-options', 'ALLOWALL'),
-  (0, 'strict-transport-security', 'max-age=3600'), (1, 'server', 'Apache/2.4.57'), (1, 'x-powered-by', 'PHP/8.1.2'),
-  (1, 'content-security-policy', 'default-src *; script-src ''unsafe-inline'''), (1, 'x-frame-options', 'DENY'),
-  (2, 'server', 'openresty/1.21.4'), (2, 'x-content-type-options', 'sniff'), (2, 'referrer-policy', 'unsafe-url'),
-  (3, 'via', '1.1 cache'), (3, 'x-content-type-options', 'nosniff'),
-  (3, 'strict-transport-security', 'max-age=31536000; includeSubDomains'), (3, 'referrer-policy', 'no-referrer'),
-  (3, 'x-frame-options', 'SAMEORIGIN'), (3, 'content-security-policy', 'default-src ''self''')),
-wanted(header, severity, purpose) AS (VALUES """ + ", ".join(
-    f"({quoted(h)}, '{s}', {quoted(p)})" for h, s, p in SECURITY_HEADERS) + "),"
-_WEAK = f"""CASE header WHEN 'X-Frame-Options' THEN low IN ('allowall', 'allow-all', '*') OR starts_with(low, 'allow-from')
-  WHEN 'Content-Security-Policy' THEN regexp_matches(low, '(default|script)-src\\s+\\*') OR contains(low, 'unsafe-inline')
-    OR contains(low, 'unsafe-eval')
-  WHEN 'X-Content-Type-Options' THEN low <> 'nosniff'
-  WHEN 'Strict-Transport-Security' THEN
-    coalesce(TRY_CAST(regexp_extract(low, 'max-age\\s*=\\s*(\\d+)', 1) AS BIGINT), 0) < {MIN_HSTS_SECONDS}
-  ELSE low IN ('unsafe-url', 'no-referrer-when-downgrade', '') END"""
-_REASON = "CASE header " + " ".join(
-    f"WHEN {quoted(h)} THEN replace({quoted(t)}, '%s', "
-    + ("substr(trim(value), 1, 60)" if h == "Content-Security-Policy" else "trim(value)") + ")" for h, t in WEAK_VALUES.items()) + " END"
 _PATTERN = "CASE listed " + " ".join(
     f"WHEN {quoted(path)} THEN CASE " + " ".join(
         f"WHEN regexp_matches(body, {quoted(x)}) THEN regexp_extract(body, {quoted(x)})" for x in patterns) + " END"
