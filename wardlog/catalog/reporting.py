@@ -195,6 +195,11 @@ def _scan_tables(spark, sf):
     return targets, tasks, info, findings
 
 
+def _counts_text(column):
+    return F.array_join(F.transform(F.map_entries(column), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
 @query("task_bundle", "WITH " + TASKS_SQL + """
 SELECT t.task_id, g.name AS target_name, g.url AS target_url, coalesce(f.n, 0) AS findings,
   coalesce((SELECT string_agg(kind || '=' || content, ',' ORDER BY kind) FROM info i
@@ -220,14 +225,17 @@ def unreported(spark, sf):
 
 
 @query("scan_report_context", "WITH " + TASKS_SQL + """
-, f AS (SELECT l_suppkey AS task_id, l_linenumber AS n FROM lineitem WHERE l_quantity > 45)
+, f AS (SELECT l_suppkey AS task_id, l_linenumber AS n, l_returnflag AS r FROM lineitem WHERE l_quantity > 45)
 SELECT t.task_id, g.name || '（' || g.url || '）' AS target, count(f.n) AS findings,
   count(*) FILTER (WHERE n = 1) AS critical, count(*) FILTER (WHERE n IN (2, 3)) AS high,
-  count(*) FILTER (WHERE n IN (4, 5)) AS mid, count(*) FILTER (WHERE n > 5) AS low
+  count(*) FILTER (WHERE n IN (4, 5)) AS mid, count(*) FILTER (WHERE n > 5) AS low,
+  concat_ws(',', 'cve_match=' || nullif(count(*) FILTER (WHERE r NOT IN ('A', 'N')), 0),
+    'sqli=' || nullif(count(*) FILTER (WHERE r = 'A'), 0), 'xss=' || nullif(count(*) FILTER (WHERE r = 'N'), 0)) AS by_type
 FROM tasks t JOIN targets g USING (target_id) LEFT JOIN f USING (task_id) GROUP BY ALL""")
 def report_context(spark, sf):
     targets, tasks, _, findings = _scan_tables(spark, sf)
-    return reports.scan_report_context(tasks, targets, findings).drop("by_type")
+    made = reports.scan_report_context(tasks, targets, findings)
+    return made.withColumn("by_type", F.coalesce(_counts_text("by_type"), F.lit("")))
 
 
 @query("cascade_delete", "WITH " + TASKS_SQL + """
@@ -441,12 +449,13 @@ def _scan_findings(spark, sf):
 SELECT task_id, count(*) AS total,
   (SELECT string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY severity) FROM (
     SELECT severity, count(*) AS n FROM f i WHERE i.task_id = f.task_id GROUP BY severity))
-  AS by_severity FROM f GROUP BY task_id""")
+  AS by_severity,
+  (SELECT string_agg(vuln_type || '=' || CAST(n AS VARCHAR), ',' ORDER BY vuln_type) FROM (
+    SELECT vuln_type, count(*) AS n FROM f i WHERE i.task_id = f.task_id GROUP BY vuln_type))
+  AS by_type FROM f GROUP BY task_id""")
 def scan_summary(spark, sf):
-    joined = F.array_join(F.transform(F.map_entries("by_severity"), lambda e: F.concat(
-        e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return reports.findings_summary(_scan_findings(spark, sf), "task_id").select(
-        "task_id", "total", joined.alias("by_severity"))
+        "task_id", "total", _counts_text("by_severity").alias("by_severity"), _counts_text("by_type").alias("by_type"))
 
 
 @query("severity_order", "WITH " + _SCAN + """
