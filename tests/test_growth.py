@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from wardlog.constants import SIGNATURES
 from wardlog.functions.signatures import decode_once, has_class
-from wardlog.operators.timeline import previous, trailing
+from wardlog.operators.timeline import chunked, previous, trailing
+from wardlog.plans.detection import regex_hits
 from wardlog.sources import fixtures
+from wardlog.sources.rules import builtin_rules
 
 
 def _slots(spark, n=400, span=500_000):
@@ -48,3 +50,39 @@ def test_signatures_match_as_their_patterns(spark):
         plain = F.lower("t").rlike("(?U)" + pattern.lower()) | F.lower(decode_once(F.col("t"))).rlike("(?U)" + pattern.lower())
         rows = frame.select("t", has_class(F.col("t"), name).alias("got"), plain.alias("want")).collect()
         assert [r.t for r in rows if r.got] == [r.t for r in rows if r.want], name
+
+
+def test_signatures_are_not_tested_inside_the_generator(spark, sf):
+    rules = [r for r in builtin_rules() if r.rule_type == "regex"]
+    plan = regex_hits(fixtures.security_events(spark, sf), rules)._jdf.queryExecution().optimizedPlan().toString()
+    inside = [line for line in plan.split("\n") if "Generate explode" in line]
+    assert inside and not [line for line in inside if "RLIKE" in line or "Contains(" in line]
+
+
+def test_few_slots_are_copied_for_long_windows(spark):
+    slots = spark.range(0, 40 * 86_400, 1_000).select(F.lit("a").alias("g"), F.col("id").alias("epoch"))
+    made = chunked(slots, 2 * 86_400).agg(F.count_if("_own").alias("own"), F.count_if(~F.col("_own")).alias("copies")).first()
+    assert made.own == slots.count() and made.copies <= 0.3 * made.own
+
+
+def test_every_alternative_of_a_signature_is_found(spark):
+    texts = {
+        "sqli": ["union/**/all select", "sleep (", "pg_sleep(", "benchmark*(", "dbms_pipe.receive_message",
+                 "waitfor delay", "or 1=1", "and ('1'='1", "information_schema", "concat(", "updatexml (", "extractvalue(",
+                 "x --", "x--+", "x# ", ";--", "' or 1", "'or '2", "admin' --"],
+        "xss": ["<script", "</script", "<img x onx=", "<svg onx =", "javascript :", "onerror =", "onload=", "onclick=",
+                "onmouseover=", "onfocus=", "alert (", "prompt(", "confirm(", "document.cookie", "eval(", "String.fromCharCode"],
+        "traversal": ["../", "..\\", "..%2f", "..%5c", "%2e%2e%2f", "%2e%2e/", "/etc/passwd", "/etc/shadow",
+                      "/windows/win.ini", "boot.ini", "%252e%252e"],
+        "cmdi": ["; id", "|cat", "&& ls", "$(x)", "`x`", "%0acat", "%3b id", "/bin/sh"],
+        "sensitive_path": ["/.git/", "/.svn/", "/.hg/", "/.env", "/.htaccess", "/.ssh/", "web.config", "/phpmyadmin", "/adminer",
+                           "/pma/", "a.bak", "a.old?", "a.orig", "a.swp", "a.sql", "a.zip", "a.tar.gz", "a.rar", "/db.tar",
+                           "/www.gz", "/wp-config.php", "/config.php"],
+        "double_encode": ["%2527", "%252d"],
+    }
+    for name, rows in texts.items():
+        frame = spark.createDataFrame([(t,) for t in rows], "t string")
+        plain = F.lower("t").rlike("(?U)" + SIGNATURES[name].lower()) | F.lower(decode_once(F.col("t"))).rlike(
+            "(?U)" + SIGNATURES[name].lower())
+        missed = frame.where(plain & ~has_class(F.col("t"), name)).collect()
+        assert not missed and frame.where(plain).count() == len(rows), (name, missed)
