@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from wardlog.constants import SIGNATURES
+from wardlog.constants import SIGNATURE_PARTS, SIGNATURES
 from wardlog.functions.signatures import decode_once, has_class
 from wardlog.operators.timeline import chunked, previous, trailing
 from wardlog.plans.detection import regex_hits
@@ -86,3 +86,20 @@ def test_every_alternative_of_a_signature_is_found(spark):
             "(?U)" + SIGNATURES[name].lower())
         missed = frame.where(plain & ~has_class(F.col("t"), name)).collect()
         assert not missed and frame.where(plain).count() == len(rows), (name, missed)
+
+
+def test_alternatives_are_searched_one_by_one(spark):
+    rng = random.Random(11)
+    bits = ["union", "select", "/**/", " ", "+", "%20", "(", "sleep", "concat", "=", "or", "and", "1", "'", "--", "#", ";", "admin",
+            "<", "<img", "on", "load", "onclick", "script", "alert", "document.", "cookie", "..", "/", "\\", "%2f", "%2e", "%25",
+            "2e", "27", "etc", "passwd", "id", "ls", "|", "&&", "$(", ")", "`", "%0a", "%3b", "/bin/", "sh", ".git", ".env", "config",
+            "web", ".php", ".bak", ".zip", "/db", "?", " ", "\n", "%", "%%32%35", "Nmap", "É", "%4fr"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 7))) for _ in range(3_000)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name, pattern in SIGNATURES.items():
+        whole = "(?U)" + pattern.lower()
+        plain = F.lower("t").rlike(whole) | F.lower(decode_once(F.col("t"))).rlike(whole)
+        made = frame.select("t", has_class(F.col("t"), name).alias("got"))
+        assert made.withColumn("want", plain).where("got <> want").collect() == [], name
+        if len(SIGNATURE_PARTS[name]) > 1:   # a pattern of many alternatives is tried at every character
+            assert whole not in made._jdf.queryExecution().optimizedPlan().toString(), name
