@@ -6,9 +6,11 @@ import re
 from pyspark.sql import functions as F
 
 from wardlog.constants import SIGNATURE_PARTS, SIGNATURES
+from wardlog.functions import timewin
 from wardlog.functions.signatures import decode_once, has_class
+from wardlog.operators.alerts import consolidate
 from wardlog.operators.timeline import chunked, previous, trailing
-from wardlog.plans.detection import regex_hits
+from wardlog.plans.detection import detect, regex_hits
 from wardlog.sources import fixtures
 from wardlog.sources.rules import builtin_rules
 
@@ -103,3 +105,42 @@ def test_alternatives_are_searched_one_by_one(spark):
         assert made.withColumn("want", plain).where("got <> want").collect() == [], name
         if len(SIGNATURE_PARTS[name]) > 1:   # a pattern of many alternatives is tried at every character
             assert whole not in made._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def _optimized(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_generators_get_numbers_only(spark, sf):
+    """Arrays of structs, compacted, were made row by row by an interpreter."""
+    seen = fixtures.security_events(spark, sf)
+    rules = builtin_rules(window=172_800, threshold=3)
+    for kind in ("regex", "aggregate"):
+        own = [r for r in rules if r.rule_type == kind and r.count_mode != "distinct"]
+        plan = _optimized(detect(seen, own))
+        assert "Generate explode" in plan and "lambda" not in plan, kind
+
+
+def test_each_matching_rule_gives_a_hit_with_its_own_text(spark, sf):
+    seen = fixtures.security_events(spark, sf).where("seq < 400")
+    rules = [r for r in builtin_rules() if r.rule_type == "regex"]
+    apart = [regex_hits(seen, [r]).select("seq", "rule_id", "matched_text").collect() for r in rules]
+    together = regex_hits(seen, rules).select("seq", "rule_id", "matched_text").collect()
+    assert len({r.rule_id for r in together}) > 3
+    assert sorted(together) == sorted(row for rows in apart for row in rows)
+
+
+def test_slots_of_hits_are_sorted_by_time_first(spark):
+    hits = spark.createDataFrame([("r", "1.1.1.1", 5, 1)], "rule_name string, src_ip string, epoch bigint, seq bigint").selectExpr(
+        "*", "1 as rule_id", "'low' as severity", "'' as dst_ip", "'' as url", "'' as category", "'m' as matched_text",
+        "cast(1 as bigint) as count")
+    plan = consolidate(hits, samples=False)._jdf.queryExecution().executedPlan().toString()
+    first = [line for line in plan.split("\n") if "SortAggregate(key=" in line][-1]
+    assert first.split("key=[")[1].startswith("epoch#")
+
+
+def test_whole_seconds_of_times_without_a_calendar(spark):
+    frame = spark.sql("""SELECT explode(array(timestamp_ntz'1969-12-31 23:59:59.4', timestamp_ntz'1970-01-01 00:00:00.9',
+        timestamp_ntz'1900-01-01 00:00:00.1', timestamp_ntz'2024-02-29 12:34:56.999999', null)) AS ts""")
+    assert [r.e for r in frame.select(timewin.floor_epoch(F.col("ts")).alias("e")).collect()] == [
+        -1, 0, -2_208_988_800, 1_709_210_096, None]
