@@ -144,3 +144,11 @@ def test_whole_seconds_of_times_without_a_calendar(spark):
         timestamp_ntz'1900-01-01 00:00:00.1', timestamp_ntz'2024-02-29 12:34:56.999999', null)) AS ts""")
     assert [r.e for r in frame.select(timewin.floor_epoch(F.col("ts")).alias("e")).collect()] == [
         -1, 0, -2_208_988_800, 1_709_210_096, None]
+
+
+def test_a_dot_alone_starts_no_search(spark):
+    """Every line has an address; a pattern behind nothing but a dot would be searched in all of them."""
+    assert all(more for parts in SIGNATURE_PARTS.values() for _, first, *more in parts if first == ".")
+    frame = spark.createDataFrame([("GET /a%2Ebak?x",), ("/dump.tar",), ("/www%2egz 10.0.0.1",), ("/x.rar ",), ("/x.rarer",), ("10.0.0.1",)],
+                                  "t string")
+    assert [r.m for r in frame.select(has_class(F.col("t"), "sensitive_path").alias("m")).collect()] == [True] * 4 + [False] * 2
