@@ -1,14 +1,17 @@
 """The import job: runs that meet stored events, hits and alerts."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from test_streaming import LINE_RULES, probe, said, shuffled_lines
 from wardlog.operators.alerts import consolidate
-from wardlog.plans import importing
+from wardlog.plans import importing, upkeep
 from wardlog.plans.detection import detect
+from wardlog.session import materialise
+from wardlog.sources.commits import Folder
 from wardlog.sources.rules import Rule
 
 ONE = [Rule(1, "probe", "regex", "scan_event", "any")]
@@ -98,3 +101,44 @@ def test_runs_in_any_order_give_what_one_gives(spark, tmp_path, seed):
     shown = spark.read.parquet(f"{tmp_path}/alerts")
     assert told(shown.drop("samples").withColumn("samples", F.lit(0))) == told(
         consolidate(detect(events, LINE_RULES), gap=60).drop("samples").withColumn("samples", F.lit(0)))
+
+
+def on_disk(spark):
+    """Shuffle files and checkpoints."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {n for n in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n} | set(
+        Folder(spark, spark.sparkContext.getCheckpointDir()).names())
+
+
+def test_a_run_leaves_nothing_but_its_tables_on_disk(spark, tmp_path):
+    rules = [*ONE, Rule(2, "count", "aggregate", "scan_event", threshold=2, time_window=60, count_mode="count")]
+    kept = materialise(spark.range(3))
+    before = on_disk(spark)
+    run(spark, tmp_path, [probe(i, f"10:00:{i:02}") for i in range(20)], "a", rules)
+    one = spark.read.parquet(f"{tmp_path}/alerts").first()
+    importing.set_status(spark, str(tmp_path), spark.createDataFrame([(one.alert_id, "closed")], "alert_id bigint, status string"))
+    run(spark, tmp_path, [probe(i, f"10:00:{i:02}") for i in range(20)], "b", rules)
+    for _ in range(40):         # files go in the background
+        if not (left := on_disk(spark) - before):
+            break
+        time.sleep(0.25)
+    assert not left and kept.count() == 3
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_hits_of_new_events_are_not_compared_with_stored_ones(spark, tmp_path, monkeypatch):
+    rules = [*ONE, Rule(2, "count", "aggregate", "scan_event", threshold=2, time_window=60, count_mode="count")]
+    compared, original = [], upkeep._differences
+    monkeypatch.setattr(upkeep, "_differences", lambda fresh, old, stored: (
+        compared.append(sorted(r.seq for r in fresh.collect()) if fresh is not None else []), original(fresh, old, stored))[1])
+    run(spark, tmp_path, [probe(i, f"10:00:{i:02}") for i in range(10)], "a", rules)
+    run(spark, tmp_path, [probe(i, f"10:00:{i:02}", "2024-04-01") for i in range(10)], "far", rules)
+    run(spark, tmp_path, [probe(i, f"10:00:{i:02}") for i in range(5, 15)], "near", rules)
+    # the third run makes some hits of the first say something else, its own are new
+    assert compared == [[], [], list(range(1, 10))]
+    events, hits = (f(spark, str(tmp_path)) for f in (importing.stored_events, importing.stored_hits))
+    assert said(hits) == said(detect(events, rules)) and hits.count() == 30 + 9 + 19
+    # a run that is replaced is compared, also where its numbers stay
+    run(spark, tmp_path, [probe(i, f"10:00:{i:02}", "2024-04-01") for i in range(8)], "far", rules)
+    events, hits = (f(spark, str(tmp_path)) for f in (importing.stored_events, importing.stored_hits))
+    assert len(compared[3]) == 8 + 7 and said(hits) == said(detect(events, rules))

@@ -158,6 +158,21 @@ def test_alerts_match_model(spark, seed, span):
                 for a in got} == brute.merge(hits, 300, closing)
 
 
+@pytest.mark.parametrize("gap", [0, 7, 5_000, 100_000])
+def test_alerts_of_any_gap_match_model(spark, gap):
+    """Hits are put together by slots as long as the gap, over several chunks of time; lines come back in later ones."""
+    rng = random.Random(gap)
+    hits = [("A", "1.1.1.1", BASE + rng.randrange(60 * max(gap, 5)), i, f"line {rng.randrange(150)}") for i in range(400)]
+    got = alert_ops.consolidate(hit_frame(spark, hits), gap).collect()
+    assert {(a.title, a.src_ip, a.first_seen, a.last_seen, a["count"], tuple(a.samples)) for a in got} == brute.merge(hits, gap)
+
+
+def test_hits_no_further_apart_than_the_gap_are_one_slot(spark):
+    hits = hit_frame(spark, [("A", "1", 30_000 + i, i, "x") for i in range(290)])
+    slots = alert_ops._slots(alert_ops._null_safe(hits), 300).collect()
+    assert [(s.n, s.epoch, s._until) for s in slots] == [(290, 30_000, 30_289)]
+
+
 def test_gap_is_inclusive(spark):
     merged = alert_ops.consolidate(hit_frame(spark, [("A", "1", BASE, 0, "x"),
                                                      ("A", "1", BASE + 300, 1, "y")]))

@@ -10,9 +10,9 @@ from wardlog import schema
 from wardlog.constants import MAX_SAMPLES, MERGE_GAP_SECONDS
 from wardlog.operators.alerts import with_rule_id
 from wardlog.plans.upkeep import STORED_ALERT, current, refreshed, updated_alerts
-from wardlog.session import materialise
+from wardlog.session import materialise, step
 from wardlog.sources import logs, tables
-from wardlog.sources.commits import UNTIMED, CommitLog, Folder, Record, day_of, days_between
+from wardlog.sources.commits import DAY, UNTIMED, CommitLog, Folder, Record, day_of, days_between
 from wardlog.sources.rules import Rule, rules_frame
 
 REJECTED = "rejected"   # the day of lines that are no events
@@ -71,7 +71,8 @@ def import_lines(lines: DataFrame, rules: list[Rule], out: str, *, year: int | C
     # one pass over the text: rejected lines land in folders of their own
     rows = parsed.where(F.col("raw") != "")
     day = F.when(F.col("log_type").isNull(), REJECTED).otherwise(day_of(F.col("epoch")))
-    folders = log.write("events", rows, commit, day=day)
+    with step(spark):
+        folders = log.write("events", rows, commit, day=day)
     counts = seen.get
     record = Record(commit, None, {t: {h: list(f) for h, f in before.files.get(t, {}).items()} for t in TABLES},
                     dict(before.runs))
@@ -95,14 +96,21 @@ def import_lines(lines: DataFrame, rules: list[Rule], out: str, *, year: int | C
     with_untimed = lambda days, untimed: [*days, *([UNTIMED] if untimed else [])]
     stored = lambda days, untimed=False: current(log.read("hits", before, with_untimed(days, untimed)))
     replaced = F.col("seq").between(old["base"] + old["least"], old["base"] + old["most"]) if old else None
-    changes = refreshed(
-        changed, added, timed, rules, lambda days: _numbered(log.read("events", record, days), record), stored,
-        [int(h) for h in record.files["events"] if h not in (UNTIMED, REJECTED)], replaced)
-    for day, found in log.write("hits", changes, commit).items():
-        record.files["hits"].setdefault(day, []).extend(found)
-    alerts = _alerts_after(log, before, record, rules, out, source_id, gap)
+    known = [int(h) for h in before.files.get("events", {}) if h not in (UNTIMED, REJECTED)]
+    stored_before = None if old else F.lit(False) if not known else (     # a run begins behind all numbers before it
+        (F.col("seq") < record.runs[run]["base"] + record.runs[run]["least"])
+        & F.col("epoch").between(min(known) * DAY, (max(known) + 1) * DAY - 1))
+    with step(spark):
+        changes = refreshed(
+            changed, added, timed, rules, lambda days: _numbered(log.read("events", record, days), record), stored,
+            [int(h) for h in record.files["events"] if h not in (UNTIMED, REJECTED)], replaced, stored_before)
+        for day, found in log.write("hits", changes, commit).items():
+            record.files["hits"].setdefault(day, []).extend(found)
+    with step(spark):
+        alerts = _alerts_after(log, before, record, rules, out, source_id, gap)
     log.finish(record, before, compact=False)
-    result = _publish(log, record, before, alerts, out, source_id, counts)
+    with step(spark):
+        result = _publish(log, record, before, alerts, out, source_id, counts)
     spark.createDataFrame(
         [(source_id, run, result.parsed, result.rejected, result.matched, result.alerts)],
         "source_id INT, run STRING, processed BIGINT, rejected BIGINT, matched BIGINT, alerts BIGINT"
@@ -171,7 +179,8 @@ def set_status(spark: SparkSession, out: str, updates: DataFrame) -> None:
     """New status of alerts (alert_id, status), of whatever sources."""
     from wardlog.operators.alerts import apply_status
     shown = tables.read(spark, f"{out}/alerts")
-    tables.replace_partition(materialise(apply_status(shown, updates)), f"{out}/alerts", "source_id")
+    with step(spark):
+        tables.replace_partition(materialise(apply_status(shown, updates)), f"{out}/alerts", "source_id")
 
 
 def rejected_lines(spark: SparkSession, out: str) -> DataFrame:

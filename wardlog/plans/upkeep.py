@@ -63,18 +63,21 @@ def _span(days: Sequence[int], length: int) -> set[int]:
 
 
 def refreshed(changed: DataFrame, added: DataFrame, days: Sequence[int], rules: Sequence[Rule], events: Near,
-              stored: Near, stored_days: Iterable[int], replaced: Column | None = None) -> DataFrame:
+              stored: Near, stored_days: Iterable[int], replaced: Column | None = None,
+              stored_before: Column | None = None) -> DataFrame:
     """Changes of the hits: hit columns, `live` (false: it no longer holds), `known` (one of that number was stored).
 
     `changed` are the events that are new or gone, `added` those that are new; `days` are theirs (without that of lines
     without a time), `stored_days` those of all events. `events` and `stored` give the events, with the added ones, and
-    the hits that count, of given days. `replaced` is a condition on stored hits whose events are gone.
+    the hits that count, of given days. `replaced` is a condition on stored hits whose events are gone. `stored_before`
+    is one on hits with a time, true if their events are not of `added`; it may be given if no number of `added` was
+    used before. Hits of added events are then new without being compared with the stored ones.
     """
     active = [r for r in rules if r.enabled and usable(r)]
-    fresh, old = [], []
+    fresh, new, old = [], [], []
     signatures = [r for r in active if r.rule_type == "regex"]
     if signatures:
-        fresh.append(regex_hits(added, signatures))
+        (fresh if stored_before is None else new).append(regex_hits(added, signatures))
     if replaced is not None:
         old.append(stored(days, untimed=True).where(replaced))
     families: dict[tuple, list[Rule]] = {}
@@ -100,8 +103,16 @@ def refreshed(changed: DataFrame, added: DataFrame, days: Sequence[int], rules:
             before = keys.select("_g", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"))).alias("_cell")).distinct()
             found = _in(windowed_hits(_in(events(near), before, group, length), family), keys, F.col("_g"), length)
             old.append(_in(stored(near).where(F.col("rule_id").isin(numbers)), keys, F.col("group_value"), length))
-        fresh.append(found)
-    return _differences(described(fresh, active, changed.sparkSession) if fresh else None, old, stored)
+        if stored_before is None:
+            fresh.append(found)
+        else:
+            fresh.append(found.where(stored_before))
+            new.append(found.where(~stored_before))
+    told = lambda parts: described(parts, active, changed.sparkSession) if parts else None
+    changes = _differences(told(fresh), old, stored)
+    if not new:
+        return changes
+    return changes.unionByName(told(new).withColumns({"live": F.lit(True), "known": F.lit(False)}))
 
 
 def _differences(fresh: DataFrame | None, old: list[DataFrame], stored: Near) -> DataFrame:
@@ -180,8 +191,8 @@ def _merged(items: DataFrame, commit: int, max_samples: int) -> DataFrame:
         "l.last_seq", "said", F.when(touched, F.lit(commit)).otherwise(F.col("commit")).cast("bigint").alias("commit"))
 
 
-def _fragments(hits: DataFrame, gap: int, max_samples: int) -> DataFrame:
-    made = consolidate(hits, gap, max_samples, for_merging=True)
+def _fragments(hits: DataFrame, gap: int, max_samples: int, stored: bool = False) -> DataFrame:
+    made = consolidate(hits, gap, max_samples, for_merging=True, stored=stored)
     return made.withColumn("commit", F.lit(None).cast("bigint")).select(*_NAMES)
 
 
@@ -189,13 +200,13 @@ def updated_alerts(stored: DataFrame, changes: DataFrame, hits: Callable[[DataFr
                    max_samples: int) -> DataFrame:
     """All alerts after the changes of a commit.
 
-    `stored` are the alerts before (STORED_ALERT), `changes` the change of the hits, checkpointed. `hits(spans)` gives the
+    `stored` are the alerts before (STORED_ALERT), `changes` the change of the hits, read from files. `hits(spans)` gives the
     hits that hold by now in the days of (first_seen, last_seen); it is called only if an alert lost a hit.
     """
     kept = stored.where(~is_open(F.col("status")))
     items = _as_items(stored.where(is_open(F.col("status"))), True)
     new = changes.where(F.col("live") & ~F.col("known"))
-    fragments = _as_items(_fragments(new, gap, max_samples), False)
+    fragments = _as_items(_fragments(new, gap, max_samples, stored=True), False)
     everything = items.unionByName(fragments)
     lost = changes.where(F.col("known"))
     if lost.isEmpty():
